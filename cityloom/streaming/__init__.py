@@ -1,0 +1 @@
+"""Every input of this work is a finished file read once, so there is no streaming operator."""
