@@ -52,6 +52,17 @@ def project_utm(lng: Column, lat: Column, zone: int = 18) -> tuple[Column, Colum
     return F.lit(_EAST0) + _K0 * _RADIUS * x, _K0 * _RADIUS * y
 
 
+def project_point(lng: float, lat: float, zone: int = 18) -> tuple[float, float]:
+    """The same projection for one literal point."""
+    e = math.sqrt(_E2)
+    phi, lam = math.radians(lat), math.radians(lng - (zone * 6 - 183))
+    t = math.sinh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi)))
+    xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.sqrt(1 + t * t))
+    x = eta + sum(a * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    y = xi + sum(a * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1))
+    return _EAST0 + _K0 * _RADIUS * x, _K0 * _RADIUS * y
+
+
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     dx, dy = x1 - x2, y1 - y2
     return F.sqrt(dx * dx + dy * dy)

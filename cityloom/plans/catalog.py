@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import catalog_clean, catalog_joins, catalog_sources  # noqa: F401
+from . import catalog_clean, catalog_joins, catalog_series, catalog_sources, catalog_spatial  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
