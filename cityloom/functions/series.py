@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from .constants import PATTERN_NOISE
 
@@ -40,45 +44,43 @@ def tricube(dist: float, radius: float) -> float:
     return (1.0 - (dist / radius) ** 3) ** 3 if dist < 0.999 * radius else 0.0
 
 
-def local_fit(y: Column, w: Column | None, n: int, frac: float) -> Column:
-    """One weighted local linear pass; the kernel weights depend only on n and frac."""
-    fitted = []
+def local_fit(y: np.ndarray, w: np.ndarray, frac: float) -> np.ndarray:
+    """One weighted local linear pass over many series at once; ``y`` and ``w`` are (series, n)."""
+    n = y.shape[1]
+    out = np.empty_like(y)
     for i, (first, last, radius) in enumerate(neighbourhoods(n, frac)):
-        near = [(j, tricube(abs(j - i), radius)) for j in range(first, last + 1)]
-        near = [(j, k) for j, k in near if k > 0]
-        wj = [F.lit(k) if w is None else F.get(w, F.lit(j)) * k for j, k in near]
-        xs = [float(j) for j, _ in near]
-        ys = [F.get(y, F.lit(j)) for j, _ in near]
-
-        def dot(*cols):
-            total = None
-            for parts in zip(*cols):
-                term = parts[0]
-                for p in parts[1:]:
-                    term = term * p
-                total = term if total is None else total + term
-            return total
-
-        sw = dot(wj)
-        mx = dot(wj, [F.lit(x) for x in xs]) / F.nullif(sw, F.lit(0.0))
-        my = dot(wj, ys) / F.nullif(sw, F.lit(0.0))
-        dev = [F.lit(x) - mx for x in xs]
-        sxx = dot(wj, dev, dev)
-        sxy = dot(wj, dev, ys)
-        slope = F.when(sxx > 1e-12, sxy / F.nullif(sxx, F.lit(0.0))).otherwise(F.lit(0.0))
-        fitted.append(F.coalesce(my + slope * (F.lit(float(i)) - mx), F.get(y, F.lit(i))))
-    return F.array(*fitted)
-
-
-def _median(a: Column, n: int) -> Column:
-    s = F.array_sort(a)
-    return (F.get(s, F.lit((n - 1) // 2)) + F.get(s, F.lit(n // 2))) / 2.0
-
-
-def bisquare(y: Column, fit: Column, n: int) -> Column:
+        x = np.arange(first, last + 1, dtype=float)
+        kernel = np.array([tricube(abs(j - i), radius) for j in range(first, last + 1)])
+        wj, yj = w[:, first:last + 1] * kernel, y[:, first:last + 1]
+        total = wj.sum(axis=1)
+        usable = total > 0
+        safe = np.where(usable, total, 1.0)
+        mx, my = (wj * x).sum(axis=1) / safe, (wj * yj).sum(axis=1) / safe
+        dev = x - mx[:, None]
+        sxx, sxy = (wj * dev * dev).sum(axis=1), (wj * dev * yj).sum(axis=1)
+        slope = np.where(sxx > 1e-12, sxy / np.where(sxx > 1e-12, sxx, 1.0), 0.0)
+        out[:, i] = np.where(usable, my + slope * (i - mx), y[:, i])
+    return out
+
+
+def bisquare(y: np.ndarray, fit: np.ndarray) -> np.ndarray:
     """Robustness weights (1 - u^2)^2 with u = |residual| / (6 x median |residual|), u <= 1."""
-    res = F.zip_with(y, fit, lambda a, b: F.abs(a - b))
-    med = _median(res, n)
-    u = F.transform(res, lambda r: F.when(med > 0, F.least(F.lit(1.0), r / (F.nullif(med, F.lit(0.0)) * 6.0)))
-                    .otherwise(F.when(r > 0, F.lit(1.0)).otherwise(F.lit(0.0))))
-    return F.transform(u, lambda x: (1.0 - x * x) * (1.0 - x * x))
+    res = np.abs(y - fit)
+    med = np.median(res, axis=1)[:, None]
+    u = np.where(med > 0, np.minimum(1.0, res / np.where(med > 0, 6.0 * med, 1.0)), (res > 0).astype(float))
+    return (1.0 - u * u) ** 2
+
+
+def lowess_udf(frac: float, robust: int):
+    """Array in, smoothed array out; all series of an Arrow batch are smoothed together."""
+
+    @pandas_udf(T.ArrayType(T.DoubleType()))
+    def smooth(values: pd.Series) -> pd.Series:
+        y = np.stack(values.to_numpy()).astype(float)
+        w = np.ones_like(y)
+        fit = local_fit(y, w, frac)
+        for _ in range(robust):
+            fit = local_fit(y, bisquare(y, fit), frac)
+        return pd.Series(list(fit))
+
+    return smooth

@@ -18,7 +18,7 @@ def _pair_blocks(df: DataFrame, group: list[str], key: str, value: str) -> DataF
     pts = df.select(*group, F.col(key).alias("_id"), "x", "y", F.col(value).cast("double").alias("v")).where("v is not null")
     n = block_count(pts, group)
     packed = blocks(pts, group, ["_id"], ["x", "y", "v"], n)
-    arrays = lambda s: [F.transform("items", lambda p, f=f: p[f]).alias(f"{f}{s}") for f in ("x", "y", "v")]
+    arrays = lambda s: [F.col(f"items.{f}").alias(f"{f}{s}") for f in ("x", "y", "v")]
     a = packed.select(*group, F.col("block").alias("i"), *arrays("a"))
     b = packed.select(*group, F.col("block").alias("j"), *arrays("b"))
     a = a.withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1))))
@@ -140,11 +140,12 @@ def krige(observed: DataFrame, targets: DataFrame, model: DataFrame, group: list
           value: str, m: int = 100, size: float = 50_000.0) -> DataFrame:
     """(group..., target, estimate, weight_sum) from the m nearest stations of each target; with
     at most m stations in a group all of them are used."""
-    near = nearest_k(targets, observed.where(F.col(value).isNotNull()), group, target_key, key, m, size, [value])
+    donors = observed.where(F.col(value).isNotNull()).withColumnRenamed(key, "_donor")
+    near = nearest_k(targets, donors, group, target_key, "_donor", m, size, [value])
     pick = near.groupBy(*group, target_key).agg(F.array_sort(F.collect_list(F.struct("rank", "x", "y", F.col(value).alias("v")))).alias("n"))
     rows = pick.join(targets.select(*group, target_key, F.col("x").alias("px"), F.col("y").alias("py")), [*group, target_key])
     rows = rows.join(model.select(*group, "psill", "range", "nugget"), group)
-    arr = lambda f: F.transform("n", lambda p: p[f])
+    arr = lambda f: F.col(f"n.{f}")
     solved = rows.select(*group, target_key, _solve(F.col("px"), F.col("py"), arr("x"), arr("y"), arr("v"), F.col("psill"),
                                                     F.col("range"), F.col("nugget")).alias("s"))
     return solved.select(*group, target_key, "s.estimate", "s.weight_sum")

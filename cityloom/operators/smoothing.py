@@ -15,14 +15,9 @@ def month_arrays(df: DataFrame, keys: list[str], month: str, value: str, n: int
     ).select(*keys, F.array(*[F.coalesce(F.col(f"_m{m}"), F.lit(0)).cast("double") for m in range(1, n + 1)]).alias("trend"))
 
 
-def lowess(df: DataFrame, column: str, out: str, n: int = 12, frac: float = 0.4, robust: int = 3) -> DataFrame:
+def lowess(df: DataFrame, column: str, out: str, frac: float = 0.4, robust: int = 3) -> DataFrame:
     """Local linear smoother over equally spaced positions, with ``robust`` bisquare re-weights."""
-    df = df.withColumn("_f0", S.local_fit(F.col(column), None, n, frac))
-    for it in range(robust):
-        df = df.withColumn(f"_w{it}", S.bisquare(F.col(column), F.col(f"_f{it}"), n))
-        df = df.withColumn(f"_f{it + 1}", S.local_fit(F.col(column), F.col(f"_w{it}"), n, frac))
-    last = f"_f{robust}"
-    return df.withColumn(out, F.col(last)).drop(*[f"_f{i}" for i in range(robust + 1)], *[f"_w{i}" for i in range(robust)])
+    return df.withColumn(out, S.lowess_udf(frac, robust)(F.col(column)))
 
 
 def seasonal_pattern(df: DataFrame, keys: list[str], month: str, value: str, robust: int = 3) -> DataFrame:

@@ -98,7 +98,8 @@ def annual_to_monthly(t):
 
 
 @query("E6_municipal_gdp", with_roles("cities", "arrivals", "incidents") + f""", {_YEAR_ARR}, {_pattern_sql('ya')}, {_GDP},
- share AS (SELECT city_id, department, 100*sum(c_acctbal)/sum(sum(c_acctbal)) OVER (PARTITION BY department) AS pct FROM cities JOIN customer ON c_nationkey=city_id GROUP BY ALL)
+ bal AS (SELECT city_id, department, sum(c_acctbal) AS b FROM cities JOIN customer ON c_nationkey=city_id GROUP BY 1, 2),
+ share AS (SELECT city_id, department, 100*b/sum(b) OVER (PARTITION BY department) AS pct FROM bal)
  SELECT city_id, year, month, round(pct/100*gdp,2) AS weighted_gdp FROM share JOIN mon USING (department)""")
 def municipal_gdp(t):
     bal = t.customer.groupBy(F.col("c_nationkey").alias("city_id")).agg(F.sum("c_acctbal").alias("b"))
