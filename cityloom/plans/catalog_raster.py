@@ -78,17 +78,17 @@ def composite(t):
     return R.median_composite(masked(t))
 
 
-@query("K3_median_composite", _cte("comp") + " SELECT city_id, year, px, py, " + ", ".join(f"round({b},12) AS {b}" for b in R.BANDS) + " FROM comp")
+@query("K3_median_composite", _cte("comp") + " SELECT city_id, year, px, py, " + ", ".join(f"round({b},14) AS {b}" for b in R.BANDS) + " FROM comp")
 def median_composite(t):
-    return composite(t).withColumns({b: F.round(b, 12) for b in R.BANDS})
+    return composite(t).withColumns({b: F.round(b, 14) for b in R.BANDS})
 
 
 _INDICES = ("ndwi", "ndbi", "ndvi", "gndvi", "mndwi", "evi", "aweish")
 
 
-@query("K4_spectral_indices", _cte("idx") + " SELECT city_id, year, px, py, " + ", ".join(f"round({i},9) AS {i}" for i in _INDICES) + " FROM idx")
+@query("K4_spectral_indices", _cte("idx") + " SELECT city_id, year, px, py, " + ", ".join(f"round({i},{14 if i == 'aweish' else 9}) AS {i}" for i in _INDICES) + " FROM idx")
 def spectral_indices(t):
-    return R.spectral_indices(composite(t)).withColumns({i: F.round(i, 9) for i in _INDICES})
+    return R.spectral_indices(composite(t)).withColumns({i: F.round(i, 14 if i == "aweish" else 9) for i in _INDICES})
 
 
 @query("K5_index_histogram", _cte("hist") + " SELECT city_id, year, bin, n, round(bin_mean,8) AS bin_mean FROM hist")
