@@ -104,8 +104,8 @@ def lime(instances: DataFrame, key: str, columns: list[str], bins: dict[str, dic
         for b, n, m, s, lo, hi in info["bins"]:
             run += n / total
             at.append((run, b, m, s or 0.0, lo, hi))
-        u, v, w = (_unit(F.col("_id"), F.col("_s"), f"{c}{t}{seed}") for t in "uvw")
-        normal = F.sqrt(-2 * F.log(v)) * F.cos(2 * math.pi * w)
+        drawn = drawn.withColumns({f"_{t}": _unit(F.col("_id"), F.col("_s"), f"{c}{t}{seed}") for t in "uvw"})
+        u, normal = F.col("_u"), F.sqrt(-2 * F.log("_v")) * F.cos(2 * math.pi * F.col("_w"))
 
         def choose(j):
             out = F.lit(float(at[-1][j]))
@@ -116,7 +116,7 @@ def lime(instances: DataFrame, key: str, columns: list[str], bins: dict[str, dic
         own = F.size(F.filter(F.array(*[F.lit(float(q)) for q in info["cuts"]]), lambda q: F.col(f"_i_{c}") > q))
         value = F.least(choose(5), F.greatest(choose(4), choose(2) + choose(3) * normal))
         drawn = drawn.withColumn(c, F.when(first, F.col(f"_i_{c}")).otherwise(value)).withColumn(
-            f"_b_{c}", F.when(first | (choose(1) == own), 1.0).otherwise(0.0))
+            f"_b_{c}", F.when(first | (choose(1) == own), 1.0).otherwise(0.0)).drop("_u", "_v", "_w")
     scored = predict(drawn)
     width = 0.75 * math.sqrt(len(columns))
     differ = sum((1.0 - F.col(f"_b_{c}") for c in columns), F.lit(0.0))
