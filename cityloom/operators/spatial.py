@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance, point_segment_distance, project_point, ray_crosses, segment_segment_distance
-from .scale import BLOCK_ROWS, BROADCAST_ROWS, block_count, blocks, salted_join
+from .scale import BLOCK_ROWS, BROADCAST_ROWS, block_count, blocks, materialise, salted_join
 
 NEIGHBOURS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
@@ -158,22 +158,33 @@ def _levels(frames: list[tuple[DataFrame, list[str], list[str]]], size: float) -
     return max(0, math.ceil(math.log2(extent / size)))
 
 
-def _search_level(cells: DataFrame, occupied: DataFrame, group: list[str], top: int, k: int, up: int = 2) -> DataFrame:
-    """For each point cell the level whose 3 x 3 cells must hold its k nearest items.
-
-    If the 3 x 3 cells of level L hold k points, all of them lie within 2*sqrt(2) cells of that
-    level, and the 3 x 3 cells of level L + 2 cover four such cells in every direction. A segment
-    may only touch the cell next to an occupied one, so segments go up one level more."""
-    probes = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn(
-        "_d", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in NEIGHBOURS])))
-    probes = probes.select(*group, "cx", "cy", "level",
-                           (F.expr("shiftright(cx, level)") + F.col("_d.i")).alias("lx"),
-                           (F.expr("shiftright(cy, level)") + F.col("_d.j")).alias("ly"))
-    found = (probes.join(occupied, [*group, "level", "lx", "ly"]).groupBy(*group, "cx", "cy", "level")
-             .agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+def _first_level(cells: DataFrame, occupied: DataFrame, group: list[str], top: int, k: int) -> DataFrame:
+    """For each point cell the lowest level whose 3 x 3 cells hold at least ``k`` items."""
+    probes = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    found = (_neighbour_cells(probes, keep_cell=True).join(occupied, [*group, "level", "lx", "ly"])
+             .groupBy(*group, "cx", "cy", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
              .groupBy(*group, "cx", "cy").agg(F.min("level").alias("level")))
-    return cells.join(found, [*group, "cx", "cy"], "left").withColumn(
-        "level", F.least(F.coalesce(F.col("level") + up, F.lit(top)), F.lit(top)))
+    return cells.join(found, [*group, "cx", "cy"], "left").withColumn("level", F.coalesce("level", F.lit(top)))
+
+
+def _neighbour_cells(points: DataFrame, keep_cell: bool = False) -> DataFrame:
+    """Nine rows per point: its cell of ``level`` and the cells around it, ``lx, ly``."""
+    d = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in NEIGHBOURS]))
+    out = points.withColumn("_d", d).withColumns({
+        "lx": F.expr("shiftright(cx, level)") + F.col("_d.i"),
+        "ly": F.expr("shiftright(cy, level)") + F.col("_d.j")}).drop("_d")
+    return out if keep_cell else out.drop("cx", "cy")
+
+
+def _reach(size: float) -> Column:
+    """How far the 3 x 3 cells of ``level`` reach around any point of the middle cell."""
+    return F.lit(float(size)) * F.expr("shiftleft(1L, level)")
+
+
+def _level_for(distance_: Column, size: float, top: int) -> Column:
+    """The lowest level that reaches ``distance_``; null asks for everything."""
+    up = F.ceil(F.log2(F.greatest(distance_, F.lit(float(size))) / F.lit(float(size))) + 1e-9)
+    return F.coalesce(F.least(F.lit(top), up.cast("int")), F.lit(top))
 
 
 def _at_levels(df: DataFrame, top: int) -> DataFrame:
@@ -181,37 +192,40 @@ def _at_levels(df: DataFrame, top: int) -> DataFrame:
         {"lx": F.expr("shiftright(cx, level)"), "ly": F.expr("shiftright(cy, level)")}).drop("cx", "cy").distinct()
 
 
-def _with_neighbour_cells(points: DataFrame, levels: DataFrame, group: list[str], spread: str) -> DataFrame:
-    placed = salted_join(points, levels, [*group, "cx", "cy"], [spread])
-    d = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in NEIGHBOURS]))
-    return placed.withColumn("_d", d).withColumns({
-        "lx": F.expr("shiftright(cx, level)") + F.col("_d.i"),
-        "ly": F.expr("shiftright(cy, level)") + F.col("_d.j")}).drop("_d", "cx", "cy")
-
-
 def nearest_polygon(points: DataFrame, segs: DataFrame, point_key: str, poly_key: str, size: float) -> DataFrame:
     """(point, polygon, distance): the nearest polygons of each point, 0 inside, ties kept.
 
     ``size`` is the finest cell, about one polygon wide or smaller."""
     inside = points_in_polygons(points, segs, point_key, poly_key, size).withColumn("distance", F.lit(0.0))
-    outside = points.join(inside.select(point_key).distinct(), point_key, "left_anti").select(
-        point_key, F.col("x").alias("px"), F.col("y").alias("py"),
-        cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
+    at = points.select(point_key, F.col("x").alias("px"), F.col("y").alias("py"),
+                       cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
     top = _levels([(points, ["x"], ["y"]), (segs, ["x1", "x2"], ["y1", "y2"])], size)
     placed = _at_levels(segment_cells(segs.select(poly_key, "x1", "y1", "x2", "y2"), size), top)
     occupied = placed.groupBy("level", "lx", "ly").agg(F.count(F.lit(1)).alias("n"))
-    levels = _search_level(outside.select("cx", "cy").distinct(), occupied, [], top, 1, up=3)
+    levels = _first_level(at.select("cx", "cy").distinct(), occupied, [], top, 1)
     n_blocks = block_count(placed, ["level", "lx", "ly"])
     packed = blocks(placed, ["level", "lx", "ly"], [poly_key, "x1", "y1", "x2", "y2"],
                     [poly_key, "x1", "y1", "x2", "y2"], n_blocks)
-    met = salted_join(_with_neighbour_cells(outside, levels, [], point_key), packed, ["level", "lx", "ly"], [point_key])
-    near = met.select(point_key, F.transform("items", lambda s: F.struct(
-        point_segment_distance(F.col("px"), F.col("py"), s["x1"], s["y1"], s["x2"], s["y2"]).alias("d"),
-        s[poly_key].alias("p"))).alias("_c")).withColumn("_m", F.array_min("_c")["d"])
-    ties = F.array_distinct(F.transform(F.filter("_c", lambda c: c["d"] == F.col("_m")), lambda c: c["p"]))
-    best = near.select(point_key, F.explode(ties).alias(poly_key), F.col("_m").alias("distance")).distinct()
-    ranked = best.withColumn("_r", F.rank().over(W.partitionBy(point_key).orderBy("distance"))).where("_r = 1")
-    return inside.select(point_key, poly_key, "distance").unionByName(ranked.select(point_key, poly_key, "distance"))
+
+    def search(pts: DataFrame) -> DataFrame:
+        met = salted_join(_neighbour_cells(pts), packed, ["level", "lx", "ly"], [point_key])
+        near = met.select(point_key, "px", "py", "level", F.transform("items", lambda s: F.struct(
+            point_segment_distance(F.col("px"), F.col("py"), s["x1"], s["y1"], s["x2"], s["y2"]).alias("d"),
+            s[poly_key].alias("p"))).alias("_c")).withColumn("_m", F.array_min("_c")["d"])
+        ties = F.array_distinct(F.transform(F.filter("_c", lambda c: c["d"] == F.col("_m")), lambda c: c["p"]))
+        return near.select(point_key, "px", "py", "level", "_m", ties.alias("_t"))
+
+    # What the first cells give is final when it lies within their reach; it bounds the search otherwise.
+    first = materialise(search(salted_join(at, levels, ["cx", "cy"], [point_key])).withColumn(
+        "_b", F.min("_m").over(W.partitionBy(point_key))).where("_m = _b"), "near")
+    final = (F.col("_b") <= _reach(size)) | (F.col("level") == top)
+    rest = first.where(~final).select(point_key, "px", "py", _level_for(F.col("_b"), size, top).alias("level"),
+                                      cell(F.col("px"), size).alias("cx"), cell(F.col("py"), size).alias("cy")).distinct()
+    found = first.where(final).select(point_key, "_m", "_t").unionByName(search(rest).select(point_key, "_m", "_t"))
+    edge = found.select(point_key, F.explode("_t").alias(poly_key), F.col("_m").alias("distance"))
+    best = inside.select(point_key, poly_key, "distance").unionByName(edge)
+    best = best.groupBy(point_key, poly_key).agg(F.min("distance").alias("distance"))
+    return best.withColumn("_r", F.rank().over(W.partitionBy(point_key).orderBy("distance"))).where("_r = 1").drop("_r")
 
 
 def roads_within(outlines: DataFrame, roads: DataFrame, city_key: str, road_key: str, metres: float, size: float) -> DataFrame:
@@ -243,14 +257,26 @@ def nearest_k(targets: DataFrame, donors: DataFrame, group: list[str], target_ke
     top = _levels([(targets, ["x"], ["y"]), (donors, ["x"], ["y"])], size)
     placed = _at_levels(d, top)
     occupied = placed.groupBy(*group, "level", "lx", "ly").agg(F.count(F.lit(1)).alias("n"))
-    levels = _search_level(t.select(*group, "cx", "cy").distinct(), occupied, group, top, k)
+    levels = _first_level(t.select(*group, "cx", "cy").distinct(), occupied, group, top, k)
     at = [*group, "level", "lx", "ly"]
     item = [donor_key, "x", "y", *fields]
     packed = blocks(placed, at, [donor_key], item, block_count(placed, at))
-    met = salted_join(_with_neighbour_cells(t, levels, group, target_key), packed, at, [target_key])
-    scored = F.transform("items", lambda s: F.struct(
-        distance(s["x"], s["y"], F.col("px"), F.col("py")).alias("distance"), s[donor_key].alias(donor_key),
-        *[s[f].alias(f) for f in ["x", "y", *fields]]))
-    best = met.select(*group, target_key, F.inline(F.slice(F.array_sort(scored), 1, k)))
-    w = W.partitionBy(*group, target_key).orderBy("distance", donor_key)
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    w = W.partitionBy(*group, target_key)
+
+    def search(pts: DataFrame) -> DataFrame:
+        met = salted_join(_neighbour_cells(pts), packed, at, [target_key])
+        scored = F.transform("items", lambda s: F.struct(
+            distance(s["x"], s["y"], F.col("px"), F.col("py")).alias("distance"), s[donor_key].alias(donor_key),
+            *[s[f].alias(f) for f in ["x", "y", *fields]]))
+        best = met.select(*group, target_key, "px", "py", "level", F.inline(F.slice(F.array_sort(scored), 1, k)))
+        return best.withColumn("rank", F.row_number().over(w.orderBy("distance", donor_key))).where(F.col("rank") <= k)
+
+    # The k found first are final when the last of them lies within reach; it bounds the search otherwise.
+    start = salted_join(t, levels, [*group, "cx", "cy"], [target_key])
+    first = materialise(search(start).withColumn("_b", F.max("distance").over(w)).withColumn("_n", F.count(F.lit(1)).over(w)), "near")
+    final = ((F.col("_n") >= k) & (F.col("_b") <= _reach(size))) | (F.col("level") == top)
+    bound = _level_for(F.when(F.col("_n") >= k, F.col("_b")), size, top)
+    rest = first.where(~final).select(*group, target_key, "px", "py", bound.alias("level"),
+                                      cell(F.col("px"), size).alias("cx"), cell(F.col("py"), size).alias("cy")).distinct()
+    out = [*group, target_key, "rank", "distance", donor_key, "x", "y", *fields]
+    return first.where(final).select(*out).unionByName(search(rest).select(*out))
