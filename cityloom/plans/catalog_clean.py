@@ -153,13 +153,13 @@ def distinct_rows(t):
 
 
 @query("B17_arithmetic_features", with_roles("panel") + """, pop AS (SELECT c_nationkey AS city_id, count(*)*1000 AS population FROM customer GROUP BY 1)
-SELECT city_id, year, month, round(gdp*(crimes/100),4) AS weighted_gdp, round(gdp/nullif(population,0),6) AS poverty_proxy,
+SELECT city_id, year, month, round(gdp*(crimes/100),4) AS weighted_gdp, round(gdp/nullif(population,0),12) AS poverty_proxy,
   round(abs(trip_spend-daily_spend)/1000,6) AS span_km FROM panel JOIN pop USING (city_id)""")
 def arithmetic_features(t):
     pop = t.customer.groupBy(F.col("c_nationkey").alias("city_id")).agg((F.count(F.lit(1)) * 1000).alias("population"))
     p = t.panel.join(pop, "city_id")
     return p.select("city_id", "year", "month", F.round(F.col("gdp") * (F.col("crimes") / 100), 4).alias("weighted_gdp"),
-                    F.round(F.try_divide("gdp", "population"), 6).alias("poverty_proxy"),
+                    F.round(F.try_divide("gdp", "population"), 12).alias("poverty_proxy"),
                     F.round(F.abs(F.col("trip_spend") - F.col("daily_spend")) / 1000, 6).alias("span_km"))
 
 

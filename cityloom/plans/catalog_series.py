@@ -52,16 +52,16 @@ def monthly_shares(t):
     return S.month_arrays(t.arrivals, ["city_id", "year"], "month", "amount").withColumn("y", shares(F.col("trend")))
 
 
-@query("E3_lowess", with_roles("arrivals") + f", {_ARR}, {lowess_sql('sh', 'y', 3)} SELECT city_id, year, m.month AS month, round(f[m.month],8) AS smooth FROM pass3, (SELECT unnest(range(1,13)) AS month) m")
+@query("E3_lowess", with_roles("arrivals") + f", {_ARR}, {lowess_sql('sh', 'y', 3)} SELECT city_id, year, m.month AS month, round(f[m.month],8)+0.0 AS smooth FROM pass3, (SELECT unnest(range(1,13)) AS month) m")
 def lowess(t):
     out = S.lowess(monthly_shares(t), "y", "smooth", robust=3)
-    return S.explode_array(out, ["city_id", "year"], "smooth", "smooth").withColumn("smooth", F.round("smooth", 8))
+    return S.explode_array(out, ["city_id", "year"], "smooth", "smooth").withColumn("smooth", F.round("smooth", 8) + 0.0)
 
 
-@query("E3b_local_linear", with_roles("arrivals") + f", {_ARR}, {lowess_sql('sh', 'y', 0)} SELECT city_id, year, m.month AS month, round(f[m.month],8) AS smooth FROM pass0, (SELECT unnest(range(1,13)) AS month) m")
+@query("E3b_local_linear", with_roles("arrivals") + f", {_ARR}, {lowess_sql('sh', 'y', 0)} SELECT city_id, year, m.month AS month, round(f[m.month],8)+0.0 AS smooth FROM pass0, (SELECT unnest(range(1,13)) AS month) m")
 def local_linear(t):
     out = S.lowess(monthly_shares(t), "y", "smooth", robust=0)
-    return S.explode_array(out, ["city_id", "year"], "smooth", "smooth").withColumn("smooth", F.round("smooth", 8))
+    return S.explode_array(out, ["city_id", "year"], "smooth", "smooth").withColumn("smooth", F.round("smooth", 8) + 0.0)
 
 
 def _pattern_sql(source: str) -> str:
@@ -72,10 +72,10 @@ def _pattern_sql(source: str) -> str:
  pat AS (SELECT * EXCLUDE (y, f), list_transform(f, lambda v: v/list_sum(f)) AS w FROM pass3)"""
 
 
-@query("E2_seasonal_pattern", with_roles("arrivals") + f", {_ARR}, {_pattern_sql('arr')} SELECT city_id, year, m.month AS month, round(w[m.month],8) AS weight FROM pat, (SELECT unnest(range(1,13)) AS month) m")
+@query("E2_seasonal_pattern", with_roles("arrivals") + f", {_ARR}, {_pattern_sql('arr')} SELECT city_id, year, m.month AS month, round(w[m.month],8)+0.0 AS weight FROM pat, (SELECT unnest(range(1,13)) AS month) m")
 def seasonal_pattern(t):
     out = S.seasonal_pattern(t.arrivals, ["city_id", "year"], "month", "amount")
-    return out.withColumn("weight", F.round("weight", 8))
+    return out.withColumn("weight", F.round("weight", 8) + 0.0)
 
 
 _YEAR_ARR = """ya AS (SELECT year, [coalesce(sum(quantity) FILTER (month=1),0)""" + "".join(
