@@ -72,7 +72,7 @@ def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def regressor(kind: str, n_rows: int = 1, **p):
-    """The estimator for a model name, in the parameters the reference figures are quoted in."""
+    """The estimator for a model name; penalties are in units of the mean squared loss, except ridge."""
     base = {"featuresCol": "features", "labelCol": "label", "predictionCol": "prediction"}
     if kind in ("linear", "polynomial"):
         return LinearRegression(regParam=0.0, **base)

@@ -44,12 +44,6 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` when a count shows that it is small; say whether it was."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(df) if small else df), small
-
-
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str],
                 how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Equi-join whose left side may be heavily skewed on ``keys``.
