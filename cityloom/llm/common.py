@@ -152,10 +152,10 @@ BLOOM_BITS = (16, 27)
 
 
 def bloom(df: DataFrame, column: str) -> np.ndarray:
-    """Bits for the 64-bit values of a column. About 16 bits a value, never more than 2**27 (16 MB); what passes
+    """Bits for the 64-bit values of a column. About 32 bits a value, never more than 2**27 (16 MB); what passes
     it is always checked again by a join, so a full filter costs time and no result."""
     n = df.count()
-    bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], (16 * n).bit_length()))
+    bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], (32 * n).bit_length()))
     v = F.col(column)
     spot = F.explode(F.array(*[F.shiftrightunsigned(v, s).bitwiseAND(F.lit((1 << bits) - 1)) for s in (0, 64 - bits, 18)]))
     rows = (df.where(v.isNotNull()).select(spot.alias("p"))

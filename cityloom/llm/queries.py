@@ -2,12 +2,75 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .jaccard_join import jaccard_groups
+from .line_rules import quality_rules
 from .registry import ORACLES, QUERIES, query
+from .winnowing import contamination
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
-@query("op4_jaccard_join", "documents")
+JACCARD_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+reach AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.c)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op4_jaccard_join", "documents", JACCARD_SQL)
 def op4(docs, spark, folder):
     return jaccard_groups(docs)
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"[^\x20\x09-\x0D]+"
+
+LINE_RULES_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {LOWER} AS low, coalesce(source, '') AS host FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORDS}') AS words FROM d),
+win AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS g FROM w, unnest(range(1, len(words) - 6)) u(i)),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1) GROUP BY r),
+raw AS (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_matches(l, '{WORDS}') GROUP BY r),
+line AS (SELECT r, host, doc_id, text, array_to_string(ws, ' ') AS l, len(ws) AS n
+  FROM (SELECT r, host, doc_id, text, regexp_extract_all(unnest(string_split(low, chr(10))), '{WORDS}') AS ws FROM d) WHERE len(ws) > 0),
+often AS (SELECT host, l, arg_min(text, (doc_id, md5(text))) AS first FROM line GROUP BY host, l
+  HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.05 * (SELECT count(DISTINCT text) FROM d WHERE d.host = line.host)),
+lost AS (SELECT r, sum(n)::BIGINT AS n FROM line JOIN often USING (host, l) WHERE text <> first GROUP BY r),
+m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+  coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS removed_words
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+  AND NOT (removed_words > 0 AND (n_words - removed_words < 20 OR n_words - removed_words < 0.3 * n_words)) AS kept FROM m"""
+
+
+@query("op9_line_rules", "documents", LINE_RULES_SQL)
+def op9(docs, spark, folder):
+    return quality_rules(docs)
+
+
+WINNOWING_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[i:i + 9], ' ') AS g FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) WHERE len(w) > 0),
+dw AS (SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM d, (SELECT DISTINCT m FROM iw), unnest(range(1, len(w) - m + 2)) u(i)),
+hit AS (SELECT r, item, i, m FROM dw JOIN iw USING (m, g)),
+n AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hit) GROUP BY r),
+it AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)"""
+
+
+@query("op10_winnowing", "documents", WINNOWING_SQL)
+def op10(docs, spark, folder):
+    found = contamination(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
