@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .chat_format import formatted, probe, read_back
 from .jaccard_join import jaccard_groups
 from .line_rules import quality_rules
+from .mixture import taken_words
 from .registry import ORACLES, QUERIES, query
+from .secret_scan import secrets
 from .winnowing import contamination
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -74,3 +77,44 @@ def op10(docs, spark, folder):
     found = contamination(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+MIXTURE_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}'))::BIGINT AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w,
+  row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+c AS (SELECT *, (2 * n)::DOUBLE AS cap, sum(n) OVER () * 1.5::DOUBLE AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (SELECT source, n, least(cap, (SELECT coalesce(max(level), 'inf'::DOUBLE) FROM l WHERE level * w <= cap) * w) AS target FROM l),
+p AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS a FROM d)
+SELECT doc_id, size, n AS source_size, target,
+  (CASE WHEN n = 0 THEN 0 ELSE floor(target)::BIGINT // n * size + greatest(0, least(a + size, floor(target)::BIGINT % n) - a) END)::BIGINT AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source"""
+
+
+@query("op7_mixture", "documents", MIXTURE_SQL)
+def op7(docs, spark, folder):
+    return taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?(?:INST|SYS|OUT|ROLE|SEP)\]|/?s>)', '\1\\\2\3', 'g'))
+  + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 WHEN 'system' THEN 11 ELSE 18 + length(role) END AS size FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text))) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, md5(text)) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(size) + 3)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
+
+
+@query("op8_chat_format", "conversations", CHAT_SQL)
+def op8(turns, spark, folder):
+    names = ["conv_id", "turn", "role", "text"]
+    return read_back(formatted(turns.select(*names).unionByName(probe(spark))))
+
+
+@query("op5_secret_scan", "documents")
+def op5(docs, spark, folder):
+    return secrets(docs)
