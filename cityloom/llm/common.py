@@ -159,10 +159,9 @@ def bloom(df: DataFrame, column: str) -> np.ndarray:
     v = F.col(column)
     spot = F.explode(F.array(*[F.shiftrightunsigned(v, s).bitwiseAND(F.lit((1 << bits) - 1)) for s in (0, 64 - bits, 18)]))
     rows = (df.where(v.isNotNull()).select(spot.alias("p"))
-            .groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("b")).collect())
+            .groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("b")).toArrow())
     out = np.zeros(1 << (bits - 5), np.uint32)
-    for r in rows:
-        out[r["w"]] = r["b"]
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
     return out
 
 

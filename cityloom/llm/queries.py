@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .chat_format import formatted, probe, read_back
+from .chunk_dedup import report
 from .jaccard_join import jaccard_groups
 from .line_rules import quality_rules
+from .main_text import extract
 from .mixture import taken_words
+from .quality_classifier import scored
 from .registry import ORACLES, QUERIES, query
+from .revisits import crawl, resolve
 from .secret_scan import secrets
 from .winnowing import contamination
 
@@ -118,3 +122,45 @@ def op8(turns, spark, folder):
 @query("op5_secret_scan", "documents")
 def op5(docs, spark, folder):
     return secrets(docs)
+
+
+@query("op1_quality_classifier", "documents")
+def op1(docs, spark, folder):
+    return scored(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+REVISIT_SQL = r"""
+WITH u AS (SELECT page_id, md5(coalesce(html, '')) AS tag, octet_length(encode(coalesce(html, ''))) AS bytes,
+  regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?', '') AS u FROM pages),
+p AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^(?:www\d*|m)\.', ''), ':(?:80|443)$', '') AS host,
+  regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '(?:/index\.[a-z]+)?/*$', '') AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_replace('&' || regexp_extract(u, '\?(.*)$', 1),
+    '(?i)&(?:utm_[a-z]+|gclid|fbclid|ref|sessionid|sid|phpsessid|jsessionid)=[^&]*', '', 'g'), '&'), lambda x: x <> '')), '&') AS q FROM u),
+c AS (SELECT *, CASE WHEN u IS NULL THEN NULL ELSE host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical_url FROM p),
+r AS (SELECT a.*, b.page_id AS found, b.tag AS old, b.bytes AS length FROM c a
+  ASOF LEFT JOIN (SELECT * FROM c WHERE page_id % 11 <> 0 AND canonical_url IS NOT NULL) b ON a.canonical_url = b.canonical_url AND a.page_id * 10 + 5 > b.page_id * 10),
+o AS (SELECT *, CASE WHEN found IS NULL THEN 'unmatched'
+  WHEN page_id % 7 = 0 THEN 'changed' WHEN page_id % 5 = 0 THEN CASE WHEN page_id % 28 = found % 28 THEN 'resolved' ELSE 'changed' END
+  WHEN tag = old THEN 'resolved' ELSE 'changed' END AS outcome FROM r)
+SELECT page_id * 2 + 1 AS record_id, canonical_url, outcome, CASE WHEN outcome = 'resolved' THEN found * 2 END AS payload_id,
+  CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=3600;content-length=' || length || ';content-type=text/html;etag='
+    || CASE WHEN page_id % 5 = 0 THEN '"' || old || '"' ELSE 'W/"' || tag || '"' END || ';last-modified=day ' || found % 28
+  ELSE 'cache-control=max-age=3600;content-length=0;' || CASE WHEN page_id % 7 = 0 THEN 'etag="other"' WHEN page_id % 5 = 0 THEN 'last-modified=day ' || page_id % 28
+    ELSE 'etag=W/"' || tag || '"' END END AS headers FROM o"""
+
+
+@query("op2_revisits", "pages", REVISIT_SQL)
+def op2(pages, spark, folder):
+    found = resolve(crawl(pages))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return found.withColumn("headers", F.array_join(pairs, ";"))
+
+
+@query("op3_main_text", "pages")
+def op3(pages, spark, folder):
+    return extract(pages)
+
+
+@query("op6_chunk_dedup", "documents")
+def op6(docs, spark, folder):
+    return report(docs)
