@@ -1,25 +1,45 @@
 """Cleaning a corpus in stages, each written as Parquet and read again as the next one's documents.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
-return the columns of ``documents``. Each stage works on everything its predecessor kept."""
+return the columns of ``documents``; the last returns what the mix takes of every document. Each stage works on
+everything its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cityloom.llm import jaccard_join
+from cityloom.llm import jaccard_join, line_rules, mixture, secret_scan, winnowing
 from cityloom.operators.scale import materialise
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop rejected documents; lines above the limits leave the others."""
+    return line_rules.kept_documents(docs)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each linked group stays, the one with the smallest id."""
     return jaccard_join.one_of_each_group(docs)
 
 
-STAGES = [
-    ("near_copies", near_copies),
-]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return winnowing.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return secret_scan.redacted(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixture.taken_words(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_copies", near_copies), ("decontamination", decontamination), ("secrets", secrets), ("mixing", mixing)]
 
-#: Tokenised, hashed and looped stages: SQL does not express them; tests hold run() against a brute-force version.
+#: Hashed, looped and tested stages: SQL does not express them; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
