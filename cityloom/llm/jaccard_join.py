@@ -73,12 +73,13 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def ordered(values: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def ordered(values: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
     """The set in global order: frequent shingles last."""
     if len(hot) and len(values):
-        at = np.searchsorted(hot, values)
+        short = short_hash(values, bits)
+        at = np.searchsorted(hot, short)
         at[at == len(hot)] = 0
-        values = np.sort(np.where(hot[at] == values, values | HOT_BIT, values))
+        values = np.sort(np.where(hot[at] == short, values | HOT_BIT, values))
     return values
 
 
@@ -113,57 +114,77 @@ def class_rows(k: int):
     return run
 
 
+def short_hash(values: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket (top bits) and 32 more bits of shingle hashes: enough to bring sets together, since a bucket
+    holds about BUCKET_SHINGLES shingles at any size of the corpus and whole sets are compared afterwards."""
+    return (values & ~HOT_BIT) >> np.uint64(31 - bits)
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Values by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes())
+
+
+def expand(blob: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 class Shipment:
-    """Arrays gathered by bucket (top bits of a shingle) and sent as one compressed row per bucket."""
+    """Short hashes gathered by bucket and sent as one compressed row per bucket; with ``sets``, each hash also
+    carries whether it is frequent and which set (key, size, rare shingles) it belongs to."""
 
     LIMIT = 4_000_000
 
-    def __init__(self, bits: int, columns: int):
-        self.bits, self.columns, self.parts, self.held = bits, columns, [], 0
+    def __init__(self, sets: bool):
+        self.sets, self.names = sets, ["bucket", "hashes"] + ["owner", "frequent", "table"] * sets
+        self.clear()
+
+    def clear(self):
+        self.hashes, self.marks, self.table, self.held = [], [], [], 0
 
-    def add(self, *arrays: np.ndarray):
-        self.parts.append(arrays)
-        self.held += len(arrays[0])
+    def add(self, hashes: np.ndarray, marks: np.ndarray | None = None, row: tuple = ()) -> list[pa.RecordBatch]:
+        self.hashes.append(hashes)
+        if self.sets:
+            self.marks.append(marks)
+            self.table.append(row)
+        self.held += len(hashes)
         return self.flush() if self.held >= self.LIMIT else []
 
-    def flush(self):
+    def flush(self) -> list[pa.RecordBatch]:
         if not self.held:
             return []
-        arrays = [np.concatenate([p[i] for p in self.parts]) for i in range(self.columns)]
-        self.parts, self.held = [], 0
-        order = np.argsort(arrays[0])
-        arrays = [a[order] for a in arrays]
-        bucket = ((arrays[0] << np.uint64(1)) >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(order), np.int64)
-        if len(order) and (arrays[0][-1] & HOT_BIT):  # the bucket ignores the mark of frequent shingles
-            again = np.argsort(bucket, kind="stable")
-            arrays, bucket = [a[again] for a in arrays], bucket[again]
+        hashes = np.concatenate(self.hashes)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        if self.sets:
+            owner = np.repeat(np.arange(len(self.hashes), dtype=np.uint32), [len(h) for h in self.hashes])[order]
+            marks, table = np.concatenate(self.marks)[order], np.array(self.table, np.int64)
+        bucket = (hashes >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = np.append(cuts[1:], len(order))
-        out = []
-        for lo, hi in zip(cuts, ends):
-            blobs = [pack(arrays[0][lo:hi])] + [zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a[lo:hi]).view(np.uint8).reshape(hi - lo, -1).T.tobytes()) for a in arrays[1:]]
-            out.append((int(bucket[lo]), blobs))
-        return [out]
-
-
-def blob_batch(rows, columns: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[1][i] for r in rows], pa.binary()) for i in range(columns)],
-                                      ["bucket"] + [f"c{i}" for i in range(columns)])
+        rows = []
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(hashes))):
+            row = [int(bucket[lo]), pack(hashes[lo:hi] & np.uint64(0xFFFFFFFF))]
+            if self.sets:
+                own, place = np.unique(owner[lo:hi], return_inverse=True)
+                row += [squeeze(place.astype(np.uint32)), squeeze(marks[lo:hi]), squeeze(table[own].ravel())]
+            rows.append(row)
+        self.clear()
+        kinds = [pa.int64()] + [pa.binary()] * (len(self.names) - 1)
+        return [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], self.names)]
 
 
 def count_rows(k: int, bits: int):
     """Shingles of the documents by bucket; equal sets that one task meets are sent once."""
 
     def run(batches):
-        ship, seen = Shipment(bits, 1), set()
+        ship, seen = Shipment(False), set()
         for batch in pieces(batches):
             words = Words(batch.column("text"), NOT_SPACE, True)
             for values in shingle_sets(words, k):
                 if len(values) and not known(seen, values):
-                    for rows in ship.add(values):
-                        yield blob_batch(rows, 1)
-        for rows in ship.flush():
-            yield blob_batch(rows, 1)
+                    yield from ship.add(short_hash(values, bits))
+        yield from ship.flush()
 
     return run
 
@@ -180,86 +201,102 @@ def known(seen: set, values: np.ndarray, most: int = 200_000) -> bool:
 
 
 def frequent(over: int):
-    """Shingles of one bucket that more than ``over`` sent sets have, and how many."""
+    """Short hashes of one bucket that more than ``over`` sent sets have."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, counts = np.unique(np.concatenate([unpack(b) for b in pdf["c0"]]), return_counts=True)
-        keep = counts > over
-        return pd.DataFrame({"shingle": values[keep].view(np.int64), "n": counts[keep]})
+        values, counts = np.unique(np.concatenate([unpack(b) for b in pdf["hashes"]]), return_counts=True)
+        return pd.DataFrame({"hash": (values[counts > over] | (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32))).view(np.int64)})
 
     return run
 
 
 def posting_rows(k: int, bits: int, percent: int, hot_bytes):
-    """Postings by bucket: shingle, class key, size of the set, how many of its shingles are rare."""
+    """The first shingles of each set, by bucket, with the set's key, size and number of rare shingles."""
 
     def run(batches):
         hot = np.frombuffer(hot_bytes.value, np.uint64)
-        ship, seen = Shipment(bits, 4), set()
+        ship, seen = Shipment(True), set()
         for batch in pieces(batches):
             words = Words(batch.column("text"), NOT_SPACE, True)
             for values in shingle_sets(words, k):
                 n = len(values)
-                if not n or known(seen, values):
-                    continue
-                order = ordered(values, hot)
-                rare = int(np.searchsorted(order, HOT_BIT))
-                head = order[:prefix_length(n, percent)]
-                m = len(head)
-                for rows in ship.add(head, np.full(m, key_of(digest(values)), np.int64), np.full(m, n, np.int32), np.full(m, rare, np.int32)):
-                    yield blob_batch(rows, 4)
-        for rows in ship.flush():
-            yield blob_batch(rows, 4)
+                if n and not known(seen, values):
+                    order = ordered(values, hot, bits)
+                    head = order[:prefix_length(n, percent)]
+                    yield from ship.add(short_hash(head, bits), (head >= HOT_BIT).view(np.uint8), (key_of(digest(values)), n, int(np.searchsorted(order, HOT_BIT))))
+        yield from ship.flush()
 
     return run
 
 
-POSTINGS = "shingle long, key long, n int, rare int"
-
+#: A pair that rare shingles bring together (shared: how many of one bucket), or, with a shingle, one posting of a frequent one.
+MEETINGS = "shingle long, a long, na int, ha int, b long, nb int, hb int, shared int"
 
-def shared_postings(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Postings of one bucket whose shingle several classes have, each class once."""
-    raw = [(unpack_sorted(a), column(b, np.int64), column(c, np.int32), column(d, np.int32)) for a, b, c, d in zip(pdf["c0"], pdf["c1"], pdf["c2"], pdf["c3"])]
-    shingle, key, n, rare = (np.concatenate([r[i] for r in raw]) for i in range(4))
-    order = np.argsort(shingle, kind="stable")
-    s = shingle[order]
-    many = np.zeros(len(s), bool)
-    same = s[1:] == s[:-1]
-    many[1:] |= same
-    many[:-1] |= same
-    rows = order[many]
-    out = pd.DataFrame({"shingle": shingle[rows].view(np.int64), "key": key[rows], "n": n[rows], "rare": rare[rows]}).drop_duplicates(["shingle", "key"])
-    return out[out.duplicated("shingle", keep=False)]
 
+def meetings(percent: int):
+    """Of one bucket: pairs of classes that share rare first shingles, counted, and postings of frequent ones.
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    return unpack(blob)
+    h is how many frequent shingles are among the first ones of a set. A rare shingle has few classes, so its pairs
+    are listed; postings of frequent shingles leave as they are."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes = [unpack(b) for b in pdf["hashes"]]
+        tables = [expand(b, np.int64).reshape(-1, 3) for b in pdf["table"]]
+        owner = np.concatenate([expand(b, np.uint32) + base for b, base in zip(pdf["owner"], np.cumsum([0] + [len(t) for t in tables]))])
+        hot = np.concatenate([expand(b, np.uint8) for b in pdf["frequent"]])
+        table, hashes = np.concatenate(tables), np.concatenate(hashes)
+        order = np.lexsort((table[owner, 0], hashes))
+        h, key = hashes[order], table[owner[order], 0]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
+        order, h = order[new], h[new]
+        many = np.zeros(len(h), bool)
+        many[1:] = h[1:] == h[:-1]
+        many[:-1] |= many[1:]
+        order, h = order[many], h[many]
+        row = table[owner[order]]
+        key, n, rare = row.T if len(row) else np.zeros((3, 0), np.int64)
+        first = n - (-(-percent * n // 100)) + 1
+        frame = pd.DataFrame({"shingle": (h | (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32))).view(np.int64), "a": key, "na": n, "ha": np.maximum(0, first - rare)})
+        is_hot = hot[order] == 1
+        long = frame[is_hot].assign(b=None, nb=None, hb=None, shared=None)
+        rare_rows = frame[~is_hot].to_numpy()
+        x, y, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+        while d < len(rare_rows):
+            i = np.flatnonzero(rare_rows[d:, 0] == rare_rows[:-d, 0])
+            if not len(i):
+                break
+            x.append(i)
+            y.append(i + d)
+            d += 1
+        x, y = rare_rows[np.concatenate(x)], rare_rows[np.concatenate(y)]
+        near = percent * np.maximum(x[:, 2], y[:, 2]) <= 100 * np.minimum(x[:, 2], y[:, 2])
+        pairs = pd.DataFrame(np.hstack([x[near][:, 1:], y[near][:, 1:]]), columns=["a", "na", "ha", "b", "nb", "hb"])
+        pairs = pairs.groupby(["a", "na", "ha", "b", "nb", "hb"], as_index=False).size().rename(columns={"size": "shared"}).assign(shingle=None)
+        names = ["shingle", "a", "na", "ha", "b", "nb", "hb", "shared"]
+        return pd.concat([x.astype("Int64") for x in (long[names], pairs[names]) if len(x)]) if len(long) + len(pairs) else pd.DataFrame({c: pd.Series(dtype="Int64") for c in names})
 
-def column(blob: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return run
 
 
-def set_rows(k: int, hot_bytes, wanted_bytes):
-    """Ordered sets of classes that some posting list shares (a Bloom filter decides, a join confirms)."""
+def set_rows(k: int, bits: int, hot_bytes, wanted_bytes):
+    """Ordered sets of the documents that stand for a wanted class (a Bloom filter of their ids; the few others
+    that pass it find no partner in the joins)."""
 
     def run(batches):
         hot, wanted = np.frombuffer(hot_bytes.value, np.uint64), np.frombuffer(wanted_bytes.value, np.uint32)
-        seen = set()
         for batch in pieces(batches):
             doc = np.asarray(batch.column("doc_id").fill_null(0)).astype(np.int64)
             batch = batch.filter(pa.array(passes(wanted, doc.view(np.uint64))))
             if not batch.num_rows:
                 continue
-            words = Words(batch.column("text"), NOT_SPACE, True)
             keys, digests, blobs = [], [], []
-            for values in shingle_sets(words, k):
-                if len(values) and not known(seen, values):
+            for values in shingle_sets(Words(batch.column("text"), NOT_SPACE, True), k):
+                if len(values):
                     d = digest(values)
                     keys.append(key_of(d))
                     digests.append(d)
-                    blobs.append(pack(ordered(values, hot)))
+                    blobs.append(pack(ordered(values, hot, bits)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], ["key", "digest", "items"])
 
     return run
@@ -382,60 +419,78 @@ def linked_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> t
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(texts.mapInArrow(class_rows(k), SETS), "classes")
-    classes = (rows.where("n_shingles > 0").groupBy("digest")
-               .agg(F.first("key").alias("key"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.first("key").alias("key"), F.min("doc_id").alias("doc_id"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = max(0, int(total // BUCKET_SHINGLES).bit_length())
+    bits = int(total // BUCKET_SHINGLES).bit_length()
     buckets = 1 << bits
 
     over = max(HOT_OVER, -(-total // HOT_KEPT))
-    hot = (texts.mapInArrow(count_rows(k, bits), "bucket int, c0 binary").repartition(buckets, "bucket")
-           .groupBy("bucket").applyInPandas(frequent(over), "shingle long, n long"))
-    hot = np.sort(np.array([r[0] for r in hot.select("shingle").collect()], np.int64)).view(np.uint64)  # at most HOT_KEPT
+    hot = (texts.mapInArrow(count_rows(k, bits), "bucket long, hashes binary").repartition(buckets, "bucket")
+           .groupBy("bucket").applyInPandas(frequent(over), "hash long"))
+    hot = np.sort(np.array([r[0] for r in hot.collect()], np.int64)).view(np.uint64)  # at most HOT_KEPT
     hot_bytes = spark.sparkContext.broadcast(hot.tobytes())
 
-    postings = (texts.mapInArrow(posting_rows(k, bits, percent, hot_bytes), "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
-                .repartition(buckets, "bucket").groupBy("bucket").applyInPandas(shared_postings, POSTINGS))
-    postings = materialise(postings, "postings")
+    met = (texts.mapInArrow(posting_rows(k, bits, percent, hot_bytes), "bucket long, hashes binary, owner binary, frequent binary, table binary")
+           .repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meetings(percent), MEETINGS))
+    met = materialise(met, "meetings")
 
-    wanted = postings.select("key").distinct().join(classes.select("key", "doc_id", "digest"), "key")
-    # a class whose smallest doc_id is null is found under id 0, as set_rows reads it
+    # What two sets share beyond their first shingles is at most the rest of one of them, so the first ones must
+    # make up for what is missing; frequent ones count as shared as far as both have them.
+    def rest(n):
+        return f"(ceil({percent} * {n} / 100) - 1)"
+
+    def missing(x, y):
+        return f"(ceil({percent} * ({x} + {y}) / {100 + percent}) - greatest({rest(x)}, {rest(y)}))"
+
+    pairs = (met.where("shingle IS NULL").groupBy("a", "na", "ha", "b", "nb", "hb").agg(F.sum("shared").alias("shared"))
+             .where(f"shared + least(ha, hb) >= {missing('na', 'nb')}").select(F.col("b").alias("hub"), F.col("a").alias("key")))
+    lists = met.where("shingle IS NOT NULL").select("shingle", F.col("a").alias("key"), F.col("na").alias("n"), F.col("ha").alias("h"))
+
+    # originals first: of each frequent shingle's classes, the one with the most frequent shingles for its size meets the others
+    hubs = (lists.groupBy("shingle").agg(F.min(F.struct((F.col("n") - F.col("h")).alias("rest"), "n", "h", "key")).alias("x"))
+            .select("shingle", F.col("x.key").alias("hub"), F.col("x.n").alias("hn"), F.col("x.h").alias("hh")))
+    stars = (lists.join(hubs, "shingle").where("key <> hub").where(f"{percent} * greatest(n, hn) <= 100 * least(n, hn) AND least(h, hh) >= {missing('n', 'hn')}")
+             .select("hub", "key"))
+    asked = materialise(pairs.unionByName(stars).distinct(), "pairs")
+
+    wanted = lists.select("key").unionByName(asked.select("key")).unionByName(asked.select(F.col("hub").alias("key"))).distinct().join(classes, "key")
+    # a class whose documents have no id is found under id 0, as set_rows reads it
     wanted_bytes = spark.sparkContext.broadcast(bloom(wanted.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id")), "doc_id").tobytes())
-    sets = (texts.mapInArrow(set_rows(k, hot_bytes, wanted_bytes), "key long, digest binary, items binary")
-            .join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]))
-    sets = materialise(sets, "sets")
-
-    # originals first: for each shingle the class with the fewest rare shingles meets the others
-    hub = F.min(F.struct("rare", "n", "key"))
-    hubs = postings.groupBy("shingle").agg(hub.alias("h")).select("shingle", F.col("h.key").alias("hub"), F.col("h.n").alias("hn"))
-    near = f"{percent} * greatest(n, hn) <= 100 * least(n, hn)"
-    pairs = postings.join(hubs, "shingle").where("key <> hub").where(near).select("hub", "key").distinct()
-    askers = blocked(pairs.join(sets, "key").select("hub", "digest", F.col("digest").alias("grp"), "items"), ["hub"], "askers")
-    base = sets.select(F.col("key").alias("hub"), F.array(F.struct("digest", F.col("digest").alias("grp"), "items")).alias("base"))
+    sets = materialise(texts.mapInArrow(set_rows(k, bits, hot_bytes, wanted_bytes), "key long, digest binary, items binary"), "sets")
+
+    def one(name):
+        return F.array(F.struct("digest", F.col("digest").alias("grp"), "items")).alias(name)
+
+    askers = blocked(asked.join(sets, "key").select("hub", "digest", F.col("digest").alias("grp"), "items"), ["hub"], "askers")
+    base = sets.select(F.col("key").alias("hub"), one("base")).join(asked.select("hub").distinct(), "hub")
     first = materialise(askers.join(base, "hub").select("askers", "base").mapInArrow(block_links(percent), LINKS), "links")
 
-    # then whole groups that still share a shingle
-    groups = components(first)
-    grouped = sets.join(groups.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "key", "items", F.coalesce("component", "digest").alias("grp"))
-    grouped = materialise(grouped, "groups")
-    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
-    met = postings.join(grouped.select("key", "grp"), "key").groupBy("shingle", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    open_lists = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
-    met = met.join(open_lists, "shingle").join(sizes, "grp")
-    x, y = met.alias("x"), met.alias("y")
-    larger = F.struct("x.members", "x.grp") > F.struct("y.members", "y.grp")
-    close = F.expr(f"{percent} * x.lo <= 100 * y.hi AND {percent} * y.lo <= 100 * x.hi")
-    meets = (x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(larger & close)
-             .select(F.col("x.grp").alias("to"), F.col("y.grp").alias("grp")).distinct())
+    # then whole groups that still share a frequent shingle
+    named = sets.select("key", "digest").join(components(first).withColumnRenamed("node", "digest"), "digest", "left").select("digest", "key", F.coalesce("component", "digest").alias("grp"))
+    named = materialise(named.distinct(), "groups")
+    seen = (lists.join(named.select("key", "grp"), "key").groupBy("shingle", "grp")
+            .agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("h").alias("h"), F.count(F.lit(1)).alias("c")))
+    open_lists = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("shingle")
+    seen = seen.join(open_lists, "shingle")
+    x, y = seen.alias("x"), seen.alias("y")
+    can = (f"{percent} * x.lo <= 100 * y.hi AND {percent} * y.lo <= 100 * x.hi AND least(x.h, y.h) >= "
+           f"ceil({percent} * (x.lo + y.lo) / {100 + percent}) - greatest({rest('x.hi')}, {rest('y.hi')})")
+    meets = (x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(F.struct("x.c", "x.grp") > F.struct("y.c", "y.grp")).where(can)
+             .select(F.least("x.grp", "y.grp").alias("p"), F.greatest("x.grp", "y.grp").alias("q")).distinct())
+    sizes = named.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    p, q = F.struct("ps", "p"), F.struct("qs", "q")  # the smaller group asks
+    meets = (meets.join(sizes.select(F.col("grp").alias("p"), F.col("size").alias("ps")), "p").join(sizes.select(F.col("grp").alias("q"), F.col("size").alias("qs")), "q")
+             .select(F.when(p > q, F.col("p")).otherwise(F.col("q")).alias("to"), F.when(p > q, F.col("q")).otherwise(F.col("p")).alias("grp")))
+    meets = materialise(meets, "meets")
+    grouped = named.select("digest", "grp").join(sets.select("digest", "items"), "digest")
     askers = blocked(meets.join(grouped, "grp").select("to", "digest", "grp", "items"), ["to"], "askers")
-    base = blocked(grouped.join(meets.select(F.col("to").alias("grp")).distinct(), "grp").select("grp", "digest", F.col("items"), F.col("grp").alias("own"))
-                   .select(F.col("own").alias("to"), "digest", "grp", "items"), ["to"], "base")
+    base = blocked(grouped.join(meets.select(F.col("to").alias("grp")).distinct(), "grp").select(F.col("grp").alias("to"), "digest", "grp", "items"), ["to"], "base")
     second = askers.join(base, "to").select("askers", "base").mapInArrow(block_links(percent), LINKS)
 
     whole = components(first.unionByName(second))
-    named = classes.join(whole.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("grp"))
-    lowest = named.groupBy("grp").agg(F.min("doc_id").alias("component"))
-    return rows, named.join(lowest, "grp").select("digest", "component")
+    ends = classes.join(whole.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("grp"))
+    lowest = ends.groupBy("grp").agg(F.min("doc_id").alias("component"))
+    return rows, ends.join(lowest, "grp").select("digest", "component")
 
 
 def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -450,7 +505,9 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
 
 def one_of_each_group(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents with the smallest doc_id of each linked group, all columns as given; documents without words
-    stay, and of repeated rows one. The texts are joined once, by doc_id."""
+    stay, and of rows with one doc_id one. The texts are shuffled once, by doc_id (a null one counts as the least long)."""
     groups = jaccard_groups(docs, k, percent)
-    keep = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    none = F.lit(-(1 << 63))
+    keep = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.coalesce("doc_id", none).alias("_keep")).distinct()
+    keyed = docs.withColumn("_keep", F.coalesce(F.col("doc_id").cast("long"), none))
+    return keyed.join(keep, "_keep", "left_semi").dropDuplicates(["_keep"]).drop("_keep")
