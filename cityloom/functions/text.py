@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def clean_name(c: Column, aliases: dict[str, str] | None = CITY_ALIASES) -> Colu
 def normalize_name(df: DataFrame, column: str, name: str, aliases=CITY_ALIASES) -> DataFrame:
     """Clean ``column`` and rename it to ``name``; an absent column leaves the input unchanged."""
     if column not in df.columns:
-        print(f"column {column} is not in the DataFrame")
+        warnings.warn(f"column {column} is not in the DataFrame", stacklevel=2)
         return df
     return df.withColumn(column, clean_name(F.col(column), aliases)).withColumnRenamed(column, name)
 

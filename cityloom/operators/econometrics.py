@@ -96,22 +96,22 @@ class OLS:
     def residuals(self) -> DataFrame:
         return self.predict().withColumn("residual", F.col(self.y) - F.col("prediction"))
 
-    def summary(self, bucket: Column, order: list[Column]) -> DataFrame:
-        """One row: fit and residual diagnostics, residuals taken in (bucket, order) order."""
-        d = residual_diagnostics(self.residuals(), "residual", bucket, order)
+    def summary(self, order: list[Column]) -> DataFrame:
+        """One row: fit and residual diagnostics, residuals taken in a unique order."""
+        d = residual_diagnostics(self.residuals(), "residual", order)
         lit = {"n": self.n, "r2": self.r2, "adj_r2": self.adj_r2}
         return d.select(*[F.lit(v).alias(k) for k, v in lit.items()], *d.columns)
 
 
-def durbin_watson(df: DataFrame, residual: str, bucket: Column, order: list[Column]) -> DataFrame:
+def durbin_watson(df: DataFrame, residual: str, order: list[Column]) -> DataFrame:
     """Sum of squared first differences over sum of squares, in an explicit row order."""
-    rows = dense_index(df, bucket, order).select("idx", F.col(residual).alias("e"))
+    rows = dense_index(df, order).select("idx", F.col(residual).alias("e"))
     prev = rows.select((F.col("idx") + 1).alias("idx"), F.col("e").alias("p"))
     j = rows.join(prev, "idx", "left")
     return j.agg((F.sum((F.col("e") - F.col("p")) ** 2) / F.sum(F.col("e") ** 2)).alias("durbin_watson"))
 
 
-def residual_diagnostics(df: DataFrame, residual: str, bucket: Column, order: list[Column]) -> DataFrame:
+def residual_diagnostics(df: DataFrame, residual: str, order: list[Column]) -> DataFrame:
     """Durbin-Watson, skew, kurtosis (normal = 3), Jarque-Bera and omnibus with their p-values."""
     e = F.col(residual)
     m = df.agg(F.count(e).cast("double").alias("n"), F.skewness(e).alias("skew"), (F.kurtosis(e) + 3).alias("kurtosis"))
@@ -132,7 +132,7 @@ def residual_diagnostics(df: DataFrame, residual: str, bucket: Column, order: li
     zk = (1 - 2 / (9 * aa) - F.signum(root) * F.pow(F.abs(root), 1 / 3)) / F.sqrt(2 / (9 * aa))
     out = m.withColumn("jarque_bera", jb).withColumn("omnibus", zs * zs + zk * zk)
     out = out.withColumn("jb_p", F.exp(-F.col("jarque_bera") / 2)).withColumn("omnibus_p", F.exp(-F.col("omnibus") / 2))
-    return out.withColumn("durbin_watson", durbin_watson(df, residual, bucket, order).scalar()).drop("n")
+    return out.withColumn("durbin_watson", durbin_watson(df, residual, order).scalar()).drop("n")
 
 
 def _demean(df: DataFrame, entity: str, cols: list[str], theta: DataFrame | None) -> DataFrame:

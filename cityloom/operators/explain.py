@@ -35,20 +35,20 @@ def permutation_importance(df: DataFrame, key: str, columns: list[str], target:
                            seed: int = 42, buckets: int = 1024) -> DataFrame:
     """(feature, repeat, loss): drop in R² when one column is shuffled.
 
-    Rows get dense numbers in hash order; a shuffle is an affine map of the numbers, so the donor
-    value of every row comes from an equi-join on the mapped number, without any global sort."""
-    rows = dense_index(df.select(key, target, *columns), hash_bucket(F.col(key), seed, buckets), [F.col(key)]).persist()
+    Rows get dense numbers in hash order; a shuffle is an affine map of the numbers. Each donor sends
+    its one value to the number that takes it, by the inverse map, so only (number, feature, repeat,
+    value) is multiplied and shuffled, the rows themselves once."""
+    rows = dense_index(df.select(key, target, *columns), [hash_bucket(F.col(key), seed, buckets), F.col(key)])
     n = rows.count()
     base = regression_metrics(predict(rows), target, "prediction").first()["r2"]
-    maps = affine_shuffles(n, len(columns) * repeats, seed)
+    maps = [(pow(a, -1, max(n, 1)), -pow(a, -1, max(n, 1)) * b % max(n, 1)) for a, b in affine_shuffles(n, len(columns) * repeats, seed)]
     plan = [F.struct(F.lit(c).alias("feature"), F.lit(r).alias("repeat"), F.lit(a).cast("decimal(38,0)").alias("a"), F.lit(b).alias("b"))
             for (c, r), (a, b) in zip(((c, r) for c in columns for r in range(repeats)), maps)]
-    copies = rows.withColumn("_p", F.explode(F.array(*plan)))
-    copies = copies.withColumn("_src", ((F.col("_p.a") * F.col("idx") + F.col("_p.b")) % n).cast("long"))
-    donors = rows.select(F.col("idx").alias("_src"), *[F.col(c).alias(f"_d_{c}") for c in columns])
-    mixed = copies.join(donors, "_src").select(
-        target, F.col("_p.feature").alias("feature"), F.col("_p.repeat").alias("repeat"),
-        *[F.when(F.col("_p.feature") == c, F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+    donors = rows.select("idx", *columns).withColumn("_p", F.explode(F.array(*plan)))
+    value = F.coalesce(*[F.when(F.col("_p.feature") == c, F.col(c).cast("double")) for c in columns])
+    donors = donors.select(((F.col("_p.a") * F.col("idx") + F.col("_p.b")) % max(n, 1)).cast("long").alias("idx"), F.col("_p.feature").alias("feature"),
+                           F.col("_p.repeat").alias("repeat"), value.alias("_v"))
+    mixed = rows.join(donors, "idx").select(target, "feature", "repeat", *[F.when(F.col("feature") == c, F.col("_v")).otherwise(F.col(c)).alias(c) for c in columns])
     scores = regression_metrics(predict(mixed), target, "prediction", ["feature", "repeat"])
     return scores.select("feature", "repeat", (F.lit(float(base)) - F.col("r2")).alias("loss"))
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .scale import BLOCK_ROWS, block_count, blocks, materialise, salted_join
+from .scale import BLOCK_ROWS, blocks, materialise, salted_join
 
-PIVOTS = 64
-MAX_CELLS_LISTED = 10_000
+#: Pivots per square root of the donors: a cell holds about as many donors as there are cells.
+PIVOT_SHARE = 1.0
 
 
 def _matrix(rows) -> np.ndarray:
@@ -74,23 +74,27 @@ def _top_k_udf(metric: str, k: int):
 
 
 def nearest_rows(queries: DataFrame, donors: DataFrame, k: int, metric: str = "manhattan") -> DataFrame:
-    """``(q, d, dist, y, rank)``: the k nearest donors ``(d, f, y)`` of each query ``(q, f)``.
+    """``(q, d, dist, y, rank)``: the k nearest donors ``(d, f, y)`` of each query ``(q, f)``; without donors no rows.
 
-    Donors fall into cells around a fixed number of pivots; a query visits the cells the triangle
+    Donors fall into cells around pivots, as many as the square root of the donors; a query visits the cells the triangle
     inequality cannot rule out. Of identical donors only the k lowest keys can ever be used."""
     same = W.partitionBy("f").orderBy("d")
     donors = donors.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).drop("_r")
     donors = materialise(donors, "donors")
-    picked = donors.select("f").orderBy(F.md5(F.col("d").cast("string"))).limit(PIVOTS).collect()
+    n_pivots = max(1, round(PIVOT_SHARE * donors.count() ** 0.5))
+    picked = donors.select("f").orderBy(F.md5(F.col("d").cast("string"))).limit(n_pivots).collect()
+    if not picked:
+        kinds = dict(queries.dtypes)["q"], dict(donors.dtypes)["d"]
+        return donors.sparkSession.createDataFrame([], f"q {kinds[0]}, d {kinds[1]}, dist double, y double, rank int")
     pivots = _matrix([r[0] for r in picked])
     placed = materialise(donors.withColumn("_c", _cells_udf(pivots, metric)(F.col("f"))).select("d", "f", "y", "_c.*"), "cells")
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).collect()
     cells = np.array([s["cell"] for s in stats])
     counts, radii = np.array([s["n"] for s in stats]), np.array([s["r"] for s in stats])
-    packed = blocks(placed, ["cell"], ["d"], ["d", "f", "y"], max(1, -(-int(counts.max()) // BLOCK_ROWS)), "ds")
+    packed = blocks(placed, ["cell"], ["d"], ["d", "f", "y"], "ds").drop("n_blocks")
     visits = queries.withColumn("cell", F.explode(_candidates_udf(pivots, cells, counts, radii, metric, k)(F.col("f"))))
     visits = materialise(visits.select("q", "f", "cell"), "visits")
-    asked = blocks(visits, ["cell"], ["q"], ["q", "f"], block_count(visits, ["cell"]), "qs")
+    asked = blocks(visits, ["cell"], ["q"], ["q", "f"], "qs").drop("n_blocks")
     met = salted_join(packed.withColumnRenamed("block", "_db"), asked, ["cell"], ["_db"])
     best = met.select(F.inline(_top_k_udf(metric, k)(F.col("qs.q"), F.col("qs.f"), F.col("ds.d"), F.col("ds.f"), F.col("ds.y"))))
     rank = F.row_number().over(W.partitionBy("q").orderBy("dist", "d"))
@@ -166,11 +170,10 @@ def knn_impute(df: DataFrame, key: str, cell: str, categories: list[str], numeri
     rows = materialise(rows, "rows")
     asked = rows.where(F.exists("miss", lambda x: x > 0)).select("k", "cell", "cats", "z", "miss")
     best = _impute_udf(k, len(categories), total, len(impute))
-    per_cell = block_count(rows, ["cell"])
-    donors = materialise(blocks(rows, ["cell"], ["k"], ["k", "cats", "z", "vals"], per_cell, "ds").withColumnRenamed("block", "_db"), "donors")
+    donors = materialise(blocks(rows, ["cell"], ["k"], ["k", "cats", "z", "vals"], "ds").drop("n_blocks").withColumnRenamed("block", "_db"), "donors")
 
     def meet(queries: DataFrame) -> DataFrame:
-        packed = blocks(queries, ["cell"], ["k"], ["k", "cats", "z", "miss"], block_count(queries, ["cell"]), "qs")
+        packed = blocks(queries, ["cell"], ["k"], ["k", "cats", "z", "miss"], "qs").drop("n_blocks")
         met = salted_join(donors, packed, ["cell"], ["_db"])
         return met.select(F.inline(best(*[F.col(c) for c in ("qs.k", "qs.cats", "qs.z", "qs.miss", "ds.k", "ds.cats", "ds.z", "ds.vals")])))
 
@@ -188,30 +191,25 @@ def knn_impute(df: DataFrame, key: str, cell: str, categories: list[str], numeri
     boxes = rows.groupBy("cell").agg(
         F.array(*[F.min(num(i)) for i in range(n_z)]).alias("lo"), F.array(*[F.max(num(i)) for i in range(n_z)]).alias("hi"),
         F.array(*[F.count_if(F.isnan(F.get("z", F.lit(i)))) for i in range(n_z)]).alias("gone"))
-    listed = boxes.limit(MAX_CELLS_LISTED + 1).collect()
-    names = [b["cell"] for b in listed]
-    lo = np.array([[np.nan if x is None else x for x in b["lo"]] for b in listed], dtype=float)
-    hi = np.array([[np.nan if x is None else x for x in b["hi"]] for b in listed], dtype=float)
-    full = np.array([[x == 0 for x in b["gone"]] for b in listed])
+    # boxes stand in blocks too: a query meets each block once and leaves with the cells it has to visit
+    n_blocks = boxes.agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")).scalar()
+    packed_boxes = blocks(boxes, [], ["cell"], ["cell", "lo", "hi", "gone"], "boxes").drop("n_blocks")
 
     @pandas_udf(T.ArrayType(T.StringType()))
-    def others(own_cell: pd.Series, z: pd.Series, kth: pd.Series) -> pd.Series:
-        q, out = _matrix(z), []
-        for i, (mine, limit) in enumerate(zip(own_cell, kth)):
-            away = np.maximum(np.maximum(lo - q[i], q[i] - hi), 0.0)
-            bound = 2.0 + np.where(full & ~np.isnan(away), away, 0.0).__pow__(2).sum(axis=1)
-            out.append([n for n, b in zip(names, bound) if n != mine and b <= limit * (1 + 1e-9)])
+    def others(own_cell: pd.Series, z: pd.Series, kth: pd.Series, names: pd.Series, lows: pd.Series, highs: pd.Series, gone: pd.Series) -> pd.Series:
+        out = []
+        for mine, q, limit, n, lo, hi, g in zip(own_cell, z, kth, names, lows, highs, gone):
+            q = np.asarray(q, dtype=float)
+            away = np.maximum(np.maximum(_matrix(lo) - q, q - _matrix(hi)), 0.0)
+            bound = 2.0 + np.where((_matrix(g) == 0) & ~np.isnan(away), away, 0.0).__pow__(2).sum(axis=1)
+            bound *= total / max(total - np.isnan(q).sum(), 1)  # columns that the query lacks weigh the others up
+            n = np.asarray(n, dtype=object)
+            out.append(n[(n != mine) & (bound <= limit * (1 + 1e-9))].tolist())
         return pd.Series(out)
 
     todo = asked.join(open_, "k")
-    if len(listed) <= MAX_CELLS_LISTED:
-        visits = todo.withColumn("cell", F.explode(others("cell", "z", "kth")))
-    else:
-        every = rows.select("cell").distinct().withColumnRenamed("cell", "_other")
-        part = F.pmod(F.xxhash64("_other"), F.lit(BLOCK_ROWS))
-        lists = every.groupBy(part.alias("_p")).agg(F.collect_list("_other").alias("_o"))
-        visits = (todo.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(BLOCK_ROWS - 1)))).join(lists, "_p")
-                  .withColumn("_other", F.explode("_o")).where("_other <> cell").withColumn("cell", F.col("_other")))
+    met = todo.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1))).join(packed_boxes, "block")
+    visits = met.withColumn("cell", F.explode(others("cell", "z", "kth", F.col("boxes.cell"), F.col("boxes.lo"), F.col("boxes.hi"), F.col("boxes.gone"))))
     visits = materialise(visits.select("k", "cell", "cats", "z", "miss"), "visits")
     found = keep(own.drop("_r").unionByName(meet(visits)))
     filled = found.groupBy("q").agg(*[F.avg(F.when(F.col("c") == i, F.col("v"))).alias(f"_f{i}") for i in range(len(impute))])

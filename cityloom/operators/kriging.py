@@ -9,20 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .scale import block_count, blocks, materialise
-from .spatial import nearest_k
+from .scale import blocks, materialise, salted_join
 
 
-def _pair_blocks(df: DataFrame, group: list[str], key: str, value: str) -> DataFrame:
+def _pair_blocks(packed: DataFrame, group: list[str]) -> DataFrame:
     """Each unordered pair of point blocks of a group once, as arrays; points stay packed."""
-    pts = df.select(*group, F.col(key).alias("_id"), "x", "y", F.col(value).cast("double").alias("v")).where("v is not null")
-    n = block_count(pts, group)
-    packed = blocks(pts, group, ["_id"], ["x", "y", "v"], n)
     arrays = lambda s: [F.col(f"items.{f}").alias(f"{f}{s}") for f in ("x", "y", "v")]
-    a = packed.select(*group, F.col("block").alias("i"), *arrays("a"))
-    b = packed.select(*group, F.col("block").alias("j"), *arrays("b"))
-    a = a.withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n - 1))))
-    return a.join(b, [*group, "j"])
+    a = packed.select(*group, F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("n_blocks") - 1)).alias("j"), *arrays("a"))
+    return a.join(packed.select(*group, F.col("block").alias("j"), *arrays("b")), [*group, "j"])
 
 
 def _pairs(i, j, xa, ya, xb, yb):
@@ -60,7 +54,8 @@ def _bin_udf(n_lags: int):
 
 def empirical_variogram(df: DataFrame, group: list[str], key: str, value: str, n_lags: int = 6) -> DataFrame:
     """(group..., lag, n_pairs, distance, semivariance) over equal-width distance bins."""
-    pairs = materialise(_pair_blocks(df, group, key, value), "pairs")
+    pts = df.select(*group, F.col(key).alias("_id"), "x", "y", F.col(value).cast("double").alias("v")).where("v is not null")
+    pairs = _pair_blocks(materialise(blocks(pts, group, ["_id"], ["x", "y", "v"]), "points"), group)
     cols = lambda *n: [F.col(c) for c in n]
     rng = pairs.select(*group, _pair_range(*cols("i", "j", "xa", "ya", "xb", "yb")).alias("r")).groupBy(*group).agg(
         F.min("r.lo").alias("lo"), F.max("r.hi").alias("hi"))
@@ -101,61 +96,160 @@ def spherical_fit(variogram: DataFrame, group: list[str], steps: int = 20) -> Da
                                  ).select(*group, "m.psill", "m.range", "m.nugget")
 
 
-def _gamma(d, psill, rng, nugget):
-    u = np.where(d <= rng, d / np.where(rng > 0, rng, 1.0), 1.0)
-    return np.where(d == 0, 0.0, nugget + psill * (1.5 * u - 0.5 * u**3))
-
-
-@pandas_udf(T.StructType().add("estimate", "double").add("weight_sum", "double"))
-def _solve(px: pd.Series, py: pd.Series, xs: pd.Series, ys: pd.Series, vs: pd.Series, psill: pd.Series,
-           rng: pd.Series, nugget: pd.Series) -> pd.DataFrame:
-    """One (m + 1) system per row; rows with the same m are solved together."""
-    out = np.full((len(px), 2), np.nan)
-    sizes = np.array([len(v) for v in xs])
-    for m in np.unique(sizes):
-        rows = np.flatnonzero(sizes == m)
-        if m == 0:
-            continue
-        x, y, v = (np.stack([np.asarray(s.iloc[r], dtype=float) for r in rows]) for s in (xs, ys, vs))
-        model = [s.to_numpy(dtype=float)[rows] for s in (psill, rng, nugget)]
-        d = np.sqrt((x[:, :, None] - x[:, None, :]) ** 2 + (y[:, :, None] - y[:, None, :]) ** 2)
-        a = np.zeros((len(rows), m + 1, m + 1))
-        a[:, :m, :m] = -_gamma(d, *[p[:, None, None] for p in model])
-        a[:, :m, m] = a[:, m, :m] = 1.0
-        d0 = np.sqrt((x - px.to_numpy()[rows, None]) ** 2 + (y - py.to_numpy()[rows, None]) ** 2)
-        b = np.ones((len(rows), m + 1))
-        b[:, :m] = -_gamma(d0, *[p[:, None] for p in model])
-        try:
-            w = np.linalg.solve(a, b[:, :, None])[:, :m, 0]
-            bad = ~np.isfinite(w).all(axis=1) | (np.abs(w.sum(axis=1) - 1) > 1e-6)
-        except np.linalg.LinAlgError:
-            w, bad = np.zeros((len(rows), m)), np.ones(len(rows), dtype=bool)
-        for r in np.flatnonzero(bad):
-            w[r] = np.linalg.lstsq(a[r], b[r], rcond=None)[0][:m]
-        out[rows, 0], out[rows, 1] = (w * v).sum(axis=1), w.sum(axis=1)
-    return pd.DataFrame(out, columns=["estimate", "weight_sum"])
-
-
-def krige(observed: DataFrame, targets: DataFrame, model: DataFrame, group: list[str], key: str, target_key: str,
-          value: str, m: int = 100, size: float = 50_000.0) -> DataFrame:
-    """(group..., target, estimate, weight_sum) from the m nearest stations of each target; with
-    at most m stations in a group all of them are used."""
-    donors = observed.where(F.col(value).isNotNull()).withColumnRenamed(key, "_donor")
-    near = nearest_k(targets, donors, group, target_key, "_donor", m, size, [value])
-    pick = near.groupBy(*group, target_key).agg(F.array_sort(F.collect_list(F.struct("rank", "x", "y", F.col(value).alias("v")))).alias("n"))
-    rows = pick.join(targets.select(*group, target_key, F.col("x").alias("px"), F.col("y").alias("py")), [*group, target_key])
-    rows = rows.join(model.select(*group, "psill", "range", "nugget"), group)
-    arr = lambda f: F.col(f"n.{f}")
-    solved = rows.select(*group, target_key, _solve(F.col("px"), F.col("py"), arr("x"), arr("y"), arr("v"), F.col("psill"),
-                                                    F.col("range"), F.col("nugget")).alias("s"))
-    return solved.select(*group, target_key, "s.estimate", "s.weight_sum")
-
-
-def fill_by_kriging(df: DataFrame, group: list[str], key: str, value: str, m: int = 100, size: float = 50_000.0) -> DataFrame:
-    """Fill null values per group; observed rows and groups without gaps stay as they are."""
+def _covariance(d, psill, rng, nugget):
+    """Sill minus semivariance; the nugget counts at distance 0 only."""
+    u = np.where(d <= rng, d / (rng if rng > 0 else 1.0), 1.0)
+    return psill * (1 - (1.5 * u - 0.5 * u**3)) + np.where(d == 0, nugget, 0.0)
+
+
+def _between(xa, ya, xb, yb):
+    return np.sqrt((xa[:, None] - xb[None, :]) ** 2 + (ya[:, None] - yb[None, :]) ** 2)
+
+
+_VECTOR = "array<double>"
+_STATE = ["a0", "a1", "r0", "r1", "s0", "s1", "p0", "p1"]
+
+
+def _apart(group: list[str], df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in group)
+
+
+def _precondition(row: dict, r0: np.ndarray, r1: np.ndarray) -> np.ndarray:
+    """Solve with the block's own covariance alone."""
+    x, y = np.asarray(row["x"], float), np.asarray(row["y"], float)
+    c = _covariance(_between(x, y, x, y), row["psill"], row["range"], row["nugget"])
+    if row["psill"] + row["nugget"] <= 0:
+        return np.zeros((len(x), 2))
+    return np.linalg.solve(c, np.column_stack([r0, r1]))
+
+
+def _moved(i: str):
+    return F.zip_with(f"s{i}", f"p{i}", lambda s, p: s + F.col(f"_b{i}") * p)
+
+
+def _added(c: str):
+    """Sum of a list of equally long arrays (one for each block of the group)."""
+    return F.aggregate(F.slice(c, 2, F.size(c)), F.get(c, F.lit(0)), lambda s, a: F.zip_with(s, a, lambda x, y: x + y))
+
+
+def dual_weights(points: DataFrame, model: DataFrame, group: list[str], tolerance: float = 1e-10, most: int = 200) -> DataFrame:
+    """(group..., block, x, y, w, mu, psill, range, nugget): the weights of ordinary kriging in dual form, from all
+    points ``(group..., x, y, v)`` of a group, no two at one place.
+
+    With C the covariances of the points, C a = v and C b = 1 give mu = sum(a) / sum(b) and w = a - mu b. Both
+    systems are solved by conjugate gradients over blocks of points: a product with C is a join of block pairs and a
+    sum, and every block's own covariance preconditions it, so a group of one block takes one step. A group stops when both
+    residuals are below ``tolerance`` of their start; ``most`` steps without that are an error. Groups without a
+    model or with a model of zero have w = 0 and mu = the mean of v."""
+    zero = {c: F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("psill", "range", "nugget")}
+    packed = blocks(points, group, ["x", "y"], ["x", "y", "v"]).join(model.select(*group, *zero), group, "left")
+    packed = materialise(packed.select(*group, "block", "n_blocks", *[F.col(f"items.{c}").alias(c) for c in ("x", "y", "v")], *zero.values()), "points")
+    fixed = packed.drop("v")
+    keys = [*group, "block"]
+    kinds = _apart(keys, packed)
+
+    def start(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                v = np.asarray(row["v"], float)
+                s = _precondition(row, v, np.ones(len(v)))
+                none = np.zeros(len(v))
+                out.append([row[k] for k in keys] + [none, none, v, np.ones(len(v)), s[:, 0], s[:, 1], none, none])
+            yield pd.DataFrame(out, columns=[*keys, *_STATE])
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+
+    def product(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                arrays = {c: np.asarray(row[c], float) for c in ("x", "y", "xb", "yb", "p0", "p1")}
+                c = _covariance(_between(arrays["x"], arrays["y"], arrays["xb"], arrays["yb"]), row["psill"], row["range"], row["nugget"])
+                out.append([row[k] for k in keys] + [c @ arrays["p0"], c @ arrays["p1"]])
+            yield pd.DataFrame(out, columns=[*keys, "q0", "q1"])
+
+    def advance(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                new, r = {}, []
+                for i in "01":
+                    step = row[f"rho{i}"] / row[f"pq{i}"] if row[f"pq{i}"] > 0 else 0.0
+                    new[f"a{i}"] = np.asarray(row[f"a{i}"], float) + step * np.asarray(row[f"p{i}"], float)
+                    r.append(np.asarray(row[f"r{i}"], float) - step * np.asarray(row[f"q{i}"], float))
+                s = _precondition(row, *r)
+                new |= {"r0": r[0], "r1": r[1], "s0": s[:, 0], "s1": s[:, 1], "p0": row["p0"], "p1": row["p1"]}
+                out.append([row[k] for k in keys] + [new[c] for c in _STATE])
+            yield pd.DataFrame(out, columns=[*keys, *_STATE])
+
+    def scalars(state):
+        return state.groupBy(*group).agg(*[F.sum(dot(f"r{i}", f"s{i}")).alias(f"rho{i}") for i in "01"], *[F.sum(dot(f"r{i}", f"r{i}")).alias(f"rr{i}") for i in "01"])
+
+    shape = f"{kinds}, " + ", ".join(f"{c} {_VECTOR}" for c in _STATE)
+    state = materialise(packed.select(*keys, "x", "y", "v", "psill", "range", "nugget").mapInPandas(start, shape), "state")
+    first = before = materialise(scalars(state), "scalars")
+    limits = first.select(*group, *[F.col(f"rr{i}").alias(f"z{i}") for i in "01"])
+    past = before.select(*group, *[F.lit(0.0).alias(f"old{i}") for i in "01"])
+    models = fixed.select(*group, "psill", "nugget").distinct().where("psill + nugget > 0").select(*group)
+    for step in range(most + 1):
+        now = before.join(limits, group).join(models, group, "left_semi")
+        if not now.where(" OR ".join(f"rr{i} > {tolerance * tolerance} * z{i}" for i in "01")).limit(1).count():
+            break
+        if step == most:
+            raise RuntimeError(f"kriging weights did not settle in {most} steps")
+        turn = state.join(before.join(past, group), group)
+        for i in "01":
+            beta = F.when(F.col(f"old{i}") > 0, F.col(f"rho{i}") / F.col(f"old{i}")).otherwise(F.lit(0.0))
+            turn = turn.withColumn(f"_b{i}", beta).withColumn(f"p{i}", _moved(i))
+        turn = turn.drop("_b0", "_b1")
+        right = turn.select(*group, F.col("block").alias("_j"), "p0", "p1").join(fixed.select(*group, F.col("block").alias("_j"), F.col("x").alias("xb"), F.col("y").alias("yb")), [*group, "_j"])
+        left = fixed.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        met = left.join(right, [*group, "_j"]).select(*keys, "x", "y", "xb", "yb", "p0", "p1", "psill", "range", "nugget")
+        parts = met.mapInPandas(product, f"{kinds}, q0 {_VECTOR}, q1 {_VECTOR}")
+        summed = parts.groupBy(*keys).agg(*[F.collect_list(f"q{i}").alias(f"q{i}") for i in "01"])
+        summed = summed.select(*keys, *[_added(f"q{i}").alias(f"q{i}") for i in "01"])
+        turn = turn.join(summed, keys)
+        pq = turn.groupBy(*group).agg(*[F.sum(dot(f"p{i}", f"q{i}")).alias(f"pq{i}") for i in "01"])
+        whole = turn.join(pq, group).join(fixed.select(*keys, "x", "y", "psill", "range", "nugget"), keys)
+        state = materialise(whole.mapInPandas(advance, shape), "state")
+        past = before.select(*group, *[F.col(f"rho{i}").alias(f"old{i}") for i in "01"])
+        before = materialise(scalars(state), "scalars")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    sums = state.groupBy(*group).agg(F.sum(total("a0")).alias("sa"), F.sum(total("a1")).alias("sb"))
+    mean = packed.groupBy(*group).agg((F.sum(total("v")) / F.sum(F.size("v"))).alias("mean"))
+    mu = sums.join(mean, group).select(*group, F.coalesce(F.try_divide("sa", "sb"), "mean").alias("mu"))
+    out = state.select(*keys, "a0", "a1").join(mu, group).join(fixed, keys)
+    return out.select(*keys, "n_blocks", "x", "y", F.zip_with("a0", "a1", lambda a, b: a - F.col("mu") * b).alias("w"), "mu", "psill", "range", "nugget")
+
+
+def krige(observed: DataFrame, targets: DataFrame, model: DataFrame, group: list[str], target_key: str, value: str) -> DataFrame:
+    """(group..., target, estimate) from all observations of the group; those at one place count by their mean.
+    A target whose group has no observation gets no row."""
+    points = observed.where(F.col(value).isNotNull()).groupBy(*group, "x", "y").agg(F.avg(F.col(value).cast("double")).alias("v"))
+    weights = materialise(dual_weights(points, model, group), "weights")
+    asked = targets.select(*group, target_key, F.col("x").alias("px"), F.col("y").alias("py"))
+    parts = weights.groupBy(*group).agg(F.max("n_blocks").alias("n_blocks"))
+    asked = salted_join(asked, parts, group, [target_key]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
+
+    @pandas_udf("double")
+    def effect(px: pd.Series, py: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, psill: pd.Series, rng: pd.Series, nugget: pd.Series) -> pd.Series:
+        out = []
+        for a, b, xs, ys, ws, p, r, n in zip(px, py, x, y, w, psill, rng, nugget):
+            out.append(float(_covariance(_between(np.array([a]), np.array([b]), np.asarray(xs, float), np.asarray(ys, float)), p, r, n)[0] @ np.asarray(ws, float)))
+        return pd.Series(out, dtype="float64")
+
+    met = salted_join(asked, weights.drop("n_blocks"), [*group, "block"], [target_key])
+    part = met.select(*group, target_key, "mu", effect("px", "py", "x", "y", "w", "psill", "range", "nugget").alias("e"))
+    return part.groupBy(*group, target_key).agg((F.max("mu") + F.sum("e")).alias("estimate"))
+
+
+def fill_by_kriging(df: DataFrame, group: list[str], key: str, value: str) -> DataFrame:
+    """Fill null values per group; observed rows, and groups without any observation, stay as they are."""
     seen = df.where(F.col(value).isNotNull())
     model = spherical_fit(empirical_variogram(seen, group, key, value), group)
-    est = krige(seen, df.where(F.col(value).isNull()), model, group, key, key, value, m, size)
+    est = krige(seen, df.where(F.col(value).isNull()), model, group, key, value)
     return df.join(est.select(*group, key, "estimate"), [*group, key], "left").withColumn(
         value, F.coalesce(F.col(value), F.col("estimate"))).drop("estimate")
 

@@ -53,10 +53,10 @@ def lag_features(df: DataFrame, keys: list[str], order: str, lags: dict[str, tup
     return out.na.drop(subset=list(lags))
 
 
-def pooled_lag_features(df: DataFrame, bucket, order: list, lags: dict[str, tuple[str, int]]) -> DataFrame:
-    """Lags over the whole table in (bucket, order) order, across city borders: dense row numbers
-    and an equi-join per lag distance instead of one global window."""
-    rows = dense_index(df, bucket, order)
+def pooled_lag_features(df: DataFrame, order: list, lags: dict[str, tuple[str, int]]) -> DataFrame:
+    """Lags over the whole table in a unique order, across city borders: dense row numbers and an
+    equi-join per lag distance instead of one global window."""
+    rows = dense_index(df, order)
     out = rows
     for k in sorted({k for _, k in lags.values()}):
         cols = {new: c for new, (c, d) in lags.items() if d == k}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scale import exact_quantiles, salted_join
+from .scale import exact_quantiles, materialise, salted_join
 
 CITY_YEAR = ["city_id", "year"]
 PIXEL = [*CITY_YEAR, "px", "py"]
@@ -118,14 +118,14 @@ def areas_km2(flags: DataFrame) -> DataFrame:
     return flags.groupBy(*CITY_YEAR).agg(*[(F.count_if(F.col(m)) * KM2_PER_PIXEL).alias(m) for m in ("urban", "green", "water")])
 
 
-def area_table(areas: DataFrame, cities: DataFrame, years: list[int]) -> DataFrame:
-    """Every city and year; pairs without scenes have null areas."""
-    cells = cities.select("city_id").withColumn("year", F.explode(F.array(*[F.lit(y) for y in years])))
-    return cells.join(areas, CITY_YEAR, "left")
+def area_table(areas: DataFrame, cities: DataFrame, years: DataFrame) -> DataFrame:
+    """Every city in every year of ``years``; pairs without scenes have null areas."""
+    wanted = years.agg(F.array_sort(F.collect_set("year"))).scalar()
+    return cities.select("city_id", F.explode(wanted).alias("year")).join(areas, CITY_YEAR, "left")
 
 
 def land_cover(pixels: DataFrame, years: list[int] | None = None) -> DataFrame:
     """Pixels to areas per city and year."""
     composite = median_composite(cloud_mask(scene_filter(pixels, years)))
-    idx = spectral_indices(composite)
+    idx = materialise(spectral_indices(composite), "indices")
     return areas_km2(classify(idx, otsu_threshold(index_histogram(idx)), percentile_thresholds(idx)))

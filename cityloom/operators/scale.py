@@ -3,7 +3,6 @@ numbers, bounded blocks, and lineage cut through reliable storage."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,24 +11,15 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 512
 SALTS = 16
-BROADCAST_ROWS = 100_000
-
-
-_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``. Only a local-mode session
-    without that setting gets a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="cityloom-")
-    return _LOCAL_FOLDERS[app]
+    """The folder that the driver and all executors reach: ``spark.checkpoint.dir`` or, where that is
+    unset, the folder given to ``SparkContext.setCheckpointDir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -56,11 +46,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    names: list[str], accuracy: int = 10_000) -> DataFrame:
+                    names: list[str], accuracy: int = 10_000, parts: int = 64) -> DataFrame:
     """Exact linearly interpolated quantiles per group; no group is gathered in one task.
 
-    A mergeable sketch brackets every wanted rank. Rows below a bracket are only counted, rows
-    inside it (about 0.1 % of a large group, everything in a small one) are ranked."""
+    Rows become (value, count) first, so equal values vanish before any join. A mergeable sketch
+    brackets every wanted rank; values below a bracket are only counted, those inside it (about
+    0.1 % of a large group) are cut into ``parts`` by a second sketch, whose exact counts name the
+    one or two parts that hold the rank. Only the distinct values of these are put in order."""
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     pad = 5.0 / accuracy
     stats = base.groupBy(*keys).agg(
@@ -68,38 +60,40 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         F.percentile_approx("_v", [max(0.0, p - pad) for p in probs], accuracy).alias("_lo"),
         F.percentile_approx("_v", [min(1.0, p + pad) for p in probs], accuracy).alias("_hi"),
     )
-    whole = F.col("_n") <= accuracy
+    narrow = F.col("_n") * pad >= 2  # else the pad is no whole rank and the bracket is the group
     brackets = F.transform(
         F.sequence(F.lit(0), F.lit(len(probs) - 1)),
         lambda i: F.struct(
             i.alias("i"),
-            F.when(whole, F.col("_mn")).otherwise(F.get(F.col("_lo"), i)).alias("lo"),
-            F.when(whole, F.col("_mx")).otherwise(F.get(F.col("_hi"), i)).alias("hi"),
+            F.when(narrow, F.get(F.col("_lo"), i)).otherwise(F.col("_mn")).alias("lo"),
+            F.when(narrow, F.get(F.col("_hi"), i)).otherwise(F.col("_mx")).alias("hi"),
         ),
     )
     stats = stats.select(*keys, F.struct(F.col("_n").alias("n"), brackets.alias("b")).alias("_st"))
-    if keys:
-        rows = salted_join(base, stats, keys, ["_v"])
-    else:
-        rows = base.withColumn("_st", stats.scalar())
+    values = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    rows = salted_join(values, stats, keys, ["_v"]) if keys else values.withColumn("_st", stats.scalar())
     v = F.col("_v")
     hits = F.transform(
         F.filter(F.col("_st.b"), lambda b: v <= b["hi"]),
         lambda b: F.struct(b["i"].alias("i"), F.when(v >= b["lo"], v).alias("v")),
     )
-    counted = (
-        rows.select(*keys, F.col("_st.n").alias("_n"), F.explode(hits).alias("_h"))
-        .groupBy(*keys, "_n", F.col("_h.i").alias("_i"), F.col("_h.v").alias("_c"))
-        .agg(F.count(F.lit(1)).alias("_k"))
-    )
-    up_to = F.sum("_k").over(
-        W.partitionBy(*keys, "_i").orderBy(F.col("_c").asc_nulls_first())
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+    held = (rows.select(*keys, F.col("_st.n").alias("_n"), "_k", F.explode(hits).alias("_h"))
+            .select(*keys, "_n", F.col("_h.i").alias("_i"), F.col("_h.v").alias("_c"), "_k"))
+    grid = [j / parts for j in range(1, parts)]
+    cuts = held.groupBy(*keys, "_i", "_n").agg(
+        F.sum(F.when(F.col("_c").isNull(), F.col("_k")).otherwise(0)).alias("_below"), F.percentile_approx("_c", grid, 4 * parts).alias("_e"))
+    inside = salted_join(held.where("_c IS NOT NULL").drop("_n"), cuts, [*keys, "_i"], ["_c"])
+    inside = inside.withColumn("_p", F.size(F.filter("_e", lambda e: e < F.col("_c"))))
+    ahead = W.partitionBy(*keys, "_i").orderBy("_p").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = inside.groupBy(*keys, "_i", "_n", "_below", "_p").agg(F.sum("_k").alias("_s")).withColumn("_to", F.col("_below") + F.sum("_s").over(ahead))
     p = F.get(F.array(*[F.lit(float(x)) for x in probs]), F.col("_i"))
     pos = p * (F.col("_n") - 1)
+    wanted = (sums.withColumn("_from", F.col("_to") - F.col("_s"))
+              .where((F.col("_from") <= F.ceil(pos)) & (F.col("_to") > F.floor(pos))).select(*keys, "_i", "_p", "_from"))
+    kept = salted_join(inside.drop("_below", "_e"), wanted, [*keys, "_i", "_p"], ["_c"])
+    up_to = F.col("_from") + F.sum("_k").over(W.partitionBy(*keys, "_i", "_p").orderBy("_c").rowsBetween(W.unboundedPreceding, W.currentRow))
     ranked = (
-        counted.withColumn("_up", up_to).where(F.col("_c").isNotNull())
+        kept.withColumn("_up", up_to)
         .groupBy(*keys, "_i", "_n")
         .agg(F.min(F.when(F.col("_up") > F.floor(pos), F.col("_c"))).alias("_a"),
              F.min(F.when(F.col("_up") > F.ceil(pos), F.col("_c"))).alias("_b"))
@@ -120,34 +114,32 @@ def hash_bucket(key: Column, seed: int, buckets: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % buckets
 
 
-def dense_index(df: DataFrame, bucket: Column, order: list[Column], name: str = "idx") -> DataFrame:
-    """Row numbers 0..n-1 in (bucket, order) order without one global sort.
+def dense_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
+    """Row numbers 0..n-1 in ``order``, which must be unique.
 
-    ``bucket`` takes a bounded number of values and grows with ``order`` when the order matters;
-    rows are numbered inside their bucket and shifted by the sizes of the buckets before it."""
-    rows = df.withColumn("_b", bucket)
+    Rows are dealt into ranges of the order, sorted inside each range and written once; the
+    numbers of a range start after the rows of the ranges before it. Only their counts are summed
+    in one place."""
+    # the id holds the number of the range above 33 bits, the place in the range below
+    rows = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    rows = rows.withColumn("_b", F.shiftright("_id", 33))
     counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_b", (F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow))
                - F.col("_n")).alias("_off"))
-    numbered = rows.withColumn("_rn", F.row_number().over(W.partitionBy("_b").orderBy(*order)))
-    return (
-        numbered.join(offsets, "_b")
-        .withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-        .drop("_b", "_rn", "_off")
-    )
-
+    return rows.join(offsets, "_b").withColumn(name, F.col("_off") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_b", "_id", "_off")
 
-def blocks(df: DataFrame, keys: list[str], spread: list[str], fields: list[str], n_blocks: int,
-           name: str = "items") -> DataFrame:
-    """Pack rows into arrays of about ``BLOCK_ROWS`` structs per (keys, block)."""
-    blk = F.pmod(F.xxhash64(*spread), F.lit(n_blocks)).cast("int")
-    return df.groupBy(*keys, blk.alias("block")).agg(
-        F.collect_list(F.struct(*[F.col(f) for f in fields])).alias(name))
 
+def blocks(df: DataFrame, keys: list[str], spread: list[str], fields: list[str], name: str = "items") -> DataFrame:
+    """Pack rows into arrays of about ``BLOCK_ROWS`` structs: (keys..., block, n_blocks, items).
 
-def block_count(df: DataFrame, keys: list[str], rows: int = BLOCK_ROWS) -> int:
-    """Blocks needed so that even the largest group packs into arrays of about ``rows``."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    return max(1, -(-largest // rows))
+    Every group is cut by its own size, so small groups are one array and large ones many."""
+    rows = df.select(*dict.fromkeys([*keys, *spread, *fields]))
+    size = F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")
+    if keys:
+        rows = salted_join(rows, rows.groupBy(*keys).agg(size.alias("n_blocks")), keys, spread)
+    else:
+        rows = rows.withColumn("n_blocks", rows.agg(size).scalar())
+    blk = F.pmod(F.xxhash64(*spread), F.col("n_blocks")).cast("int")
+    return rows.groupBy(*keys, blk.alias("block"), "n_blocks").agg(
+        F.collect_list(F.struct(*[F.col(f) for f in fields])).alias(name))

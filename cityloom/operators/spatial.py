@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance, point_segment_distance, project_point, ray_crosses, segment_segment_distance
-from .scale import BLOCK_ROWS, BROADCAST_ROWS, block_count, blocks, materialise, salted_join
+from .scale import BLOCK_ROWS, blocks, materialise, salted_join
 
 NEIGHBOURS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
@@ -25,13 +25,10 @@ def distance_sums(cities: DataFrame, points: DataFrame, key: str, point_key: str
     block once through an equi-join on the block number and adds up one partial result."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     pts = points.select(point_key, "x", "y", w.alias("w"))
-    n = pts.count()
-    n_blocks = max(1, -(-n // BLOCK_ROWS))
-    packed = blocks(pts, [], [point_key], ["x", "y", "w"], n_blocks)
-    if n <= BROADCAST_ROWS:
-        packed = F.broadcast(packed)
+    packed = blocks(pts, [], [point_key], ["x", "y", "w"]).drop("n_blocks")
+    n_blocks = pts.agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")).scalar()
     left = cities.select(key, F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        "block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     both = left.join(packed, "block").withColumn("km", F.transform(
         "items", lambda p: distance(p["x"], p["y"], F.col("_x"), F.col("_y")) / 1000))
     add = lambda s, v: s + v
@@ -136,8 +133,7 @@ def points_in_polygons(points: DataFrame, segs: DataFrame, point_key: str, poly_
         "px between lx and hx and py between ly and hy").select(point_key, poly_key, "px", "py", "cy")
     strips = segs.select(poly_key, "x1", "y1", "x2", "y2").withColumn("cy", F.explode(
         _span_cells(F.least("y1", "y2"), F.greatest("y1", "y2"), size)))
-    n_blocks = block_count(strips, [poly_key, "cy"])
-    packed = blocks(strips, [poly_key, "cy"], ["x1", "y1", "x2", "y2"], ["x1", "y1", "x2", "y2"], n_blocks)
+    packed = blocks(strips, [poly_key, "cy"], ["x1", "y1", "x2", "y2"], ["x1", "y1", "x2", "y2"])
     hit = salted_join(near, packed, [poly_key, "cy"], [point_key]).select(
         point_key, poly_key, F.size(F.filter("items", lambda e: ray_crosses(F.col("px"), F.col("py"), e))).alias("n"))
     return hit.groupBy(point_key, poly_key).agg(F.sum("n").alias("n")).where("n % 2 = 1").select(point_key, poly_key)
@@ -203,9 +199,8 @@ def nearest_polygon(points: DataFrame, segs: DataFrame, point_key: str, poly_key
     placed = _at_levels(segment_cells(segs.select(poly_key, "x1", "y1", "x2", "y2"), size), top)
     occupied = placed.groupBy("level", "lx", "ly").agg(F.count(F.lit(1)).alias("n"))
     levels = _first_level(at.select("cx", "cy").distinct(), occupied, [], top, 1)
-    n_blocks = block_count(placed, ["level", "lx", "ly"])
     packed = blocks(placed, ["level", "lx", "ly"], [poly_key, "x1", "y1", "x2", "y2"],
-                    [poly_key, "x1", "y1", "x2", "y2"], n_blocks)
+                    [poly_key, "x1", "y1", "x2", "y2"])
 
     def search(pts: DataFrame) -> DataFrame:
         met = salted_join(_neighbour_cells(pts), packed, ["level", "lx", "ly"], [point_key])
@@ -233,14 +228,14 @@ def roads_within(outlines: DataFrame, roads: DataFrame, city_key: str, road_key:
     seg = ["x1", "y1", "x2", "y2"]
     c = segment_cells(outlines.select(city_key, *seg), size)
     r = segment_cells(roads.select(road_key, *seg), size, grow=metres)
-    c_packed = blocks(c, [city_key, "cx", "cy"], seg, seg, block_count(c, [city_key, "cx", "cy"]), "cs")
-    r_packed = blocks(r, ["cx", "cy"], [road_key, *seg], [road_key, *seg], block_count(r, ["cx", "cy"]), "rs")
-    met = salted_join(r_packed, c_packed.drop("block"), ["cx", "cy"], ["block"])
+    c_packed = blocks(c, [city_key, "cx", "cy"], seg, seg, "cs")
+    r_packed = blocks(r, ["cx", "cy"], [road_key, *seg], [road_key, *seg], "rs")
+    met = salted_join(r_packed, c_packed.drop("block", "n_blocks"), ["cx", "cy"], ["block"])
     close = F.filter("rs", lambda a: F.exists("cs", lambda b: segment_segment_distance(a, b) <= metres))
     near = met.select(city_key, F.explode(F.array_distinct(F.transform(close, lambda a: a[road_key]))).alias(road_key))
-    starts = roads.select(F.xxhash64(road_key, *seg).alias("_p"), road_key, F.col("x1").alias("x"), F.col("y1").alias("y"))
+    starts = roads.select(F.struct(road_key, *seg).alias("_p"), road_key, F.col("x1").alias("x"), F.col("y1").alias("y"))
     inner = points_in_polygons(starts.select("_p", "x", "y").distinct(), outlines, "_p", city_key, size)
-    held = starts.select("_p", road_key).distinct().join(inner, "_p").select(city_key, road_key)
+    held = inner.select(city_key, F.col(f"_p.{road_key}").alias(road_key)).distinct()
     pairs = near.unionByName(held).distinct()
     n = pairs.groupBy(city_key).agg(F.count(F.lit(1)).alias("roads"))
     return outlines.select(city_key).distinct().join(n, city_key, "left").na.fill(0, ["roads"])
@@ -260,7 +255,7 @@ def nearest_k(targets: DataFrame, donors: DataFrame, group: list[str], target_ke
     levels = _first_level(t.select(*group, "cx", "cy").distinct(), occupied, group, top, k)
     at = [*group, "level", "lx", "ly"]
     item = [donor_key, "x", "y", *fields]
-    packed = blocks(placed, at, [donor_key], item, block_count(placed, at))
+    packed = blocks(placed, at, [donor_key], item)
     w = W.partitionBy(*group, target_key)
 
     def search(pts: DataFrame) -> DataFrame:

@@ -119,11 +119,12 @@ def parse_point(t):
     return raw.select("place_id", F.round(lat, 6).alias("lat"), F.round(lng, 6).alias("lng"))
 
 
-@query("B12_rename_align", with_roles("panel") + " SELECT city_id AS \"Ciudad\", month AS \"Mes\", visitors AS \"Nmero Extranjeros\", gdp AS \"Pib Ponderado\" FROM panel WHERE year IN (1997,1998)")
+@query("B12_rename_align", with_roles("panel") + " SELECT city_id AS \"Ciudad\", month AS \"Mes\", visitors AS \"Nmero Extranjeros\", gdp AS \"Pib Ponderado\" FROM panel")
 def rename_align(t):
     names = {"Ciudad": "city_id", "Mes": "month", "Nmero Extranjeros": "visitors", "Pib Ponderado": "gdp"}
-    years = [t.panel.where(F.col("year") == y) for y in (1997, 1998)]
-    return cleaning.stack([cleaning.align_columns(p, names) for p in years])
+    even = F.col("year") % 2 == 0
+    other = t.panel.where(~even).withColumnsRenamed({"visitors": "n_visitors"}).select("gdp", "n_visitors", "month", "city_id")
+    return cleaning.stack([cleaning.align_columns(t.panel.where(even), names), cleaning.align_columns(other, {**names, "Nmero Extranjeros": "n_visitors"})])
 
 
 @query("B13_fill_zero", _GAPPY + """SELECT l_partkey, sum(coalesce(discount,0)+coalesce(tax,0))::DECIMAL(18,2)::DOUBLE AS filled,
@@ -194,12 +195,12 @@ def split_missing(t):
     return both.groupBy("l_partkey").agg(F.sum("c").alias("complete"), F.sum("m").alias("missing"))
 
 
-@query("C8_panel_scaffold", with_roles("arrivals", "cities") + """, f AS (SELECT city_id, month, sum(amount) AS s, median(amount) AS m FROM arrivals WHERE year=1997 GROUP BY ALL),
- k AS (SELECT DISTINCT city_id FROM arrivals WHERE year=1997)
-SELECT city_id, mm.month AS month, round(coalesce(s,0),2) AS total, round(m,4) AS middle FROM k CROSS JOIN (SELECT unnest(range(1,13)) AS month) mm LEFT JOIN f USING (city_id, month)""")
+@query("C8_panel_scaffold", with_roles("arrivals", "cities") + """, f AS (SELECT city_id, year, month, sum(amount) AS s, median(amount) AS m FROM arrivals GROUP BY ALL),
+ k AS (SELECT DISTINCT city_id, year FROM arrivals)
+SELECT city_id, year, mm.month AS month, round(coalesce(s,0),2) AS total, round(m,4) AS middle FROM k CROSS JOIN (SELECT unnest(range(1,13)) AS month) mm LEFT JOIN f USING (city_id, year, month)""")
 def panel_scaffold(t):
-    a = t.arrivals.where("year = 1997")
-    total = panel.complete_months(a, ["city_id"], "month", "amount", "sum")
-    middle = panel.complete_months(a, ["city_id"], "month", "amount", "median")
-    return total.select("city_id", "month", F.round("amount", 2).alias("total")).join(
-        middle.select("city_id", "month", F.round("amount", 4).alias("middle")), ["city_id", "month"])
+    keys = ["city_id", "year"]
+    total = panel.complete_months(t.arrivals, keys, "month", "amount", "sum")
+    middle = panel.complete_months(t.arrivals, keys, "month", "amount", "median")
+    return total.select(*keys, "month", F.round("amount", 2).alias("total")).join(
+        middle.select(*keys, "month", F.round("amount", 4).alias("middle")), [*keys, "month"])

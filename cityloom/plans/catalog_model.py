@@ -106,10 +106,10 @@ def leaderboard(t):
 
 
 @query("F5_rank_models", _ROWS + f""", p AS (SELECT year, visitors AS y, {_KNOWN} AS q FROM r), s AS (SELECT year, 1-avg((y-q)*(y-q))/var_pop(y) AS r2 FROM p GROUP BY 1)
- SELECT year, round(r2,6) AS r2 FROM s ORDER BY r2 DESC LIMIT 3""")
+ SELECT year, round(r2,6) AS r2 FROM s ORDER BY r2 DESC""")
 def rank_models(t):
     m = M.regression_metrics(known_prediction(model_rows(t)), "visitors", "prediction", ["year"])
-    return m.select("year", F.round("r2", 6).alias("r2")).orderBy(F.desc("r2"), "year").limit(3)
+    return m.select("year", F.round("r2", 6).alias("r2")).orderBy(F.desc("r2"), "year")
 
 
 @query("L10_linear_regression_one", _ROWS + f""", f AS (SELECT regr_slope(visitors,gdp) AS b, regr_intercept(visitors,gdp) AS a FROM r WHERE {_SPLIT}>=20)
@@ -230,14 +230,14 @@ def ols_multi(t):
  s AS (SELECT n, m3/power(m2,1.5) AS sk, m4/(m2*m2) AS ku, dw FROM m)
  SELECT n, round(sk,5) AS skew, round(ku,5) AS kurtosis, round(n/6.0*(sk*sk+(ku-3)*(ku-3)/4),4) AS jarque_bera, round(dw,5) AS durbin_watson FROM s""")
 def ols_diagnostics(t):
-    s = E.OLS(t.panel, "visitors", ["gdp"]).summary(F.col("city_id"), [F.col("period")])
+    s = E.OLS(t.panel, "visitors", ["gdp"]).summary([F.col("city_id"), F.col("period")])
     return s.select("n", F.round("skew", 5).alias("skew"), F.round("kurtosis", 5).alias("kurtosis"),
                     F.round("jarque_bera", 4).alias("jarque_bera"), F.round("durbin_watson", 5).alias("durbin_watson"))
 
 
 @query("M4_ols_summary")
 def ols_summary(t):
-    return E.OLS(t.panel, "visitors", SIX).summary(F.col("city_id"), [F.col("period")])
+    return E.OLS(t.panel, "visitors", SIX).summary([F.col("city_id"), F.col("period")])
 
 
 def random_effects_frame(t):

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster as R
+from ..operators.scale import materialise
 from .registry import query
 
-YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001, 2002]
-
 
 def pixels(t):
-    scene = F.month("l_shipdate") * 10 + F.col("l_linenumber")
-    city = F.col("l_suppkey") % 25
+    """A scene is a city's day of shipping; two nations have none. The grid grows with the parts, so
+    the scenes of a pixel stay few at any size."""
+    scene = F.dayofyear("l_shipdate")
+    city = F.col("l_suppkey") % 23
     return t.lineitem.select(
         city.alias("city_id"), F.year("l_shipdate").alias("year"), scene.alias("scene_id"),
-        F.month("l_shipdate").alias("scene_ts"), ((scene * 37 + city * 11) % 100).cast("double").alias("scene_cloud_pct"),
-        (F.col("l_partkey") % 20).alias("px"), (F.col("l_orderkey") % 10).alias("py"),
+        F.to_date("l_shipdate").alias("scene_ts"), ((scene * 37 + city * 11) % 100).cast("double").alias("scene_cloud_pct"),
+        F.floor(F.col("l_partkey") / 500).alias("px"), (F.col("l_orderkey") % 3).alias("py"),
         (F.col("l_quantity") * 40).alias("b2"), (F.col("l_discount") * 20000 + 300).alias("b3"),
         (F.col("l_tax") * 20000 + 200).alias("b4"), (F.col("l_extendedprice") / 32).alias("b8"),
         (F.col("l_quantity") * 60).alias("b11"), (F.col("l_extendedprice") / 64).alias("b12"),
@@ -25,10 +26,10 @@ def pixels(t):
 
 def _cte(*steps: str) -> str:
     all_steps = {
-        "px": """px AS (SELECT l_suppkey%25 AS city_id, year(l_shipdate) AS year, month(l_shipdate)*10+l_linenumber AS scene_id, month(l_shipdate) AS scene_ts,
- ((month(l_shipdate)*10+l_linenumber)*37+(l_suppkey%25)*11)%100 AS cloud, l_partkey%20 AS px, l_orderkey%10 AS py, l_quantity*40 AS b2, l_discount*20000+300 AS b3,
+        "px": """px AS (SELECT l_suppkey%23 AS city_id, year(l_shipdate) AS year, dayofyear(l_shipdate) AS scene_id, l_shipdate::DATE AS scene_ts,
+ (dayofyear(l_shipdate)*37+(l_suppkey%23)*11)%100 AS cloud, l_partkey//500 AS px, l_orderkey%3 AS py, l_quantity*40 AS b2, l_discount*20000+300 AS b3,
  l_tax*20000+200 AS b4, l_extendedprice/32 AS b8, l_quantity*60 AS b11, l_extendedprice/64 AS b12,
- CASE WHEN (month(l_shipdate)*10+l_linenumber)%9<>0 THEN (l_partkey*7+l_linenumber*13)%100 END AS cloud_prob FROM lineitem)""",
+ CASE WHEN dayofyear(l_shipdate)%9<>0 THEN (l_partkey*7+l_linenumber*13)%100 END AS cloud_prob FROM lineitem)""",
         "sc": """sc AS (SELECT city_id, year, scene_id FROM (SELECT DISTINCT city_id, year, scene_id, scene_ts FROM px WHERE cloud<50)
  QUALIFY row_number() OVER (PARTITION BY city_id, year ORDER BY scene_ts, scene_id)<=55)""",
         "kept": "kept AS (SELECT px.* FROM px JOIN sc USING (city_id, year, scene_id))",
@@ -78,6 +79,11 @@ def composite(t):
     return R.median_composite(masked(t))
 
 
+def indices(t):
+    """The index table, written once for the thresholds and the flags that read it."""
+    return materialise(R.spectral_indices(composite(t)), "indices")
+
+
 @query("K3_median_composite", _cte("comp") + " SELECT city_id, year, px, py, " + ", ".join(f"round({b},14) AS {b}" for b in R.BANDS) + " FROM comp")
 def median_composite(t):
     return composite(t).withColumns({b: F.round(b, 14) for b in R.BANDS})
@@ -102,21 +108,25 @@ def otsu_threshold(t):
     return out.withColumn("threshold", F.round("threshold", 8))
 
 
-@query("F4_argmax_threshold", """WITH h AS (SELECT s_nationkey AS nation, floor(s_acctbal/1000) AS bin, count(*) AS n FROM supplier GROUP BY ALL)
- SELECT nation, CAST(bin AS BIGINT) AS bin, n FROM h QUALIFY row_number() OVER (PARTITION BY nation ORDER BY n DESC, bin)=1""")
+@query("F4_argmax_threshold", """WITH hist AS (SELECT s_nationkey AS city_id, CAST(greatest(0,least(19,floor((s_acctbal+1000)/600))) AS INTEGER) AS bin, count(*) AS n, avg(s_acctbal) AS bin_mean FROM supplier GROUP BY ALL),
+ run AS (SELECT *, sum(n) OVER w AS wb, sum(n*bin_mean) OVER w AS sb, sum(n) OVER g AS wt, sum(n*bin_mean) OVER g AS st FROM hist WINDOW w AS (PARTITION BY city_id ORDER BY bin ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY city_id)),
+ btw AS (SELECT *, CASE WHEN wt>wb THEN round(wb*(wt-wb)*power(sb/wb-(st-sb)/(wt-wb),2),6) END AS v FROM run)
+ SELECT city_id AS nation, round(CASE WHEN v IS NOT NULL THEN bin_mean END,6) AS threshold FROM btw QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY v DESC NULLS LAST, bin)=1""")
 def argmax_threshold(t):
-    h = t.supplier.groupBy(F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal") / 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return h.groupBy("nation").agg(F.max_by("bin", F.struct("n", -F.col("bin"))).alias("bin"), F.max("n").alias("n"))
+    """The balance that splits each nation's suppliers into two groups with the largest variance between them."""
+    rows = t.supplier.select(F.col("s_nationkey").alias("city_id"), F.lit(0).alias("year"), "s_acctbal")
+    out = R.otsu_threshold(R.index_histogram(rows, "s_acctbal", 20, -1000.0, 11000.0))
+    return out.select(F.col("city_id").alias("nation"), F.round("threshold", 6).alias("threshold"))
 
 
 @query("K7_percentile_threshold", _cte("pct") + " SELECT city_id, year, " + ", ".join(f"round({n},7) AS {n}" for n in R.PERCENTILES) + " FROM pct")
 def percentile_threshold(t):
-    return R.percentile_thresholds(R.spectral_indices(composite(t))).withColumns({n: F.round(n, 7) for n in R.PERCENTILES})
+    return R.percentile_thresholds(indices(t)).withColumns({n: F.round(n, 7) for n in R.PERCENTILES})
 
 
 @query("K8_classify_masks", _cte("cls") + " SELECT * FROM cls")
 def classify_masks(t):
-    idx = R.spectral_indices(composite(t))
+    idx = indices(t)
     return R.classify(idx, R.otsu_threshold(R.index_histogram(idx)), R.percentile_thresholds(idx))
 
 
@@ -125,8 +135,9 @@ def area_km2(t):
     return R.land_cover(pixels(t)).withColumns({m: F.round(m, 6) for m in ("urban", "green", "water")})
 
 
-@query("K10_area_table", _cte("area") + f""" SELECT n_nationkey::BIGINT AS city_id, y.year AS year, urban, green, water FROM nation
- CROSS JOIN (SELECT unnest({YEARS}) AS year) y LEFT JOIN (SELECT * FROM area WHERE year < 2001) a ON a.city_id=n_nationkey AND a.year=y.year""")
+@query("K10_area_table", _cte("area") + """ SELECT n_nationkey::BIGINT AS city_id, y.year AS year, urban, green, water FROM nation
+ CROSS JOIN (SELECT DISTINCT year(l_shipdate) AS year FROM lineitem) y LEFT JOIN area a ON a.city_id=n_nationkey AND a.year=y.year""")
 def area_table(t):
-    areas = R.land_cover(pixels(t), YEARS[:6]).withColumns({m: F.round(m, 6) for m in ("urban", "green", "water")})
-    return R.area_table(areas, t.nation.select(F.col("n_nationkey").cast("bigint").alias("city_id")), YEARS)
+    areas = R.land_cover(pixels(t)).withColumns({m: F.round(m, 6) for m in ("urban", "green", "water")})
+    years = t.lineitem.select(F.year("l_shipdate").alias("year")).distinct()
+    return R.area_table(areas, t.nation.select(F.col("n_nationkey").cast("bigint").alias("city_id")), years)

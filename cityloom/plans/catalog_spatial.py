@@ -122,14 +122,16 @@ def access_importance(t):
             .withColumn("access_importance", F.round("access_importance", 6)))
 
 
-@query("D11_department_arrivals", with_roles("cities", "entry_points") + _DEP + """, f AS (SELECT department, month(l_shipdate) AS month, sum(l_quantity) AS total FROM lineitem JOIN dep ON pid=l_suppkey WHERE year(l_shipdate)=2001 GROUP BY ALL)
- SELECT city_id, department, m.month AS month, coalesce(total,0) AS zone_entries FROM cities CROSS JOIN (SELECT unnest(range(1,13)) AS month) m LEFT JOIN f USING (department, month)""")
+@query("D11_department_arrivals", with_roles("cities", "entry_points") + _DEP + """, f AS (SELECT department, year(l_shipdate) AS year, month(l_shipdate) AS month, sum(l_quantity) AS total FROM lineitem JOIN dep ON pid=l_suppkey GROUP BY ALL)
+ SELECT city_id, department, y.year AS year, m.month AS month, coalesce(total,0) AS zone_entries FROM cities CROSS JOIN (SELECT DISTINCT year(l_shipdate) AS year FROM lineitem) y CROSS JOIN (SELECT unnest(range(1,13)) AS month) m LEFT JOIN f USING (department, year, month)""")
 def department_arrivals(t):
-    flows = (t.lineitem.where("l_shipdate >= timestamp_ntz'2001-01-01' and l_shipdate < timestamp_ntz'2002-01-01'")
-             .groupBy(F.col("l_suppkey").alias("point_id"), F.month("l_shipdate").alias("month")).agg(F.sum("l_quantity").alias("q")))
-    by_dep = flows.join(point_departments(t), "point_id").groupBy("department", "month").agg(F.sum("q").alias("zone_entries"))
-    cells = t.cities.select("city_id", "department").withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    return cells.join(by_dep, ["department", "month"], "left").na.fill(0.0, ["zone_entries"])
+    period = [F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")]
+    flows = t.lineitem.groupBy(F.col("l_suppkey").alias("point_id"), *period).agg(F.sum("l_quantity").alias("q"))
+    by_dep = flows.join(point_departments(t), "point_id").groupBy("department", "year", "month").agg(F.sum("q").alias("zone_entries"))
+    years = t.lineitem.agg(F.array_sort(F.collect_set(F.year("l_shipdate")))).scalar()
+    cells = (t.cities.select("city_id", "department", F.explode(years).alias("year"))
+             .withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12)))))
+    return cells.join(by_dep, ["department", "year", "month"], "left").na.fill(0.0, ["zone_entries"])
 
 
 def road_segments(t):
@@ -166,11 +168,11 @@ def within_distance_count(t):
     return S.roads_within(squares(t, 15000.0, 100000.0), road_segments(t), "city_id", "road_id", 10000.0, 20000.0)
 
 
-@query("C9_year_feature_join", with_roles("panel") + """, land AS (SELECT s_nationkey AS city_id, year(l_shipdate) AS year, sum(l_quantity) AS urban_area, count(*) AS pixels FROM lineitem JOIN supplier ON s_suppkey=l_suppkey WHERE l_returnflag='A' GROUP BY ALL)
+@query("C9_year_feature_join", with_roles("panel") + """, land AS (SELECT s_nationkey AS city_id, year(l_shipdate) AS year, sum(l_quantity) AS urban_area, count(*) AS pixels FROM lineitem JOIN supplier ON s_suppkey=l_suppkey GROUP BY ALL)
  SELECT city_id, year, month, visitors, urban_area, pixels FROM panel LEFT JOIN land USING (city_id, year)""")
 def year_feature_join(t):
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("city_id"))
-    land = (t.lineitem.where("l_returnflag = 'A'").join(s, "l_suppkey").groupBy("city_id", F.year("l_shipdate").alias("year"))
+    land = (t.lineitem.join(s, "l_suppkey").groupBy("city_id", F.year("l_shipdate").alias("year"))
             .agg(F.sum("l_quantity").alias("urban_area"), F.count(F.lit(1)).alias("pixels")))
     return t.panel.select("city_id", "year", "month", "visitors").join(land, ["city_id", "year"], "left")
 
@@ -224,5 +226,5 @@ def kriging_surface(t):
                            (((k * 53) % 130) * 10000.0 + (k % 7) * 1000.0).alias("y")).agg(F.avg("value").alias("value"))
     model = K.spherical_fit(K.empirical_variogram(obs, ["event_type"], "station_id", "value"), ["event_type"])
     grid = K.surface_targets(obs, ["event_type"], 100)
-    est = K.krige(obs, grid, model, ["event_type"], "station_id", "cell", "value", m=16)
+    est = K.krige(obs, grid, model, ["event_type"], "cell", "value")
     return est.select("event_type", "cell", F.round("estimate", 5).alias("estimate"))
