@@ -38,6 +38,9 @@ HOT_KEPT = 1 << 20
 BUCKET_SHINGLES = 1 << 21
 BLOCK_SETS = 256
 HOT_BIT = np.uint64(1 << 63)
+#: Sets travel with the upper 49 bits of a shingle: one false match in 10**8 pairs of 1000 shingles, and that only
+#: matters to a pair one shingle below the threshold.
+SHORTER = 15
 
 
 def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
@@ -65,16 +68,15 @@ def key_of(d: bytes) -> int:
 
 def pack(values: np.ndarray) -> bytes:
     """Sorted uint64 values as compressed differences."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+    return squeeze(np.diff(values, prepend=np.uint64(0)))
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(expand(blob, np.uint64), dtype=np.uint64)
 
 
 def ordered(values: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
-    """The set in global order: frequent shingles last."""
+    """The set in global order: frequent shingles last, by hash otherwise."""
     if len(hot) and len(values):
         short = short_hash(values, bits)
         at = np.searchsorted(hot, short)
@@ -296,7 +298,7 @@ def set_rows(k: int, bits: int, hot_bytes, wanted_bytes):
                     d = digest(values)
                     keys.append(key_of(d))
                     digests.append(d)
-                    blobs.append(pack(ordered(values, hot, bits)))
+                    blobs.append(pack(ordered(values, hot, bits) >> np.uint64(SHORTER)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], ["key", "digest", "items"])
 
     return run
@@ -339,13 +341,13 @@ def tree(sets: list[np.ndarray]) -> list[Node]:
 
 
 def matches(forest: list[Node], asked: np.ndarray, percent: int, skip=None) -> Iterator[int]:
-    """Sets of the forest that link with ``asked``; skip(ids) may tell that none of a leaf's sets matter."""
+    """Sets of the forest that link with ``asked``; those that skip(i) is true for need not be told."""
     n = len(asked)
     low, high = -(-percent * n // 100), 100 * n // percent
     stack = [(node, 0, 0, 0) for node in forest]
     while stack:
         node, depth, position, overlap = stack.pop()
-        if node.large < low or node.small > high:
+        if node.large < low or node.small > high or skip and not node.below and all(map(skip, node.ends)):
             continue
         need = least_overlap(n, max(node.small, low), percent)
         if overlap + min(n - position, node.large - depth) < need:
@@ -358,42 +360,50 @@ def matches(forest: list[Node], asked: np.ndarray, percent: int, skip=None) -> I
         position += int(at[-1]) + int(hit[-1])
         if overlap + min(n - position, node.large - depth) < need:
             continue
-        for i in node.ends:
-            if overlap >= least_overlap(n, depth, percent):
-                yield i
+        if overlap >= least_overlap(n, depth, percent):
+            yield from (i for i in node.ends if not (skip and skip(i)))
         stack.extend((x, depth, position, overlap) for x in node.below)
 
 
 LINKS = "a binary, b binary"
 
 
+class Groups:
+    """Union-find over group names."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def find(self, x):
+        parent = self.parent
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    def join(self, x, y) -> bool:
+        p, q = self.find(x), self.find(y)
+        self.parent[p] = q
+        return p != q
+
+
 def block_links(percent: int):
-    """mapInArrow step: rows of two blocks (left_ids, left_groups, left_items, right_...) to links that join
-    different groups; each block pair gives a spanning forest at most."""
+    """mapInArrow step over rows of blocks ``askers`` and, where there is one, ``base`` (else the block meets
+    itself): links that join different groups, a spanning forest of each row at most."""
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                left, right = r["askers"], r["base"]
-                sets = [unpack(x["items"]) for x in right]
+                base, groups, a, b = r.get("base") or r["askers"], Groups(), [], []
+                sets = [unpack(y["items"]) for y in base]
                 forest = tree(sets)
-                parent: dict = {}
-
-                def find(x):
-                    while parent.get(x, x) != x:
-                        parent[x] = parent.get(parent[x], parent[x])
-                        x = parent[x]
-                    return x
-
-                a, b = [], []
-                for x in left:
-                    for i in matches(forest, unpack(x["items"]), percent):
-                        y = right[i]
-                        p, q = find(x["grp"]), find(y["grp"])
-                        if p != q:
-                            parent[p] = q
+                for k, x in enumerate(r["askers"]):
+                    itself = "base" not in r
+                    asked = sets[k] if itself else unpack(x["items"])
+                    for i in matches(forest, asked, percent, lambda i: itself and i >= k or groups.find(base[i]["grp"]) == groups.find(x["grp"])):
+                        if groups.join(x["grp"], base[i]["grp"]):
                             a.append(x["digest"])
-                            b.append(y["digest"])
+                            b.append(base[i]["digest"])
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
@@ -453,17 +463,22 @@ def linked_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> t
              .select("hub", "key"))
     asked = materialise(pairs.unionByName(stars).distinct(), "pairs")
 
+    # sets are wanted from the classes in a pair or a frequent list; a null doc_id is found under id 0, as set_rows reads it
     wanted = lists.select("key").unionByName(asked.select("key")).unionByName(asked.select(F.col("hub").alias("key"))).distinct().join(classes, "key")
-    # a class whose documents have no id is found under id 0, as set_rows reads it
     wanted_bytes = spark.sparkContext.broadcast(bloom(wanted.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id")), "doc_id").tobytes())
     sets = materialise(texts.mapInArrow(set_rows(k, bits, hot_bytes, wanted_bytes), "key long, digest binary, items binary"), "sets")
 
-    def one(name):
-        return F.array(F.struct("digest", F.col("digest").alias("grp"), "items")).alias(name)
-
-    askers = blocked(asked.join(sets, "key").select("hub", "digest", F.col("digest").alias("grp"), "items"), ["hub"], "askers")
-    base = sets.select(F.col("key").alias("hub"), one("base")).join(asked.select("hub").distinct(), "hub")
-    first = materialise(askers.join(base, "hub").select("askers", "base").mapInArrow(block_links(percent), LINKS), "links")
+    # each cluster of pairs meets in one tree; clusters beyond a block meet block against block where they have pairs
+    clusters = components(asked.select(F.col("hub").alias("a"), F.col("key").alias("b")))
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_SETS).cast("long")).cast("int")
+    placed = materialise(clusters.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("cluster"), block.alias("block")), "clusters")
+    left, right = placed.select(F.col("key").alias("hub"), "cluster", F.col("block").alias("x")), placed.select("key", F.col("block").alias("y"))
+    tasks = asked.join(left, "hub").join(right, "key").select("cluster", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct()
+    seats = tasks.withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))).join(placed, ["cluster", "block"]).select("key", "cluster", "i", "j")
+    first = (seats.join(sets, "key").groupBy("cluster", "i", "j").agg(F.collect_list(F.struct("digest", F.col("digest").alias("grp"), "items")).alias("askers"))
+             .select("askers").mapInArrow(block_links(percent), LINKS))
+    first = materialise(first, "links")
 
     # then whole groups that still share a frequent shingle
     named = sets.select("key", "digest").join(components(first).withColumnRenamed("node", "digest"), "digest", "left").select("digest", "key", F.coalesce("component", "digest").alias("grp"))
