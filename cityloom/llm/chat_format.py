@@ -77,32 +77,46 @@ def encode_rows(vocabulary):
     def run(batches):
         coder, base = encoder(vocabulary.value)
         for batch in batches:
-            ids, masks = [], []
-            for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()):
-                i, m = assemble(role, text, coder, base)
-                ids.append(i)
-                masks.append(m)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "digest")), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))],
-                                             ["conv_id", "turn", "role", "digest", "ids", "mask"])
+            if not batch.num_rows:
+                continue
+            turns = [assemble(role, text, coder, base) for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(i) for i, _ in turns])]), pa.int32())
+            ids = np.fromiter((t for i, _ in turns for t in i), np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "digest")), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32())),
+                                              pa.ListArray.from_arrays(ends, pa.array(np.concatenate([m for _, m in turns]), pa.int8()))], ["conv_id", "turn", "role", "digest", "ids", "mask"])
 
     return run
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+
+
 def place_rows(base: int):
     """Turns sorted by conversation: the mark that begins a conversation before its first, and running starts."""
 
     def run(batches):
         last, start = object(), 0
         for batch in batches:
-            convs, ids, masks, starts = batch.column("conv_id").to_pylist(), batch.column("ids").to_pylist(), batch.column("mask").to_pylist(), []
-            for i, c in enumerate(convs):
-                if c != last:
-                    last, start = c, 0
-                    ids[i], masks[i] = [base + CONTROL.index("<s>"), *ids[i]], [0, *masks[i]]
-                starts.append(start)
-                start += len(ids[i])
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(starts, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))],
-                                             ["conv_id", "turn", "start", "ids", "mask"])
+            convs = batch.column("conv_id").to_pylist()
+            if not convs:
+                continue
+            ids, offs = flat(batch.column("ids"))
+            masks, _ = flat(batch.column("mask"))
+            first = np.array([c != p for c, p in zip(convs, [last, *convs])])
+            size = np.diff(offs) + first
+            starts = np.empty(len(convs), np.int64)
+            for i, n in enumerate(size.tolist()):
+                start = 0 if first[i] else start
+                starts[i] = start
+                start += n
+            last = convs[-1]
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+            ids = np.insert(ids, offs[:-1][first], base + CONTROL.index("<s>"))
+            masks = np.insert(masks, offs[:-1][first], 0)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32())),
+                                              pa.ListArray.from_arrays(ends, pa.array(masks, pa.int8()))], ["conv_id", "turn", "start", "ids", "mask"])
 
     return run
 
@@ -120,18 +134,17 @@ def formatted(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return ordered.mapInArrow(place_rows(base), "conv_id long, turn long, start long, ids array<int>, mask array<tinyint>")
 
 
-def parse(ids: list[int], coder, base: int) -> tuple[str, str, int]:
+def parse(ids: np.ndarray, coder, base: int) -> tuple[str, str, int]:
     """Role, text and formatted length of one turn's tokens."""
-    kept = [(i, t - base) for i, t in enumerate(ids) if t >= base]
-    size = sum(len(CONTROL[c]) for _, c in kept)
-    marks = [(i, CONTROL[c]) for i, c in kept if CONTROL[c] != "<s>"]
-    (first, open_), (end, _) = marks[0], marks[-1]
-    role = next((r for r, m in MARKS.items() if m[0] == open_), None)
+    at = np.flatnonzero(ids >= base)
+    names = [CONTROL[c] for c in (ids[at] - base).tolist()]
+    size = sum(map(len, names))
+    begin = int(names[0] == "<s>")
+    role, first = next((r for r, m in MARKS.items() if m[0] == names[begin]), None), at[begin]
     if role is None:
-        cut = marks[1][0]
-        written = coder.decode(ids[first + 1:cut])
-        role, first, size = unescape(written), cut, size + len(written)
-    written = coder.decode(ids[first + 1:end])
+        written = coder.decode(ids[first + 1:at[begin + 1]].tolist())
+        role, first, size = unescape(written), at[begin + 1], size + len(written)
+    written = coder.decode(ids[first + 1:at[-1]].tolist())
     return role, unescape(written), size + len(written)
 
 
@@ -151,13 +164,15 @@ def summary_rows(vocabulary):
 
         for batch in batches:
             done = []
-            for conv, start, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "start", "ids", "mask"))):
+            ids, offs = flat(batch.column("ids"))
+            masks, _ = flat(batch.column("mask"))
+            for conv, start, lo, hi in zip(batch.column("conv_id").to_pylist(), batch.column("start").to_pylist(), offs, offs[1:]):
                 if start == 0:
                     if state:
                         done.append(close())
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text, size = parse(ids, coder, base)
-                learned = unescape(coder.decode([t for t, m in zip(ids, mask) if m]))
+                role, text, size = parse(ids[lo:hi], coder, base)
+                learned = unescape(coder.decode(ids[lo:hi][masks[lo:hi] > 0].tolist()))
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
                 state[3] += len(learned)
