@@ -82,7 +82,9 @@ def regressor(kind: str, n_rows: int = 1, **p):
         return LinearRegression(regParam=p.get("alpha", 2.0) / n_rows, elasticNetParam=0.0, standardization=False, **base)
     if kind == "elastic_net":
         return LinearRegression(regParam=p.get("alpha", 10.0), elasticNetParam=p.get("l1_ratio", 0.020408), standardization=False, **base)
-    depth = min(p.get("depth", 5), MAX_TREE_DEPTH)
+    depth = p.get("depth", 5)
+    if depth > MAX_TREE_DEPTH:
+        raise ValueError(f"trees are at most {MAX_TREE_DEPTH} deep, {depth} asked")
     tree = {"maxDepth": depth, "minInstancesPerNode": p.get("leaf", 1), "seed": p.get("seed", 42), **base}
     if kind == "decision_tree":
         return DecisionTreeRegressor(**tree)
@@ -96,14 +98,16 @@ def regressor(kind: str, n_rows: int = 1, **p):
 
 
 # Chosen parameters of each model; the last two are the explained and the compact one.
+# The forest was chosen with a depth of 45; 30 is the most that the tree learner takes.
 FINAL_MODELS = {
     "linear": ("linear", 1, {}),
     "polynomial": ("polynomial", 2, {}),
+    "polynomial_cubic": ("polynomial", 3, {}),
     "ridge": ("ridge", 1, {"alpha": 2.0}),
     "lasso": ("lasso", 2, {"alpha": 3.0}),
     "elastic_net": ("elastic_net", 2, {"alpha": 10.0, "l1_ratio": 0.020408}),
     "decision_tree": ("decision_tree", 1, {"depth": 13, "leaf": 5}),
-    "random_forest": ("random_forest", 1, {"trees": 38, "depth": 45, "leaf": 5}),
+    "random_forest": ("random_forest", 1, {"trees": 38, "depth": 30, "leaf": 5}),
     "gradient_boosting": ("gradient_boosting", 1, {"trees": 58, "depth": 9}),
     "boosted_trees": ("boosted_trees", 1, {"trees": 266, "depth": 17, "gamma": 0.21052631578947367}),
     "boosted_trees_explained": ("boosted_trees", 1, {"trees": 41, "depth": 5}),
@@ -171,22 +175,26 @@ def leaderboard(scores: list[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).orderBy(F.desc("r2"), "model")
 
 
-# Ranges the random searches draw from, and the scores at which they stop.
+# Ranges the random searches draw from, the degree of their features, the draws, and the scores at
+# which they stop. Depths end at 30 instead of 54.
 SEARCH_SPACE = {
     "lasso": {"alpha": list(range(1, 122))},
-    "ridge": {"alpha": list(range(1, 150)), "degree": [1, 2]},
+    "ridge": {"alpha": list(range(1, 122)), "degree": [1, 2]},
     "elastic_net": {"alpha": list(range(1, 150)), "l1_ratio": np.linspace(0, 1, 50).tolist()},
-    "decision_tree": {"depth": list(range(2, 31)), "leaf": list(range(2, 20))},
-    "random_forest": {"trees": list(range(2, 50)), "depth": list(range(2, 31)), "leaf": list(range(2, 20))},
-    "gradient_boosting": {"trees": list(range(2, 100)), "depth": list(range(2, 15))},
-    "boosted_trees": {"trees": list(range(2, 300)), "depth": list(range(2, 25)), "gamma": np.linspace(0, 0.5, 20).tolist()},
+    "decision_tree": {"depth": list(range(2, 31)), "leaf": list(range(2, 15))},
+    "random_forest": {"depth": list(range(2, 31)), "leaf": list(range(2, 15)), "trees": list(range(2, 100))},
+    "gradient_boosting": {"depth": list(range(2, 25)), "trees": list(range(2, 100))},
+    "boosted_trees": {"depth": list(range(2, 25)), "trees": list(range(2, 300)), "gamma": np.linspace(0, 0.5, 20).tolist()},
 }
-STOP_AT = {"gradient_boosting": (0.98, 0.98), "boosted_trees": (0.98, 0.98)}
+SEARCH_DEGREE = {"lasso": 2, "elastic_net": 2}
+SEARCH_DRAWS = {"lasso": 50, "ridge": 50, "elastic_net": 20, "decision_tree": 100, "random_forest": 70, "gradient_boosting": 70, "boosted_trees": 70}
+STOP_AT = {"boosted_trees": (0.98, 0.98)}
 
 
-def random_search(df: DataFrame, key: Column, columns: list[str], target: str, kind: str, draws: int = 20, seed: int = 42,
+def random_search(df: DataFrame, key: Column, columns: list[str], target: str, kind: str, draws: int | None = None, seed: int = 42,
                   space: dict | None = None, folds: int = 5, accept_if_both_improve: bool = True, new_split: bool = False) -> DataFrame:
-    """(draw, parameters, cv_r2, test_r2, accepted): seeded draws, scored by cross-validation.
+    """(draw, parameters, cv_r2, test_r2, accepted): seeded draws (``SEARCH_DRAWS`` unless given), scored by
+    cross-validation.
 
     A draw is accepted when its CV score improves and, with ``accept_if_both_improve``, its test
     score too; the search ends at the stop scores. One split serves all draws unless asked."""
@@ -194,8 +202,8 @@ def random_search(df: DataFrame, key: Column, columns: list[str], target: str, k
     stop_cv, stop_test = STOP_AT.get(kind, (0.97, 0.98))
     best_cv = best_test = 0.0
     rows = []
-    for i in range(draws):
-        params = {k: rng.choice(v) for k, v in space.items()}
+    for i in range(draws or SEARCH_DRAWS[kind]):
+        params = {"degree": SEARCH_DEGREE.get(kind, 1)} | {k: rng.choice(v) for k, v in space.items()}
         train, test = train_test_split(df, key, seed=seed + i if new_split else seed)
         cv = kfold_scores(train, key, columns, target, kind, folds=folds, **params).agg(F.avg("r2")).first()[0]
         model = fit(train, columns, target, kind, **params)
@@ -217,7 +225,7 @@ def randomized_search_cv(df: DataFrame, columns: list[str], target: str, key: Co
 
     rng = random.Random(seed)
     rows = df.withColumn("fold", fold_of(key, folds))
-    union = ScaledUnion(columns).fit(rows)
+    union = ScaledUnion(columns, SEARCH_DEGREE.get(kind, 1)).fit(rows)
     scale = moments(rows, [target])[target]
     data = union.transform(rows).select("features", "fold", ((F.col(target) - scale[0]) / scale[1]).alias("label"))
     est = regressor(kind)
@@ -232,30 +240,34 @@ def randomized_search_cv(df: DataFrame, columns: list[str], target: str, key: Co
     return df.sparkSession.createDataFrame(out, "draw int, parameters string, mean_r2 double")
 
 
-def linear_svr(train: DataFrame, columns: list[str], target: str, epsilon: float = 0.1, c: float = 1.0, passes: int = 50) -> dict:
+def linear_svr(train: DataFrame, columns: list[str], target: str, epsilon: float = 0.1, c: float = 1.0, tolerance: float = 1e-3,
+               most: int = 1000) -> dict:
     """Epsilon-insensitive linear fit on standardized columns by averaged subgradient steps; each
-    pass is one aggregate whose result has one number per weight."""
+    pass is one aggregate whose result has one number per weight.
+
+    Ends when three passes in a row move the averaged weights by less than ``tolerance`` of their
+    length; ``most`` passes without that are an error."""
     x_stats, (ym, ys) = moments(train, columns), moments(train, [target])[target]
     z = standardize(train, x_stats, "_z_").withColumn("_y", (F.col(target) - ym) / ys)
     names = [f"_z_{n}" for n in columns]
     data = z.select("_y", *names).persist()
     try:
         n = data.count()
-        w, b = np.zeros(len(names)), 0.0
-        best, total_w, total_b, total = None, np.zeros(len(names)), 0.0, 0.0
-        for i in range(passes):
-            e = F.col("_y") - reduce(lambda a, k: a + float(w[k]) * F.col(names[k]), range(len(names)), F.lit(float(b)))
+        v, mean, calm = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0
+        for i in range(most):
+            e = F.col("_y") - reduce(lambda a, k: a + float(v[k]) * F.col(names[k]), range(len(names)), F.lit(float(v[-1])))
             side = F.when(e > epsilon, 1.0).when(e < -epsilon, -1.0).otherwise(0.0)
             g = data.select(side.alias("_s"), *names).agg(*[F.sum(F.col("_s") * F.col(k)) for k in names], F.sum("_s")).first()
-            grad = w / (c * n) - np.array(g[:-1], dtype=float) / n
-            step = 0.5 / (1 + i) ** 0.5
-            w, b = w - step * grad, b + step * float(g[-1]) / n
-            if i >= passes // 2:
-                total_w, total_b, total = total_w + w, total_b + b, total + 1
-        best = (total_w / total, total_b / total)
+            grad = np.append(v[:-1] / (c * n), 0.0) - np.array(g, dtype=float) / n
+            v = v - 0.5 / (1 + i) ** 0.5 * grad
+            moved = 4 / (i + 4) * (v - mean)  # later passes weigh more
+            mean = mean + moved
+            calm = calm + 1 if np.linalg.norm(moved) <= tolerance * max(np.linalg.norm(mean), 1e-9) else 0
+            if calm == 3:
+                return {"weights": mean[:-1], "intercept": mean[-1], "x": x_stats, "y": (ym, ys)}
     finally:
         data.unpersist()
-    return {"weights": best[0], "intercept": best[1], "x": x_stats, "y": (ym, ys)}
+    raise RuntimeError(f"no settled weights after {most} passes")
 
 
 def svr_predict(model: dict, df: DataFrame) -> DataFrame:

@@ -95,6 +95,13 @@ def predicted_vs_actual(t):
     return X.predicted_vs_actual(known_prediction(test), ["row_id"], "visitors").withColumn("predicted", F.round("predicted", 6))
 
 
+@query("L23_leaderboard_fitted")
+def leaderboard_fitted(t):
+    """Hold-out scores of fitted models, best first."""
+    names = ["linear", "ridge", "lasso", "elastic_net", "decision_tree", "boosted_trees_explained"]
+    return M.leaderboard([(n, holdout(t, n)) for n in names])
+
+
 @query("L23_leaderboard", _ROWS + f""", p AS (SELECT 'known' AS model, visitors AS y, {_KNOWN} AS q FROM r UNION ALL SELECT 'gdp only', visitors, gdp*0.000004::DOUBLE FROM r UNION ALL SELECT 'thefts', visitors, thefts FROM r)
  SELECT model, round(1-avg((y-q)*(y-q))/var_pop(y),6) AS r2, round(avg(abs(y-q)),6) AS mae, round(avg((y-q)*(y-q)),6) AS mse, round(sqrt(avg((y-q)*(y-q))),6) AS rmse FROM p GROUP BY 1""")
 def leaderboard(t):
@@ -123,6 +130,62 @@ def linear_one(t):
     return model.transform(va.transform(test)).select("row_id", F.round("prediction", 4).alias("prediction"))
 
 
+# -- one regressor, where the fitted values have a closed form ----------------------------------
+
+_ONE = _ROWS + f""", tr AS (SELECT * FROM r WHERE {_SPLIT}>=20), mo AS (SELECT avg(gdp) AS gm, stddev_pop(gdp) AS gs, avg(visitors) AS vm, stddev_samp(visitors) AS vs FROM tr),
+ g AS (SELECT count(*) AS n, sum(power((gdp-gm)/gs,2)) AS sxx, sum((gdp-gm)/gs*(visitors-vm)) AS sxy FROM tr, mo)"""
+
+
+def _one(t, kind: str, **params):
+    from pyspark.ml.feature import VectorAssembler
+
+    train, test = split(t)
+    stats = M.moments(train, ["gdp"])
+    z = lambda df: VectorAssembler(inputCols=["_z_gdp"], outputCol="features").transform(M.standardize(df, stats, "_z_"))
+    mean, dev = train.agg(F.avg("visitors"), F.stddev_samp("visitors")).first()
+    model = M.regressor(kind, n_rows=train.count(), **params).fit(z(train).withColumn("label", (F.col("visitors") - mean) / dev))
+    return model.transform(z(test)).select("row_id", F.round(F.col("prediction") * dev + mean, 2).alias("prediction"))
+
+
+@query("L13_ridge_one", _ONE + f" SELECT row_id, round(vm+sxy/(sxx+500.0::DOUBLE)*(gdp-gm)/gs,2) AS prediction FROM r, mo, g WHERE {_SPLIT}<20")
+def ridge_one(t):
+    return _one(t, "ridge", alpha=500.0)
+
+
+@query("L12_lasso_one", _ONE + f" SELECT row_id, round(vm+sign(sxy)*greatest(abs(sxy)/n-0.2::DOUBLE*vs,0)/(sxx/n)*(gdp-gm)/gs,2) AS prediction FROM r, mo, g WHERE {_SPLIT}<20")
+def lasso_one(t):
+    return _one(t, "lasso", alpha=0.2)
+
+
+@query("L14_elastic_net_one", _ONE + f" SELECT row_id, round(vm+sign(sxy)*greatest(abs(sxy)/n-0.1::DOUBLE*vs,0)/(sxx/n+0.1::DOUBLE)*(gdp-gm)/gs,2) AS prediction FROM r, mo, g WHERE {_SPLIT}<20")
+def elastic_net_one(t):
+    return _one(t, "elastic_net", alpha=0.2, l1_ratio=0.5)
+
+
+_STUMP = _ROWS + f""", tr AS (SELECT * FROM r WHERE {_SPLIT}>=20), cuts AS (SELECT unnest(range(1,12)) AS m),
+ s AS (SELECT m, avg(visitors) FILTER (month<=m) AS lo, avg(visitors) FILTER (month>m) AS hi, count(*) FILTER (month<=m)*power(avg(visitors) FILTER (month<=m),2)+count(*) FILTER (month>m)*power(avg(visitors) FILTER (month>m),2) AS gain FROM tr, cuts GROUP BY 1),
+ b AS (SELECT m, lo, hi FROM s QUALIFY row_number() OVER (ORDER BY round(gain,6) DESC, m)=1) SELECT row_id, round(CASE WHEN month<=m THEN lo ELSE hi END,6) AS prediction FROM r, b WHERE {_SPLIT}<20"""
+
+
+def _stump(t, estimator):
+    from pyspark.ml.feature import VectorAssembler
+
+    train, test = split(t)
+    va = VectorAssembler(inputCols=["month"], outputCol="features")
+    model = estimator.fit(va.transform(train).withColumn("label", F.col("visitors")))
+    return model.transform(va.transform(test)).select("row_id", F.round("prediction", 6).alias("prediction"))
+
+
+@query("L16_decision_stump", _STUMP)
+def decision_stump(t):
+    return _stump(t, M.regressor("decision_tree", depth=1))
+
+
+@query("L17_forest_of_one_stump", _STUMP)
+def forest_of_one_stump(t):
+    return _stump(t, M.regressor("random_forest", depth=1, trees=1).setBootstrap(False).setFeatureSubsetStrategy("all"))
+
+
 def holdout(t, name: str, columns=FEATURES, scale_target=True):
     """Hold-out scores of one model of the final list, errors in deviations of the target."""
     kind, degree, params = M.FINAL_MODELS[name]
@@ -145,6 +208,7 @@ def _register(op: str, name: str, columns=FEATURES, scale_target=True):
 
 _register("L10_linear_regression", "linear")
 _register("L11_polynomial_regression", "polynomial")
+_register("L11_polynomial_regression_cubic", "polynomial_cubic")
 _register("L12_lasso", "lasso")
 _register("L13_ridge", "ridge")
 _register("L14_elastic_net", "elastic_net")
@@ -167,6 +231,17 @@ def random_search(t):
     return M.random_search(model_rows(t), F.col("row_id"), FEATURES, "visitors", "ridge", draws=3)
 
 
+def _register_search(kind: str):
+    @query(f"L21_random_search_{kind}")
+    def run(t):
+        small = {k: v[: max(1, len(v) // 10)] for k, v in M.SEARCH_SPACE[kind].items()}  # small trees and few of them keep a check short
+        return M.random_search(model_rows(t), F.col("row_id"), FEATURES, "visitors", kind, draws=2, folds=3, space=small)
+
+
+for _kind in ("lasso", "elastic_net", "decision_tree", "random_forest", "gradient_boosting", "boosted_trees"):
+    _register_search(_kind)
+
+
 @query("L22_randomized_search_cv")
 def randomized_search_cv(t):
     return M.randomized_search_cv(split(t)[0], FEATURES, "visitors", F.col("row_id"), "ridge", draws=5)
@@ -203,6 +278,31 @@ def ols_lagged_gram(t):
     return _scaled_gram(lagged(t), "visitors", ["visitors_l1", "visitors_l2", "gdp_l1"], False)
 
 
+_CRAMER = f"""{_LAG}, g AS (SELECT sum(visitors_l1*visitors_l1)::DOUBLE AS a, sum(visitors_l1*visitors_l2)::DOUBLE AS b, sum(visitors_l1*gdp_l1) AS c, sum(visitors_l2*visitors_l2)::DOUBLE AS d,
+ sum(visitors_l2*gdp_l1) AS e, sum(gdp_l1*gdp_l1) AS f, sum(visitors_l1*visitors)::DOUBLE AS u, sum(visitors_l2*visitors)::DOUBLE AS v, sum(gdp_l1*visitors) AS w FROM lg),
+ k AS (SELECT *, a*(d*f-e*e)-b*(b*f-c*e)+c*(b*e-c*d) AS det FROM g)
+ SELECT 'visitors_l1' AS term, round((u*(d*f-e*e)-b*(v*f-e*w)+c*(v*e-d*w))/det,6) AS coef FROM k
+ UNION ALL SELECT 'visitors_l2', round((a*(v*f-e*w)-u*(b*f-c*e)+c*(b*w-c*v))/det,6) FROM k
+ UNION ALL SELECT 'gdp_l1_million', round(1000000*(a*(d*w-e*v)-b*(b*w-c*v)+u*(b*e-c*d))/det,4) FROM k"""
+
+
+@query("M1_ols_lagged_cramer", _CRAMER)
+def ols_lagged_cramer(t):
+    c = E.OLS(lagged(t), "visitors", ["visitors_l1", "visitors_l2", "gdp_l1"], constant=False).coefficients()
+    million = F.col("term") == "gdp_l1"
+    return c.select(F.when(million, "gdp_l1_million").otherwise(F.col("term")).alias("term"),
+                    F.when(million, F.round(F.col("coef") * 1000000, 4)).otherwise(F.round("coef", 6)).alias("coef"))
+
+
+@query("M3_ols_normal_equations", " UNION ALL ".join(f"SELECT '{x}' AS term, 0.0::DOUBLE AS moment" for x in ["const", *SIX]) + " ORDER BY 1")
+def ols_normal_equations(t):
+    """Residuals of the full model are orthogonal to every regressor (correlations, rounded; the constant by the mean)."""
+    rows = E.OLS(t.panel, "visitors", SIX).residuals()
+    found = rows.agg(F.array(F.struct(F.lit("const").alias("term"), F.avg("residual").alias("m")),
+                             *[F.struct(F.lit(x).alias("term"), F.corr("residual", x).alias("m")) for x in SIX]).alias("a"))
+    return found.select(F.inline("a")).select("term", F.abs(F.round("m", 5)).alias("moment"))
+
+
 @query("M1_ols_lagged_coefficients")
 def ols_lagged(t):
     return E.OLS(lagged(t), "visitors", ["visitors_l1", "visitors_l2", "gdp_l1"], constant=False).coefficients()

@@ -228,3 +228,23 @@ def kriging_surface(t):
     grid = K.surface_targets(obs, ["event_type"], 100)
     est = K.krige(obs, grid, model, ["event_type"], "cell", "value")
     return est.select("event_type", "cell", F.round("estimate", 5).alias("estimate"))
+
+
+@query("J3_kriging_at_stations", with_roles("readings") + """, s AS (SELECT station_id, day, x, y, avg(value) AS v FROM readings WHERE value IS NOT NULL GROUP BY ALL)
+ SELECT station_id, day, round(avg(v) OVER (PARTITION BY day, x, y),4) AS estimate FROM s""")
+def kriging_at_stations(t):
+    """At a place with observations kriging gives their mean."""
+    seen = daily_stations(t).where("value IS NOT NULL")
+    model = K.spherical_fit(K.empirical_variogram(seen, ["day"], "station_id", "value"), ["day"])
+    out = K.krige(seen, seen, model, ["day"], "station_id", "value")
+    return out.select("station_id", "day", F.round("estimate", 4).alias("estimate"))
+
+
+@query("J4_kriging_constant_field", "SELECT event_type, unnest(range(0,400))::INT AS cell, 5.0::DOUBLE AS estimate FROM (SELECT DISTINCT event_type FROM events)")
+def kriging_constant_field(t):
+    """A field that is the same at all stations is the same everywhere."""
+    k = F.col("user_id")
+    obs = t.events.select("event_type", k.alias("station_id"), (((k * 37) % 170) * 10000.0).alias("x"), (((k * 53) % 130) * 10000.0 + (k % 7) * 1000.0).alias("y"), F.lit(5.0).alias("value")).distinct()
+    model = K.spherical_fit(K.empirical_variogram(obs, ["event_type"], "station_id", "value"), ["event_type"])
+    est = K.krige(obs, K.surface_targets(obs, ["event_type"], 20), model, ["event_type"], "cell", "value")
+    return est.select("event_type", "cell", F.round("estimate", 5).alias("estimate"))
