@@ -5,7 +5,7 @@ import random
 
 import brute
 import pytest
-from conftest import table
+from corpus import table
 
 from cityloom.llm import chunk_dedup, jaccard_join, line_rules, mixture, quality_classifier, secret_scan, winnowing
 
