@@ -18,34 +18,33 @@ NEIGHBOURS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 # -- sums over all points ---------------------------------------------------------------------
 
 def distance_sums(cities: DataFrame, points: DataFrame, key: str, point_key: str,
-                  weight: str | None = None) -> DataFrame:
-    """Per city over all points, in km: ``n, sum_km, min_km, max_km, sum_wkm, sum_w``.
+                  weight: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Per city (and per ``by`` of the points) over all points, in km: ``n, sum_km, min_km, max_km, sum_wkm, sum_w``.
 
     Both sides carry ``x, y`` in metres. Points are packed into blocks; each city meets each
-    block once through an equi-join on the block number and adds up one partial result."""
+    block once through an equi-join on the block and adds up one partial result."""
+    by = by or []
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    pts = points.select(point_key, "x", "y", w.alias("w"))
-    packed = blocks(pts, [], [point_key], ["x", "y", "w"]).drop("n_blocks")
-    n_blocks = pts.agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")).scalar()
-    left = cities.select(key, F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    both = left.join(packed, "block").withColumn("km", F.transform(
+    packed = blocks(points.select(*by, point_key, "x", "y", w.alias("w")), by, [point_key], ["x", "y", "w"]).drop("n_blocks")
+    listed = packed.agg(F.collect_list(F.struct(*by, "block"))).scalar()  # one entry for each 512 points
+    left = cities.select(key, F.col("x").alias("_x"), F.col("y").alias("_y"), F.inline(listed))
+    both = left.join(packed, [*by, "block"]).withColumn("km", F.transform(
         "items", lambda p: distance(p["x"], p["y"], F.col("_x"), F.col("_y")) / 1000))
     add = lambda s, v: s + v
     part = both.select(
-        key, F.size("km").alias("n"), F.aggregate("km", F.lit(0.0), add).alias("s"),
+        key, *by, F.size("km").alias("n"), F.aggregate("km", F.lit(0.0), add).alias("s"),
         F.array_min("km").alias("lo"), F.array_max("km").alias("hi"),
         F.aggregate(F.zip_with("km", "items", lambda d, p: d * p["w"]), F.lit(0.0), add).alias("sw"),
         F.aggregate("items", F.lit(0.0), lambda s, p: s + p["w"]).alias("w"))
-    return part.groupBy(key).agg(
+    return part.groupBy(key, *by).agg(
         F.sum("n").alias("n"), F.sum("s").alias("sum_km"), F.min("lo").alias("min_km"),
         F.max("hi").alias("max_km"), F.sum("sw").alias("sum_wkm"), F.sum("w").alias("sum_w"))
 
 
-def weighted_mean_distance(cities, points, key, point_key, weight) -> DataFrame:
+def weighted_mean_distance(cities, points, key, point_key, weight, by: list[str] | None = None) -> DataFrame:
     """Mean km to the entry points, weighted by what arrived through each."""
-    sums = distance_sums(cities, points, key, point_key, weight)
-    return sums.select(key, F.try_divide("sum_wkm", "sum_w").alias("distance_km"))
+    sums = distance_sums(cities, points, key, point_key, weight, by)
+    return sums.select(key, *(by or []), F.try_divide("sum_wkm", "sum_w").alias("distance_km"))
 
 
 def popularity_distance(cities: DataFrame, key: str, attractions, w_reviews: float = 0.6,
@@ -74,11 +73,10 @@ def popularity_distance(cities: DataFrame, key: str, attractions, w_reviews: flo
         key, ((scaled + w_reviews * rev + w_rating * rat) / (rev + rat)).alias("top_distance"))
 
 
-def minmax(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Scale columns to 0..1 over the whole table (new name -> column); a constant becomes 0."""
-    lim = df.agg(F.struct(*[f(c).alias(f"{n}_{t}") for n, c in columns.items()
-                            for f, t in ((F.min, "lo"), (F.max, "hi"))]).alias("l")).scalar()
-    out = df.withColumn("_l", lim)
+def minmax(df: DataFrame, columns: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Scale columns to 0..1 over the whole table or each ``by`` (new name -> column); a constant becomes 0."""
+    limits = F.struct(*[f(c).alias(f"{n}_{t}") for n, c in columns.items() for f, t in ((F.min, "lo"), (F.max, "hi"))]).alias("_l")
+    out = df.join(df.groupBy(*by).agg(limits), by) if by else df.withColumn("_l", df.agg(limits).scalar())
     for n, c in columns.items():
         lo, hi = F.col(f"_l.{n}_lo"), F.col(f"_l.{n}_hi")
         out = out.withColumn(n, F.when(F.col(c).isNotNull(), F.coalesce(
@@ -87,11 +85,12 @@ def minmax(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def access_importance(points: DataFrame, department: str, people: str, w_points: float = 0.3,
-                      w_people: float = 0.7) -> DataFrame:
+                      w_people: float = 0.7, by: list[str] | None = None) -> DataFrame:
     """Score per department from its number of entry points and the people through them."""
-    per = points.groupBy(department).agg(F.count(F.lit(1)).alias("points"), F.sum(people).alias("people"))
-    scaled = minmax(per, {"p": "points", "q": "people"})
-    return scaled.select(department, "points", "people",
+    by = by or []
+    per = points.groupBy(*by, department).agg(F.count(F.lit(1)).alias("points"), F.sum(people).alias("people"))
+    scaled = minmax(per, {"p": "points", "q": "people"}, by)
+    return scaled.select(*by, department, "points", "people",
                          (w_points * F.col("p") + w_people * F.col("q")).alias("access_importance"))
 
 

@@ -10,7 +10,7 @@ from ..functions.geo import project_utm
 from ..functions.text import clean_name, literal_map, month_number, month_to_english, parse_decimal_comma, parse_point, period_key
 from ..operators import cleaning, kriging, panel, smoothing, spatial
 from ..operators.knn import knn_impute
-from ..operators.scale import group_median
+from ..operators.scale import dense_index, group_median
 
 YEARS = (2018, 2019, 2021, 2022, 2023)
 KEYS = ["city", "year", "month"]
@@ -81,28 +81,24 @@ def entry_flows(entries: DataFrame, years=YEARS) -> DataFrame:
     return e.groupBy("point_id", "lat", "lng", "year", "month").agg(F.sum("people").alias("people")).withColumns({"x": x, "y": y})
 
 
-def access_features(flows: DataFrame, points: DataFrame, departments: DataFrame, cell: float, years=YEARS):
+def access_features(flows: DataFrame, points: DataFrame, departments: DataFrame, cell: float):
     """(zone entries by department and month, distance by city and year, score by department and year)."""
     spots = flows.select("point_id", "lng", "lat").distinct().select(F.col("point_id").alias("city"), "lng", "lat")
     dep = city_departments(spots, departments, cell).withColumnRenamed("city", "point_id")
     zone = flows.join(dep, "point_id").groupBy("department", "year", "month").agg(F.sum("people").alias("zone_entries"))
     per_year = flows.groupBy("year", "point_id", "x", "y").agg(F.sum("people").alias("people"))
-    km, score = [], []
-    for y in years:
-        now = per_year.where(F.col("year") == y)
-        km.append(spatial.weighted_mean_distance(points, now, "city", "point_id", "people")
-                  .select("city", F.lit(y).alias("year"), F.col("distance_km").alias("access_distance")))
-        score.append(spatial.access_importance(now.join(dep, "point_id"), "department", "people")
-                     .select("department", F.lit(y).alias("year"), "access_importance"))
-    return zone, cleaning.stack(km), cleaning.stack(score)
-
-
-def lodging_months(annual: DataFrame, monthly: DataFrame, years=YEARS) -> DataFrame:
-    """Establishments, rooms and beds per city-month from the two layouts of the register."""
+    km = spatial.weighted_mean_distance(points, per_year, "city", "point_id", "people", ["year"]).withColumnRenamed("distance_km", "access_distance")
+    score = spatial.access_importance(per_year.join(dep, "point_id"), "department", "people", by=["year"]).select("department", "year", "access_importance")
+    return zone, km, score
+
+
+def lodging_months(annual: DataFrame, monthly: DataFrame, years=YEARS, monthly_year: int = 2023) -> DataFrame:
+    """Establishments, rooms and beds per city-month from the two layouts of the register; the monthly
+    layout holds ``monthly_year``."""
     a = annual.where(F.col("AÑO").isin(*years)).groupBy(clean_name(F.col("NOMBRE-MUNI")).alias("city"), F.col("AÑO").alias("year")).agg(
         F.count("CATEGORIA").alias("establishments"), F.sum("HABITACIONES").alias("rooms"), F.sum("CAMAS").alias("beds"))
     spread = panel.spread_over_months(a, patterns(annual.sparkSession, LODGING_TRENDS), ["year"], ["establishments", "rooms", "beds"])
-    m = monthly.groupBy(clean_name(F.col("MUNICIPIO")).alias("city"), F.lit(2023).alias("year"), F.col("MES").alias("month")).agg(
+    m = monthly.groupBy(clean_name(F.col("MUNICIPIO")).alias("city"), F.lit(monthly_year).alias("year"), F.col("MES").alias("month")).agg(
         F.count("CATEGORIA").cast("double").alias("establishments"), F.sum("NÚMERO DE HABIATACIONES").cast("double").alias("rooms"),
         F.sum("NÚMERO DE CAMAS").cast("double").alias("beds"))
     cols = [*KEYS, "establishments", "rooms", "beds"]
@@ -124,44 +120,47 @@ def spend_months(spend: DataFrame, cells: DataFrame, points: DataFrame, prefix:
     return panel.repeat_over_months(wide)
 
 
-def assemble(s: dict[str, DataFrame], years=YEARS, cell: float = 1.0, road_metres: float = 10_000.0) -> DataFrame:
-    """The panel before imputation. ``s`` holds the raw tables under the names of the sources."""
-    points = city_points(s["cities"])
-    cells = visitor_scaffold(s["visitors"], points, years)
+def facts(s: dict[str, DataFrame], points: DataFrame, cells: DataFrame, cell: float = 1.0) -> DataFrame:
+    """The counted columns of the panel: visitors, crimes, department, exchange rate, inflation and events."""
     out = cells
     for name in ("homicides", "thefts", "sexual_crimes"):
         counts = panel.incident_rollup(s[name], "FECHA HECHO", "MUNICIPIO", "CANTIDAD", name)
         out = out.join(counts, KEYS, "left").na.fill(0, [name])
     dep = city_departments(points, s["departments"], cell)
-    zone, km, score = access_features(entry_flows(s["border_entries"], years), points, s["departments"], cell, years)
     fx = panel.resample_monthly_median(s["fx"].select(F.to_date(F.try_to_timestamp(F.col("Fecha"))).alias("day"), F.col("Dolar").alias("fx")), "day", "fx")
     infl = s["inflation"].select(F.to_date(F.try_to_timestamp(F.col("Fecha"))).alias("d"), "Inflacion").select(
         F.year("d").alias("year"), F.month("d").alias("month"), F.col("Inflacion").alias("inflation"))
     events = s["events"].select(_department(F.col("Departamento")).alias("department"), "year", F.col("Mes").alias("month"),
                                 F.coalesce("Eventos", F.lit(0)).alias("events"))
+    out = (out.join(dep, "city", "left").join(fx.select("year", "month", "fx"), ["year", "month"], "left")
+           .join(infl, ["year", "month"], "left").join(events, ["department", "year", "month"], "left").na.fill(0, ["events"]))
+    return out.withColumn("period", period_key(F.col("month"), F.col("year")))
+
+
+def assemble(s: dict[str, DataFrame], years=YEARS, cell: float = 1.0, road_metres: float = 10_000.0) -> DataFrame:
+    """The panel before imputation. ``s`` holds the raw tables under the names of the sources."""
+    points = city_points(s["cities"])
+    cells = visitor_scaffold(s["visitors"], points, years)
+    zone, km, score = access_features(entry_flows(s["border_entries"], years), points, s["departments"], cell)
     roads = spatial.roads_within(s["outlines"], s["roads"], "city", "road_id", road_metres, 2 * road_metres)
     land = s["land_areas"].select(clean_name(F.col("ciudad")).alias("city"), F.col("año").alias("year"), F.col("urban").alias("urban_area"),
                                   F.col("green").alias("rural_area"), F.col("water").alias("water_area"))
     top = spatial.popularity_distance(points, "city", ATTRACTIONS)
-    out = (out.join(dep, "city", "left").join(temperature(s["weather"], cells, points), KEYS, "left")
-           .join(fx.select("year", "month", "fx"), ["year", "month"], "left")
-           .join(weighted_gdp(s["gdp"], s["municipal_weight"]), KEYS, "left")
-           .join(zone, ["department", "year", "month"], "left").na.fill(0, ["zone_entries"])
-           .join(km, ["city", "year"], "left").join(score, ["department", "year"], "left").na.fill(0.0, ["access_importance"])
-           .join(lodging_months(s["lodging"], s["lodging_2023"], years), KEYS, "left").join(top, "city", "left")
-           .join(points.select("city", "population"), "city", "left")
-           .withColumn("poverty_proxy", F.try_divide("weighted_gdp", "population")).drop("population")
-           .join(spend_months(s["spend_daily"], cells, points, "daily"), KEYS, "left")
-           .join(spend_months(s["spend_trip"], cells, points, "trip"), KEYS, "left")
-           .join(infl, ["year", "month"], "left").join(roads, "city", "left")
-           .join(events, ["department", "year", "month"], "left").na.fill(0, ["events"])
-           .join(land, ["city", "year"], "left"))
-    return out.withColumn("period", period_key(F.col("month"), F.col("year")))
+    return (facts(s, points, cells, cell).join(temperature(s["weather"], cells, points), KEYS, "left")
+            .join(weighted_gdp(s["gdp"], s["municipal_weight"]), KEYS, "left")
+            .join(zone, ["department", "year", "month"], "left").na.fill(0, ["zone_entries"])
+            .join(km, ["city", "year"], "left").join(score, ["department", "year"], "left").na.fill(0.0, ["access_importance"])
+            .join(lodging_months(s["lodging"], s["lodging_2023"], years), KEYS, "left").join(top, "city", "left")
+            .join(points.select("city", "population"), "city", "left")
+            .withColumn("poverty_proxy", F.try_divide("weighted_gdp", "population")).drop("population")
+            .join(spend_months(s["spend_daily"], cells, points, "daily"), KEYS, "left")
+            .join(spend_months(s["spend_trip"], cells, points, "trip"), KEYS, "left")
+            .join(roads, "city", "left").join(land, ["city", "year"], "left"))
 
 
 def impute(panel_rows: DataFrame) -> DataFrame:
     """Fill the lodging and land columns from the five nearest panel rows."""
-    rows = panel_rows.withColumn("_row", F.xxhash64(*KEYS))
+    rows = dense_index(panel_rows, [F.col(k) for k in KEYS], "_row")
     fixed = {*KEYS, "department", "period", "_row"}
     numeric = [c for c in panel_rows.columns if c not in fixed]
     return knn_impute(rows, "_row", "city", ["city", "department", "period"], numeric, IMPUTED, 5).drop("_row")
