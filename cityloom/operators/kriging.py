@@ -106,6 +106,8 @@ def _between(xa, ya, xb, yb):
     return np.sqrt((xa[:, None] - xb[None, :]) ** 2 + (ya[:, None] - yb[None, :]) ** 2)
 
 
+#: Points of a block of the covariance matrix: 32 MB for a pair of blocks, and few steps for groups of a few thousand.
+BLOCK_POINTS = 2048
 _VECTOR = "array<double>"
 _STATE = ["a0", "a1", "r0", "r1", "s0", "s1", "p0", "p1"]
 
@@ -142,7 +144,7 @@ def dual_weights(points: DataFrame, model: DataFrame, group: list[str], toleranc
     residuals are below ``tolerance`` of their start; ``most`` steps without that are an error. Groups without a
     model or with a model of zero have w = 0 and mu = the mean of v."""
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("psill", "range", "nugget")}
-    packed = blocks(points, group, ["x", "y"], ["x", "y", "v"]).join(model.select(*group, *zero), group, "left")
+    packed = blocks(points, group, ["x", "y"], ["x", "y", "v"], size_of_block=BLOCK_POINTS).join(model.select(*group, *zero), group, "left")
     packed = materialise(packed.select(*group, "block", "n_blocks", *[F.col(f"items.{c}").alias(c) for c in ("x", "y", "v")], *zero.values()), "points")
     fixed = packed.drop("v")
     keys = [*group, "block"]

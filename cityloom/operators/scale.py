@@ -130,12 +130,12 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFr
     return rows.join(offsets, "_b").withColumn(name, F.col("_off") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_b", "_id", "_off")
 
 
-def blocks(df: DataFrame, keys: list[str], spread: list[str], fields: list[str], name: str = "items") -> DataFrame:
-    """Pack rows into arrays of about ``BLOCK_ROWS`` structs: (keys..., block, n_blocks, items).
+def blocks(df: DataFrame, keys: list[str], spread: list[str], fields: list[str], name: str = "items", size_of_block: int | None = None) -> DataFrame:
+    """Pack rows into arrays of about ``size_of_block`` (``BLOCK_ROWS``) structs: (keys..., block, n_blocks, items).
 
     Every group is cut by its own size, so small groups are one array and large ones many."""
     rows = df.select(*dict.fromkeys([*keys, *spread, *fields]))
-    size = F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")
+    size = F.ceil(F.count(F.lit(1)) / (size_of_block or BLOCK_ROWS)).cast("int")
     if keys:
         rows = salted_join(rows, rows.groupBy(*keys).agg(size.alias("n_blocks")), keys, spread)
     else:
