@@ -10,10 +10,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..operators.scale import materialise
 
@@ -175,6 +177,20 @@ def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ok
 
 
+def split_by(docs: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key, a long without nulls, is surely not in ``wanted``, a table of one such column; all others). Only the others, the
+    wanted ones and a few more, need to be shuffled for an exact join; whole texts stay where they are."""
+    name = wanted.columns[0]
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(wanted, name).tobytes())
+
+    @pandas_udf("boolean")
+    def may(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(np.frombuffer(bits.value, np.uint32), keys.to_numpy(np.int64).view(np.uint64)))
+
+    rows = docs.withColumn("_may", may(key))
+    return rows.where("NOT _may").drop("_may"), rows.where("_may").drop("_may")
+
+
 # -- connected components ------------------------------------------------------------------------
 
 

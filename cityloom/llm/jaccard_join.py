@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import materialise
-from .common import NOT_SPACE, Words, bloom, components, passes, pieces
+from .common import NOT_SPACE, Words, bloom, components, passes, pieces, split_by
 
 WORDS = 5
 PERCENT = 80
@@ -520,9 +520,12 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
 
 def one_of_each_group(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents with the smallest doc_id of each linked group, all columns as given; documents without words
-    stay, and of rows with one doc_id one. The texts are shuffled once, by doc_id (a null one counts as the least long)."""
-    groups = jaccard_groups(docs, k, percent)
+    stay, and of rows with one doc_id one (nulls count as one id). Only documents that go, and repeated ids, are shuffled."""
     none = F.lit(-(1 << 63))
-    keep = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.coalesce("doc_id", none).alias("_keep")).distinct()
-    keyed = docs.withColumn("_keep", F.coalesce(F.col("doc_id").cast("long"), none))
-    return keyed.join(keep, "_keep", "left_semi").dropDuplicates(["_keep"]).drop("_keep")
+    first = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    ids = jaccard_groups(docs, k, percent).groupBy(F.coalesce("doc_id", none).alias("_id")).agg(F.max(first).alias("stays"), F.count(F.lit(1)).alias("n"))
+    ids = materialise(ids.where("NOT stays OR n > 1"), "ids")
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), none))
+    whole, open_ = split_by(keyed, F.col("_id"), ids.select("_id"))
+    kept = open_.join(ids.where("NOT stays").select("_id"), "_id", "left_anti").dropDuplicates(["_id"])
+    return whole.select(*docs.columns).unionByName(kept.select(*docs.columns))

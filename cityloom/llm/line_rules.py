@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import materialise
-from .common import NOT_SPACE, STEP, Words, mix, pieces, span_hash
+from .common import NOT_SPACE, STEP, Words, mix, pieces, span_hash, split_by
 
 MAX_DOCS = 10
 MAX_SHARE = 0.05
@@ -175,7 +175,11 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     rejected = verdicts(rows, removed).where("NOT kept").select("host", "text_key").distinct()
     marks = (rejected.withColumn("_bad", F.lit(True)).join(lists, ["host", "text_key"], "full")
              .withColumnsRenamed({"host": "_host", "text_key": "_key"}))
+    marks = materialise(marks, "marks")
     keyed = docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")), "_key": F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    left = keyed.join(marks, ["_host", "_key"], "left").where("_bad IS NULL").select(*docs.columns, "_lines")
-    out = left.mapInArrow(strip_rows, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    whole, open_ = split_by(keyed, F.xxhash64("_host", "_key"), marks.select(F.xxhash64("_host", "_key").alias("k")))
+    left = open_.join(marks, ["_host", "_key"], "left").where("_bad IS NULL").select(*docs.columns, "_lines")
+    cut = left.mapInArrow(strip_rows, docs.schema)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return whole.select(*docs.columns).unionByName(cut.select(*docs.columns))

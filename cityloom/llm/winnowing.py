@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import materialise
-from .common import ALNUM, Words, bloom, passes, pieces
+from .common import ALNUM, Words, bloom, passes, pieces, split_by
 
 SPAN = 10
 GRAM = 5
@@ -136,6 +136,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark window, all columns as given."""
-    leaks = contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    """The documents that hold no benchmark window, all columns as given; a doc_id with a hit goes in all its rows.
+    Only those that go, and a few that the filter takes for them, are shuffled."""
+    none = F.lit(-(1 << 63))
+    leaks = contamination(docs, benchmark).where("n_hit > 0").select(F.coalesce("doc_id", none).alias("_id")).distinct()
+    leaks = materialise(leaks, "leaks")
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), none))
+    whole, open_ = split_by(keyed, F.col("_id"), leaks)
+    return whole.select(*docs.columns).unionByName(open_.join(leaks, "_id", "left_anti").select(*docs.columns))
