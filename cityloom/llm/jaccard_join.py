@@ -95,7 +95,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 # -- passes over the texts -----------------------------------------------------------------------
 
-SETS = "doc_id long, key long, digest binary, n_shingles long"
+SETS = "doc_id long, text_key binary, key long, digest binary, n_shingles long"
 
 
 def class_rows(k: int):
@@ -110,8 +110,9 @@ def class_rows(k: int):
                 keys.append(key_of(d) if len(values) else None)
                 digests.append(d)
                 sizes.append(len(values))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())],
-                                             ["doc_id", "key", "digest", "n_shingles"])
+            texts = [hashlib.md5((t or "").encode()).digest() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()), pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())],
+                                             ["doc_id", "text_key", "key", "digest", "n_shingles"])
 
     return run
 
@@ -424,8 +425,8 @@ def blocked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 def linked_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents with their class, classes with their component).
 
-    documents: doc_id, key, digest, n_shingles, one row per input row. classes: digest, component (smallest
-    doc_id of the linked classes), for every class with a non-empty set."""
+    documents: doc_id, text_key, key, digest, n_shingles, one row per input row. classes: digest, grp (the same for
+    linked classes), component (their smallest doc_id), for every class with a non-empty set."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialise(texts.mapInArrow(class_rows(k), SETS), "classes")
@@ -505,7 +506,7 @@ def linked_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> t
     whole = components(first.unionByName(second))
     ends = classes.join(whole.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("grp"))
     lowest = ends.groupBy("grp").agg(F.min("doc_id").alias("component"))
-    return rows, ends.join(lowest, "grp").select("digest", "component")
+    return rows, ends.join(lowest, "grp").select("digest", "grp", "component")
 
 
 def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -519,13 +520,24 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
 
 
 def one_of_each_group(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents with the smallest doc_id of each linked group, all columns as given; documents without words
-    stay, and of rows with one doc_id one (nulls count as one id). Only documents that go, and repeated ids, are shuffled."""
-    none = F.lit(-(1 << 63))
-    first = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    ids = jaccard_groups(docs, k, percent).groupBy(F.coalesce("doc_id", none).alias("_id")).agg(F.max(first).alias("stays"), F.count(F.lit(1)).alias("n"))
-    ids = materialise(ids.where("NOT stays OR n > 1"), "ids")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), none))
-    whole, open_ = split_by(keyed, F.col("_id"), ids.select("_id"))
-    kept = open_.join(ids.where("NOT stays").select("_id"), "_id", "left_anti").dropDuplicates(["_id"])
-    return whole.select(*docs.columns).unionByName(kept.select(*docs.columns))
+    """One row of each linked group, the one with the smallest doc_id (nulls last), all columns as given; documents
+    without words stay. Rows meet their decision by (doc_id, text), so rows without an id, and different texts
+    under one id, go only with their own group. Only rows that go, and repeated ones, are shuffled."""
+    rows, classes = linked_classes(docs, k, percent)
+    rows = rows.where("n_shingles > 0").groupBy("digest", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    stay = (rows.groupBy("digest").agg(first).join(classes, "digest").groupBy("grp").agg(F.min("first").alias("first"))
+            .select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"), F.lit(True).alias("stays")))
+
+    def same(a, b):
+        return a["_id"].eqNullSafe(b["_id"]) & (a["_key"] == b["_key"])
+
+    all_ = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n")
+    marks = all_.join(stay, same(all_, stay), "left").select(all_["_id"].alias("_mid"), all_["_key"].alias("_mkey"), F.coalesce("stays", F.lit(False)).alias("_stays"), "n")
+    marks = materialise(marks.where("NOT _stays OR n > 1").drop("n"), "marks")
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))})
+    whole, open_ = split_by(keyed, F.xxhash64("_id", "_key"), marks.select(F.xxhash64("_mid", "_mkey").alias("k")))
+    met = open_.join(marks, F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_key") == F.col("_mkey")), "left")
+    once = met.where("_stays").dropDuplicates(["_id", "_key"])
+    return (whole.select(*docs.columns).unionByName(met.where("_stays IS NULL").select(*docs.columns))
+            .unionByName(once.select(*docs.columns)))

@@ -95,16 +95,16 @@ def document_rows(short: list[int], bits_bytes):
             for t, fp, size, starts, windows in marked(words, short, bits):
                 hits[t].append({"fp": fp, "size": size, "starts": starts.tolist(), "windows": windows.tolist()})
             texts = batch.column("text").to_pylist()
-            keys = [hashlib.blake2b(x.encode(), digest_size=16).digest() if h else None for x, h in zip(texts, hits)]
+            keys = [hashlib.md5(x.encode()).digest() if h else None for x, h in zip(texts, hits)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(hits, kind)],
                                              ["doc_id", "n_words", "text_key", "hits"])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside occurring windows), items (their ids, sorted as strings), one row per
-    input row."""
+def occurring(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_words, text_key of each row, null where no fingerprint is known; text_key, at, size, item_id of the
+    windows that occur)."""
     spark = docs.sparkSession
     items = (benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
              .where("item_id IS NOT NULL").mapInArrow(item_rows, "fp long, size int, item_id string, item_windows array<long>"))
@@ -119,7 +119,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
              .distinct())
     found = F.filter(F.transform("windows", lambda w, i: F.when(F.array_contains("item_windows", w), F.get("starts", i))), lambda s: s.isNotNull())
     joined = spots.join(items.distinct(), ["fp", "size"]).select("text_key", "item_id", "size", found.alias("at")).where(F.size("at") > 0)
-    joined = materialise(joined, "hits")
+    return rows, materialise(joined, "hits")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside occurring windows), items (their ids, sorted as strings), one row per
+    input row."""
+    rows, joined = occurring(docs, benchmark)
     covered = F.aggregate(  # starts in order: each window adds what lies beyond the words reached so far
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("at", lambda s: F.struct(s.alias("s"), F.col("size").alias("n"))))))),
         F.struct(F.lit(0).alias("reached"), F.lit(0).cast("long").alias("hit")),
@@ -136,11 +142,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark window, all columns as given; a doc_id with a hit goes in all its rows.
-    Only those that go, and a few that the filter takes for them, are shuffled."""
-    none = F.lit(-(1 << 63))
-    leaks = contamination(docs, benchmark).where("n_hit > 0").select(F.coalesce("doc_id", none).alias("_id")).distinct()
-    leaks = materialise(leaks, "leaks")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), none))
-    whole, open_ = split_by(keyed, F.col("_id"), leaks)
-    return whole.select(*docs.columns).unionByName(open_.join(leaks, "_id", "left_anti").select(*docs.columns))
+    """The documents that hold no benchmark window, all columns as given. The texts decide, not the ids, so rows
+    without an id and other texts under the same id stay. Only those that go, and a few that the filter takes for
+    them, are shuffled."""
+    leaks = materialise(occurring(docs, benchmark)[1].select(F.col("text_key").alias("_key")).distinct(), "leaks")
+    keyed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    whole, open_ = split_by(keyed, F.xxhash64("_key"), leaks.select(F.xxhash64("_key").alias("k")))
+    return whole.select(*docs.columns).unionByName(open_.join(leaks, "_key", "left_anti").select(*docs.columns))

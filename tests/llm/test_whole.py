@@ -5,7 +5,7 @@ import random
 from corpus import prose, table
 from pyspark.sql import functions as F
 
-from cityloom.llm import line_rules
+from cityloom.llm import jaccard_join, line_rules, winnowing
 
 
 def test_frequent_lines_of_a_hot_host(spark):
@@ -16,3 +16,18 @@ def test_frequent_lines_of_a_hot_host(spark):
     rows += [(i, f"{prose(rng, 25)} n{i}" + (f"\n{line}" if i % 10 == 0 else ""), "small") for i in range(6000, 6200)]
     left = line_rules.kept_documents(table(spark, rows)).where(F.col("text").contains(line)).collect()
     assert sorted(r.doc_id for r in left) == [0, 6000]
+
+
+def test_rows_without_an_id_and_texts_that_share_one(spark):
+    """They go only with their own group or window; the first row of a group stays, also without an id."""
+    rng = random.Random(13)
+    t = [prose(rng, 60) for _ in range(8)]
+    rows = [(None, t[0], "s"), (None, t[1], "s"), (7, t[2], "s"), (7, t[3], "s"), (3, t[4], "s"), (None, t[4], "s"), (None, t[5], "s"), (None, t[5], "s"),
+            (9, t[6], "s"), (9, t[6], "s"), (None, "", "s"), (None, None, "s"), (2, t[3], "s")]
+    left = jaccard_join.one_of_each_group(table(spark, rows)).collect()
+    want = [(None, t[0]), (None, t[1]), (7, t[2]), (2, t[3]), (3, t[4]), (None, t[5]), (9, t[6]), (None, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted(want, key=str)
+    benchmark = spark.createDataFrame([("1", t[0]), ("2", t[2])], "item_id string, text string")
+    left = winnowing.clean_documents(table(spark, rows), benchmark).collect()
+    want = [(d, x) for d, x, _ in rows if x not in (t[0], t[2])]
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted(want, key=str)
