@@ -4,7 +4,8 @@ Positions come from the text itself: a pattern's matches are wrapped in marks, t
 lengths of the pieces add up to starts and ends (code points). Characters used as marks are first replaced by
 another one of the same length, which no pattern holds.
 
-Candidates of the battery are maximal runs of ``[A-Za-z0-9+/_=-]`` of 20 characters or more. The encoding is inferred from the
+Candidates of the battery are maximal runs of ``[A-Za-z0-9+/_-]``, with up to two ``=`` that close them, of 20 characters
+or more, so that name=value is cut; of a run that meets a span of a fixed kind the parts outside are tested. The encoding is inferred from the
 characters (hex, base32, base36, base62, base64, ...), and three statistics are taken under "every character is
 drawn evenly": chi-squared of the character counts (exact mean and variance, so that short strings count right),
 the number of runs above and below the middle of the alphabet, and serial correlation at lag 1. The smallest of
@@ -27,7 +28,8 @@ from ..operators.scale import materialise
 ASSIGN = r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]{16,})()"
 HEX = r"([0-9a-f]{24,})()"
-STRING = r"([A-Za-z0-9+/_=-]{20,})()"
+STRING = r"([A-Za-z0-9+/_-]{18,}+==(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_-]{19,}+=(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_-]{20,}+)()"
+LEAST = 20
 #: Kinds as listed, with the least length of group 2 (assign) or of the match, already part of the other patterns.
 KINDS = [("assign", ASSIGN, 6), ("access", ACCESS, 0), ("hex", HEX, 0)]
 RANDOM = "random"
@@ -47,9 +49,10 @@ ENCODINGS = [
     ("b62", "[0-9A-Za-z]+", DIGITS + UPPER + LOWER),
     ("b64", "[0-9A-Za-z+/]+", UPPER + LOWER + DIGITS + "+/"),
     ("url", "[0-9A-Za-z_-]+", UPPER + LOWER + DIGITS + "-_"),
+    ("mix", "[0-9A-Za-z+/_-]+", UPPER + LOWER + DIGITS + "+/-_"),
 ]
-#: Encodings of numbers and of letters of one kind are names, counts and words, never secrets by themselves.
-PLAIN = ["dec", "low", "up"]
+#: Plain numbers are counts, dates and identifiers, never secrets by themselves.
+PLAIN = ["dec"]
 BANDS = [24, 32, 48, 64]
 STEPS = 20
 FALSE_SHARE = 0.05
@@ -85,6 +88,26 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def outside(run: Column, base: Column) -> Column:
+    """The parts of a run outside the base spans (in order), of ``LEAST`` characters or more; ``value`` is without the
+    one character that may join a part to a span."""
+    def part(start, end):
+        value = F.substring(run["value"], start - run["start"] + 1, end - start)
+        value = F.when(start > run["start"], F.regexp_replace(value, "^[+/_-]", "")).otherwise(value)
+        value = F.when(end < run["end"], F.regexp_replace(value, "[+/_-]$", "")).otherwise(value)
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
+
+    def step(a, b):
+        more = F.concat(a["parts"], F.array(part(a["at"], F.greatest(a["at"], b["start"]))))
+        return F.struct(F.least(run["end"], F.greatest(a["at"], b["end"])).alias("at"), more.alias("parts"))
+
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    met = F.filter(base, lambda b: overlaps(b, run))
+    cut = F.aggregate(met, F.struct(run["start"].alias("at"), none.alias("parts")), step,
+                      lambda a: F.concat(a["parts"], F.array(part(a["at"], run["end"]))))
+    return F.when(F.size(met) == 0, F.array(run)).otherwise(F.filter(cut, lambda p: p["end"] - p["start"] >= LEAST))
+
+
 def labelled(spans: Column, rank: int, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
@@ -94,7 +117,7 @@ def of_kind(spans: Column, kind: str) -> Column:
 
 
 def matched(docs: DataFrame) -> DataFrame:
-    """All columns, ``_base`` (spans of the fixed kinds in order) and ``_tests`` (candidates outside them)."""
+    """All columns, ``_base`` (spans of the fixed kinds in order) and ``_tests`` (candidates and parts of them outside)."""
     names = [*[k for k, _, _ in KINDS], "string"]
     patterns = [*KINDS, ("string", STRING, 0)]
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01\x02\x03", "\x04\x04\x04")
@@ -102,7 +125,7 @@ def matched(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({f"_{k}": wrapped(F.col("_plain"), p) for k, p, _ in patterns}).drop("_plain")
     rows = rows.withColumns({f"_{k}": located(F.col(f"_{k}"), n) for k, _, n in patterns})
     rows = rows.withColumn("_base", F.array_sort(F.concat(*[labelled(F.col(f"_{k}"), r, k) for r, (k, _, _) in enumerate(KINDS)])))
-    free = F.filter("_string", lambda s: ~F.exists("_base", lambda b: overlaps(b, s)))
+    free = F.flatten(F.transform("_string", lambda s: outside(s, F.col("_base"))))
     tests = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), band(s["end"] - s["start"]).alias("band"), tested(s["value"]).alias("t")))
     return rows.withColumn("_tests", tests).drop(*[f"_{n}" for n in names])
 

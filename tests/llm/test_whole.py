@@ -5,7 +5,7 @@ import random
 from corpus import prose, table
 from pyspark.sql import functions as F
 
-from cityloom.llm import jaccard_join, line_rules, winnowing
+from cityloom.llm import jaccard_join, line_rules, secret_scan, winnowing
 
 
 def test_frequent_lines_of_a_hot_host(spark):
@@ -31,3 +31,31 @@ def test_rows_without_an_id_and_texts_that_share_one(spark):
     left = winnowing.clean_documents(table(spark, rows), benchmark).collect()
     want = [(d, x) for d, x, _ in rows if x not in (t[0], t[2])]
     assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted(want, key=str)
+
+
+def test_joined_and_one_case_strings(spark):
+    """Random strings behind name=, joined to an access id, or of one case are found; names and words like them are not."""
+    rng = random.Random(14)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = ["river", "stone", "garden", "window", "letter", "summer", "market", "bridge"]
+
+    def drawn(letters, n=40):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    ids = ["AKIA" + drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16) for _ in range(400)]
+    kinds = [lambda i: ("AWS_SECRET_ACCESS_KEY=", drawn(base64)), lambda i: ("db_pass=", drawn(base64) + "=="), lambda i: (f"{ids[i]}/", drawn(base64)),
+             lambda i: (f"{ids[i]}=", drawn(base64)), lambda i: ("see ", drawn(base64[26:52])), lambda i: ("see ", drawn(base64[:26]))]
+    rows, keys = [], {}
+    for i in range(1200):
+        name, key = kinds[i % 6](i // 6)
+        rows.append((i, f"so {name}{key} it is", "s"))
+        keys[i] = (3 + len(name), 3 + len(name) + len(key))
+    rows += [(i, "say " + "".join(rng.choice(words) for _ in range(7)) + " SOME_LONG_NAME_OF_A_THING=" + "/".join(rng.choice(words) for _ in range(6)), "s") for i in range(1200, 1500)]
+    found = {}
+    for r in secret_scan.secrets(table(spark, rows)).collect():
+        spans = [s.split(":") for s in r.spans.split(",") if s.startswith("random")]
+        found[r.doc_id] = [(int(a), int(b)) for _, a, b in spans]
+    for kind in range(6):
+        of = [i for i in keys if i % 6 == kind]
+        assert sum(any(a <= keys[i][0] and b >= keys[i][1] for a, b in found[i]) for i in of) >= 0.85 * len(of), kind
+    assert sum(bool(found[i]) for i in range(1200, 1500)) <= 0.05 * 1200
