@@ -236,11 +236,11 @@ def posting_rows(k: int, bits: int, percent: int, hot_bytes):
 MEETINGS = "shingle long, a long, na int, ha int, b long, nb int, hb int, shared int"
 
 
-def meetings(percent: int):
+def meetings(percent: int, most: int):
     """Of one bucket: pairs of classes that share rare first shingles, counted, and postings of frequent ones.
 
-    h is how many frequent shingles are among the first ones of a set. A rare shingle has few classes, so its pairs
-    are listed; postings of frequent shingles leave as they are."""
+    h is how many frequent shingles are among the first ones of a set. Pairs are listed for rare shingles of at most
+    ``most`` classes; postings of frequent shingles, and longer ones of rare shingles (``shared`` is 1), leave as they are."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = [unpack(b) for b in pdf["hashes"]]
@@ -262,8 +262,10 @@ def meetings(percent: int):
         first = n - (-(-percent * n // 100)) + 1
         frame = pd.DataFrame({"shingle": (h | (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32))).view(np.int64), "a": key, "na": n, "ha": np.maximum(0, first - rare)})
         is_hot = hot[order] == 1
-        long = frame[is_hot].assign(b=None, nb=None, hb=None, shared=None)
-        rare_rows = frame[~is_hot].to_numpy()
+        length = np.unique(h, return_inverse=True, return_counts=True)
+        is_long = ~is_hot & (length[2][length[1]] > most) if len(h) else is_hot
+        long = frame[is_hot | is_long].assign(b=None, nb=None, hb=None, shared=is_long[is_hot | is_long].astype(np.int64))
+        rare_rows = frame[~is_hot & ~is_long].to_numpy()
         x, y, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
         while d < len(rare_rows):
             i = np.flatnonzero(rare_rows[d:, 0] == rare_rows[:-d, 0])
@@ -442,7 +444,7 @@ def linked_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> t
     hot_bytes = spark.sparkContext.broadcast(hot.tobytes())
 
     met = (texts.mapInArrow(posting_rows(k, bits, percent, hot_bytes), "bucket long, hashes binary, owner binary, frequent binary, table binary")
-           .repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meetings(percent), MEETINGS))
+           .repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meetings(percent, HOT_OVER), MEETINGS))
     met = materialise(met, "meetings")
 
     # What two sets share beyond their first shingles is at most the rest of one of them, so the first ones must
@@ -453,9 +455,16 @@ def linked_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> t
     def missing(x, y):
         return f"(ceil({percent} * ({x} + {y}) / {100 + percent}) - greatest({rest(x)}, {rest(y)}))"
 
-    pairs = (met.where("shingle IS NULL").groupBy("a", "na", "ha", "b", "nb", "hb").agg(F.sum("shared").alias("shared"))
-             .where(f"shared + least(ha, hb) >= {missing('na', 'nb')}").select(F.col("b").alias("hub"), F.col("a").alias("key")))
+    pairs = met.where("shingle IS NULL").groupBy("a", "na", "ha", "b", "nb", "hb").agg(F.sum("shared").alias("shared"))
     lists = met.where("shingle IS NOT NULL").select("shingle", F.col("a").alias("key"), F.col("na").alias("n"), F.col("ha").alias("h"))
+    if over > HOT_OVER:  # else no rare shingle has a long posting; h counts those of a class too, since their pairs are not listed
+        extra = met.where("shingle IS NOT NULL AND shared = 1").groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).cast("int").alias("extra"))
+        extra = materialise(extra, "extra")
+        lists = lists.join(extra, "key", "left").select("shingle", "key", "n", (F.col("h") + F.coalesce("extra", F.lit(0))).alias("h"))
+        for x in "ab":
+            own = extra.select(F.col("key").alias(x), F.col("extra").alias("_extra"))
+            pairs = pairs.join(own, x, "left").withColumn(f"h{x}", F.col(f"h{x}") + F.coalesce("_extra", F.lit(0))).drop("_extra")
+    pairs = (pairs.where(f"shared + least(ha, hb) >= {missing('na', 'nb')}").select(F.col("b").alias("hub"), F.col("a").alias("key")))
 
     # originals first: of each frequent shingle's classes, the one with the most frequent shingles for its size meets the others
     hubs = (lists.groupBy("shingle").agg(F.min(F.struct((F.col("n") - F.col("h")).alias("rest"), "n", "h", "key")).alias("x"))

@@ -2,6 +2,7 @@
 
 import random
 
+import brute
 from corpus import prose, table
 from pyspark.sql import functions as F
 
@@ -59,3 +60,32 @@ def test_joined_and_one_case_strings(spark):
         of = [i for i in keys if i % 6 == kind]
         assert sum(any(a <= keys[i][0] and b >= keys[i][1] for a, b in found[i]) for i in of) >= 0.85 * len(of), kind
     assert sum(bool(found[i]) for i in range(1200, 1500)) <= 0.05 * 1200
+
+
+def test_long_postings_of_rare_shingles_meet_through_hubs(spark, monkeypatch):
+    """With room for a few frequent shingles only, as in a large corpus, a group of copies does not meet pair by pair."""
+    rng = random.Random(15)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 6])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words), "s"))
+    rows += [(1000 + i, " ".join(base[:60] + [f"y{i}_{j}" for j in range(rng.choice([8, 20, 300]))]), "s") for i in range(40)]
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
+    monkeypatch.setattr(jaccard_join, "HOT_OVER", 3)
+    monkeypatch.setattr(jaccard_join, "HOT_KEPT", 32)
+    monkeypatch.setattr(jaccard_join, "BUCKET_SHINGLES", 1 << 12)
+    listed, write = [], jaccard_join.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "meetings" and "shingle" in out.columns:
+            listed.append((out.where("shingle IS NULL").agg(F.sum("shared")).first()[0] or 0, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(table(spark, rows)).collect()}
+    assert got == brute.jaccard_components([(d, t) for d, t, _ in rows])
+    assert listed[0][0] < len(rows) * 10  # 160 copies give 12 720 pairs for each shingle
