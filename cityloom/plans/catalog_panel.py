@@ -79,13 +79,13 @@ def raw_sources(t) -> dict:
                 .select(F.col("day").alias("FECHA HECHO"), F.concat("n_name", F.lit(" (CT)")).alias("MUNICIPIO"), F.col("n").cast("string").alias("CANTIDAD")))
 
     price = F.col("o_totalprice")
-    spend = (o.where("n_nationkey % 5 <> 0").groupBy(F.col("n_name").alias("city"), "year")
+    spend = (o.groupBy(F.col("n_name").alias("city"), "year")
              .agg(*[f.alias(n) for n, f in zip(whole.SPEND_ITEMS, (F.avg(price), F.min(price), F.max(price), F.avg(price / 2), F.avg(price / 3)))]))
     totals = names.join(people, "n_nationkey").groupBy("department").agg(F.sum("population").alias("whole"))
     share = (names.join(people, "n_nationkey").join(totals, "department")
              .select(F.col("department").alias("Departamento"), F.col("n_name").alias("Municipio / Distrito"),
                      (100 * F.col("population") / F.col("whole")).alias("Peso relativo municipal en el valor agregado departamental %")))
-    stations = t.events.where("user_id % 25 < 20").join(names, F.col("user_id") % 25 == F.col("n_nationkey"))
+    stations = t.events.join(names, F.col("user_id") % 25 == F.col("n_nationkey"))
     sides = ["x1", "y1", "x2", "y2"]
     land = R.land_cover(pixels(t)).join(names, F.col("city_id") == F.col("n_nationkey"))
     land = land.groupBy(F.col("n_name").alias("ciudad"), F.element_at(F.array(*[F.lit(y) for y in whole.YEARS]), (F.col("year") - 1995) % len(whole.YEARS) + 1).alias("año")).agg(*[F.sum(c).alias(c) for c in ("urban", "green", "water")])
