@@ -215,6 +215,7 @@ _register("L14_elastic_net", "elastic_net")
 _register("L16_decision_tree", "decision_tree")
 _register("L17_random_forest", "random_forest")
 _register("L18_gradient_boosting", "gradient_boosting")
+_register("L19_boosted_trees_full", "boosted_trees")
 _register("L19_boosted_trees_regularised", "boosted_trees_explained", FEATURES, False)
 _register("L19_boosted_trees_compact", "boosted_trees_compact", ["gdp", "trip_spend", "crimes"])
 
@@ -228,14 +229,13 @@ def linear_svr(t):
 
 @query("L21_random_search")
 def random_search(t):
-    return M.random_search(model_rows(t), F.col("row_id"), FEATURES, "visitors", "ridge", draws=3)
+    return M.random_search(model_rows(t), F.col("row_id"), FEATURES, "visitors", "ridge")
 
 
 def _register_search(kind: str):
     @query(f"L21_random_search_{kind}")
     def run(t):
-        small = {k: v[: max(1, len(v) // 10)] for k, v in M.SEARCH_SPACE[kind].items()}  # small trees and few of them keep a check short
-        return M.random_search(model_rows(t), F.col("row_id"), FEATURES, "visitors", kind, draws=2, folds=3, space=small)
+        return M.random_search(model_rows(t), F.col("row_id"), FEATURES, "visitors", kind)
 
 
 for _kind in ("lasso", "elastic_net", "decision_tree", "random_forest", "gradient_boosting", "boosted_trees"):
