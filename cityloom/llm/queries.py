@@ -14,6 +14,7 @@ from .quality_classifier import scored
 from .registry import ORACLES, QUERIES, query
 from .revisits import crawl, resolve
 from .secret_scan import secrets
+from .token_counts import token_counts
 from .winnowing import contamination
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -164,3 +165,10 @@ def op3(pages, spark, folder):
 @query("op6_chunk_dedup", "documents")
 def op6(docs, spark, folder):
     return report(docs)
+
+
+@query("op13_token_counts", "documents")
+def op13(docs, spark, folder):
+    import public_tokenizers
+
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
