@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .chat_format import formatted, probe, read_back
 from .chunk_dedup import report
 from .jaccard_join import jaccard_groups
+from .lexical_search import top_documents
 from .line_rules import quality_rules
 from .main_text import extract
 from .mixture import taken_words
@@ -172,3 +173,19 @@ def op13(docs, spark, folder):
     import public_tokenizers
 
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+SEARCH_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM it) GROUP BY r, t),
+wt AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY t),
+x AS (SELECT item_id, doc_id, sum(wt.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * n_docs) // n_terms))))::BIGINT AS score
+  FROM it JOIN tf USING (t) JOIN wt USING (t) JOIN d USING (r), s GROUP BY item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 50"""
+
+
+@query("op11_lexical_search", "documents", SEARCH_SQL)
+def op11(docs, spark, folder):
+    return top_documents(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
