@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import formatted, probe, read_back
 from .chunk_dedup import report
+from .conversation_trie import trie
 from .jaccard_join import jaccard_groups
 from .lexical_search import top_documents
 from .line_rules import quality_rules
@@ -189,3 +190,30 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 @query("op11_lexical_search", "documents", SEARCH_SQL)
 def op11(docs, spark, folder):
     return top_documents(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id AS c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, length(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) AS pos FROM t),
+v AS (SELECT c, c - c % 100 AS base, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h, count(*) AS n FROM t GROUP BY c),
+w AS (SELECT v.c, v.base, v.h, least(v.h, coalesce(b.n, 0)) AS taken, least(v.h, coalesce(b.n, 0)) + greatest(v.n - v.h, 0) AS total FROM v LEFT JOIN v b ON v.base = b.c),
+r AS (SELECT w.c, taken + pos - h AS k, g, size FROM o JOIN w USING (c) WHERE pos > h
+  UNION ALL SELECT w.c, pos AS k, g, size FROM o JOIN w ON o.c = w.base AND pos <= w.h),
+p AS (SELECT c, k, size, md5(string_agg(g, '') OVER (PARTITION BY c ORDER BY k)) AS path, total FROM r JOIN w USING (c)
+  UNION ALL SELECT c, 0, 0, '', total FROM w),
+m AS (SELECT k AS depth, path, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (total = k) AS ends FROM p GROUP BY k, path),
+e AS (SELECT DISTINCT b.path, a.path AS up, b.k FROM p a JOIN p b ON a.c = b.c AND a.k = b.k - 1),
+kids AS (SELECT up AS path, k - 1 AS depth, count(*) AS n FROM e GROUP BY 1, 2),
+f AS (SELECT m.*, coalesce(kids.n, 0) AS n_children FROM m LEFT JOIN kids USING (path, depth)),
+s AS (SELECT p.path, p.k AS depth, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.size) AS saved
+  FROM f JOIN p ON p.c = f.conv_id AND p.k <= f.depth GROUP BY 1, 2)
+SELECT f.conv_id, f.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN s USING (path, depth) LEFT JOIN e ON e.path = f.path AND e.k = f.depth LEFT JOIN f u ON u.path = e.up AND u.depth = f.depth - 1"""
+
+
+@query("op12_conversation_trie", "conversations", TRIE_SQL)
+def op12(turns, spark, folder):
+    return trie(turns)
