@@ -89,8 +89,10 @@ def bands(turns: DataFrame, band: int) -> DataFrame:
         return F.lpad(F.hex(c), 16, "0")
 
     steps = F.array_join(F.transform("path", lambda p: F.concat(F.lit("01"), word(p["x1"]), word(p["x2"]))), "")
-    key = F.unhex(F.concat(word(F.col("band")), word(F.col("r1")), word(F.col("r2")), steps, F.lit("00"), word(F.col("conv_id").bitwiseXOR(F.lit(-(1 << 63))))))
-    return rows.select("conv_id", "band", "r1", "r2", "path", (F.col("total") > (F.col("band") + 1) * band).alias("more"), key.alias("key"))
+    more = F.col("total") > (F.col("band") + 1) * band
+    # of a node's members those that end there come first, then by conv_id
+    key = F.unhex(F.concat(word(F.col("band")), word(F.col("r1")), word(F.col("r2")), steps, F.when(more, "01").otherwise("00"), word(F.col("conv_id").bitwiseXOR(F.lit(-(1 << 63))))))
+    return rows.select("conv_id", "band", "r1", "r2", "path", more.alias("more"), key.alias("key"))
 
 
 # -- shards and the skeleton -------------------------------------------------------------------------
@@ -190,7 +192,7 @@ class Shard:
                 parent_conv = p1 = p2 = up = None
                 if d:
                     j = v["up"][i]
-                    if high["skel"][j]:
+                    if high["skel"][j] or d == 1:  # members that end with the band before have no row in this one
                         p1, p2 = int(high["h1"][j]), int(high["h2"][j])
                     else:
                         parent_conv = int(high["conv"][j])
