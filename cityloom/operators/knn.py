@@ -112,6 +112,30 @@ def knn_regress(queries: DataFrame, donors: DataFrame, k: int = 3, weights: str
     return agg.select("q", F.coalesce("exact", F.try_divide("a", "b")).alias("prediction"))
 
 
+def neighbour_scores(df: DataFrame, key: Column, fold: Column, columns: list[str], target: str, k: int, folds: int, test: int = -2) -> dict[tuple, float]:
+    """r2 by (metric, weights, number of neighbours up to ``k``, fold), of every fold by the rows of the others and of the ``test`` rows
+    by all folds. Features are the columns scaled by the donors' moments beside the columns as they are. The nearest ``k`` of a row are
+    searched once for a metric; running sums over them give the predictions of all smaller numbers."""
+    rows = materialise(df.select(key.cast("long").alias("q"), fold.cast("int").alias("fold"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double") for c in columns]), "search")
+    out = {}
+    for f in (test, *range(folds)):
+        donors, asked = rows.where((F.col("fold") >= 0) & (F.col("fold") != f)), rows.where(F.col("fold") == f)
+        at = donors.agg(*[g(c).alias(f"{n}_{c}") for c in columns for n, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        feature = F.array(*[(F.col(c) - (at[f"m_{c}"] or 0.0)) / (at[f"s_{c}"] or 1.0) for c in columns], *columns)
+        for metric in ("euclidean", "manhattan"):
+            near = nearest_rows(asked.select("q", feature.alias("f")), donors.select(F.col("q").alias("d"), feature.alias("f"), "y"), k, metric)
+            upto = W.partitionBy("q").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+            zero, w = F.col("dist") == 0, 1.0 / F.nullif(F.col("dist"), F.lit(0.0))
+            near = near.select("q", "rank", F.avg("y").over(upto).alias("uniform"), F.coalesce(
+                F.avg(F.when(zero, F.col("y"))).over(upto), F.try_divide(F.sum(w * F.col("y")).over(upto), F.sum(w).over(upto))).alias("distance"))
+            near = near.join(asked.select("q", "y"), "q")
+            found = near.groupBy("rank").agg(F.var_pop("y").alias("v"), *[F.avg((F.col("y") - F.col(c)) ** 2).alias(c) for c in ("uniform", "distance")]).collect()
+            for r in found:
+                for weights in ("uniform", "distance"):
+                    out[metric, weights, r["rank"], f] = 1 - r[weights] / r["v"] if r["v"] else float("nan")
+    return out
+
+
 # -- imputation -------------------------------------------------------------------------------
 
 def _impute_udf(k: int, n_cats: int, total: int, n_imputed: int):

@@ -1,20 +1,20 @@
-"""Splits, scaling, feature sets, regressors, scores and hyper-parameter search on pyspark.ml."""
+"""Splits, scaling, feature sets, regressors, scores and hyper-parameter search."""
 
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, PolynomialExpansion, StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scale import hash_bucket
-
-MAX_TREE_DEPTH = 30
+from . import forest, knn, penalised
+from .scale import hash_bucket, materialise
 
 
 def train_test_split(df: DataFrame, key: Column, test_percent: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -71,34 +71,11 @@ def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
     return Pipeline(stages=[index, encode]).fit(df).transform(df)
 
 
-def regressor(kind: str, n_rows: int = 1, **p):
-    """The estimator for a model name; penalties are in units of the mean squared loss, except ridge."""
-    base = {"featuresCol": "features", "labelCol": "label", "predictionCol": "prediction"}
-    if kind in ("linear", "polynomial"):
-        return LinearRegression(regParam=0.0, **base)
-    if kind == "lasso":
-        return LinearRegression(regParam=p.get("alpha", 3.0), elasticNetParam=1.0, standardization=False, **base)
-    if kind == "ridge":
-        return LinearRegression(regParam=p.get("alpha", 2.0) / n_rows, elasticNetParam=0.0, standardization=False, **base)
-    if kind == "elastic_net":
-        return LinearRegression(regParam=p.get("alpha", 10.0), elasticNetParam=p.get("l1_ratio", 0.020408), standardization=False, **base)
-    depth = p.get("depth", 5)
-    if depth > MAX_TREE_DEPTH:
-        raise ValueError(f"trees are at most {MAX_TREE_DEPTH} deep, {depth} asked")
-    tree = {"maxDepth": depth, "minInstancesPerNode": p.get("leaf", 1), "seed": p.get("seed", 42), **base}
-    if kind == "decision_tree":
-        return DecisionTreeRegressor(**tree)
-    if kind == "random_forest":
-        return RandomForestRegressor(numTrees=p.get("trees", 38), **tree)
-    if kind == "gradient_boosting":
-        return GBTRegressor(maxIter=p.get("trees", 58), stepSize=0.1, **tree)
-    if kind == "boosted_trees":
-        return GBTRegressor(maxIter=p.get("trees", 41), stepSize=0.3, minInfoGain=p.get("gamma", 0.0), **tree)
-    raise ValueError(f"unknown model {kind}")
+TREES = ("decision_tree", "random_forest", "gradient_boosting", "boosted_trees")
+PENALISED = ("ridge", "lasso", "elastic_net")
 
 
 # Chosen parameters of each model; the last two are the explained and the compact one.
-# The forest was chosen with a depth of 45; 30 is the most that the tree learner takes.
 FINAL_MODELS = {
     "linear": ("linear", 1, {}),
     "polynomial": ("polynomial", 2, {}),
@@ -107,7 +84,7 @@ FINAL_MODELS = {
     "lasso": ("lasso", 2, {"alpha": 3.0}),
     "elastic_net": ("elastic_net", 2, {"alpha": 10.0, "l1_ratio": 0.020408}),
     "decision_tree": ("decision_tree", 1, {"depth": 13, "leaf": 5}),
-    "random_forest": ("random_forest", 1, {"trees": 38, "depth": 30, "leaf": 5}),
+    "random_forest": ("random_forest", 1, {"trees": 38, "depth": 45, "leaf": 5}),
     "gradient_boosting": ("gradient_boosting", 1, {"trees": 58, "depth": 9}),
     "boosted_trees": ("boosted_trees", 1, {"trees": 266, "depth": 17, "gamma": 0.21052631578947367}),
     "boosted_trees_explained": ("boosted_trees", 1, {"trees": 41, "depth": 5}),
@@ -129,14 +106,21 @@ class FittedModel:
         return out
 
 
-def fit(train: DataFrame, columns: list[str], target: str, kind: str, degree: int = 1, scale_target: bool = True, **params) -> FittedModel:
-    """Fit one model; with ``scale_target`` it learns in units of the training target's deviation."""
+def fit(train: DataFrame, columns: list[str], target: str, kind: str, degree: int = 1, scale_target: bool = True, **params):
+    """Fit one model; with ``scale_target`` it learns in units of the training target's deviation. Penalties are in units of
+    the mean squared loss, except ridge; trees do not depend on the degree, since they see an order of values only."""
+    if kind in TREES:
+        return forest.fit(train, columns, target, forest.growth(kind, **params), scale_target=scale_target)
+    if kind in PENALISED:
+        return penalised.fit(train, columns, target, kind, degree, scale_target, **params)
+    if kind not in ("linear", "polynomial"):
+        raise ValueError(f"unknown model {kind}")
     union = ScaledUnion(columns, degree).fit(train)
     scale = moments(train, [target])[target] if scale_target else None
     label = (F.col(target) - scale[0]) / scale[1] if scale else F.col(target)
     rows = union.transform(train).select("features", label.cast("double").alias("label")).persist()
     try:
-        model = regressor(kind, n_rows=rows.count() if kind == "ridge" else 1, **params).fit(rows)
+        model = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0).fit(rows)
     finally:
         rows.unpersist()
     return FittedModel(union, model, scale)
@@ -176,19 +160,53 @@ def leaderboard(scores: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 # Ranges the random searches draw from, the degree of their features, the draws, and the scores at
-# which they stop. Depths end at 30 instead of 54.
+# which they stop. ``minkowski`` is the Euclidean distance (its default power is 2).
 SEARCH_SPACE = {
     "lasso": {"alpha": list(range(1, 122))},
     "ridge": {"alpha": list(range(1, 122)), "degree": [1, 2]},
     "elastic_net": {"alpha": list(range(1, 150)), "l1_ratio": np.linspace(0, 1, 50).tolist()},
-    "decision_tree": {"depth": list(range(2, 31)), "leaf": list(range(2, 15))},
-    "random_forest": {"depth": list(range(2, 31)), "leaf": list(range(2, 15)), "trees": list(range(2, 100))},
+    "knn": {"weights": ["uniform", "distance"], "metric": ["euclidean", "manhattan", "minkowski"], "k": list(range(2, 30))},
+    "decision_tree": {"depth": list(range(2, 55)), "split": list(range(2, 15)), "leaf": list(range(2, 15))},
+    "random_forest": {"depth": list(range(2, 55)), "split": list(range(2, 15)), "leaf": list(range(2, 15)), "trees": list(range(2, 100))},
     "gradient_boosting": {"depth": list(range(2, 25)), "trees": list(range(2, 100))},
     "boosted_trees": {"depth": list(range(2, 25)), "trees": list(range(2, 300)), "gamma": np.linspace(0, 0.5, 20).tolist()},
+    "boosted_trees_compact": {"depth": list(range(2, 25)), "trees": list(range(2, 500)), "gamma": [0, 0.1, 0.2, 0.3, 0.4]},
 }
 SEARCH_DEGREE = {"lasso": 2, "elastic_net": 2}
-SEARCH_DRAWS = {"lasso": 50, "ridge": 50, "elastic_net": 20, "decision_tree": 100, "random_forest": 70, "gradient_boosting": 70, "boosted_trees": 70}
-STOP_AT = {"boosted_trees": (0.98, 0.98)}
+SEARCH_DRAWS = {"lasso": 50, "ridge": 50, "elastic_net": 20, "knn": 70, "decision_tree": 100, "random_forest": 70, "gradient_boosting": 70, "boosted_trees": 70,
+                "boosted_trees_compact": 70}
+STOP_AT = {"boosted_trees": (0.98, 0.98), "boosted_trees_compact": (0.98, 0.98)}
+
+
+def split_folds(key: Column, folds: int, seed: int) -> Column:
+    """The fold of a training row; TEST for the rows of the hold-out split."""
+    return F.when(hash_bucket(key, seed, 100) < 20, F.lit(forest.TEST)).otherwise(fold_of(key, folds))
+
+
+def score_draws(df: DataFrame, key: Column, fold: Column, columns: list[str], target: str, kind: str, drawn: list[dict], folds: int) -> list[tuple[float, float]]:
+    """(mean r2 over the folds, r2 on the TEST rows) of every draw; all draws and folds share their passes over the rows."""
+    kind = kind.removesuffix("_compact")
+    if kind in TREES:
+        models = [replace(forest.growth(kind, **p), fold=f) for p in drawn for f in (forest.ALL, *range(folds))]
+        found = forest.scores(df, key, fold, columns, target, models)
+        found = [found[i:i + folds + 1] for i in range(0, len(found), folds + 1)]
+    elif kind in PENALISED:
+        rows = materialise(df.select(fold.alias("fold"), *dict.fromkeys([*columns, target])), "search")
+        degrees = sorted({p["degree"] for p in drawn})
+        sums = {d: penalised.fold_sums(rows, F.col("fold"), columns, target, d) for d in degrees}
+        found = [[penalised.solve(sums[p["degree"]], kind, p["alpha"], p.get("l1_ratio"), f).r2(forest.TEST if f is None else f)
+                  for f in (None, *range(folds))] for p in drawn]
+    elif kind == "knn":
+        board = knn.neighbour_scores(df, key, fold, columns, target, max(p["k"] for p in drawn), folds)
+        found = [[board["euclidean" if p["metric"] == "minkowski" else p["metric"], p["weights"], p["k"], f] for f in (forest.TEST, *range(folds))] for p in drawn]
+    else:
+        raise ValueError(f"no search over {kind}")
+    return [(float(np.mean(r[1:])), float(r[0])) for r in found]
+
+
+def draw(kind: str, draws: int | None, seed: int, space: dict | None = None) -> list[dict]:
+    rng, space = random.Random(seed), space or SEARCH_SPACE[kind]
+    return [{"degree": SEARCH_DEGREE.get(kind, 1)} | {k: rng.choice(v) for k, v in space.items()} for _ in range(draws or SEARCH_DRAWS[kind])]
 
 
 def random_search(df: DataFrame, key: Column, columns: list[str], target: str, kind: str, draws: int | None = None, seed: int = 42,
@@ -198,45 +216,30 @@ def random_search(df: DataFrame, key: Column, columns: list[str], target: str, k
 
     A draw is accepted when its CV score improves and, with ``accept_if_both_improve``, its test
     score too; the search ends at the stop scores. One split serves all draws unless asked."""
-    rng, space = random.Random(seed), space or SEARCH_SPACE[kind]
+    drawn = draw(kind, draws, seed, space)
+    if new_split:
+        found = [score_draws(df, key, split_folds(key, folds, seed + i), columns, target, kind, [p], folds)[0] for i, p in enumerate(drawn)]
+    else:
+        found = score_draws(df, key, split_folds(key, folds, seed), columns, target, kind, drawn, folds)
     stop_cv, stop_test = STOP_AT.get(kind, (0.97, 0.98))
     best_cv = best_test = 0.0
     rows = []
-    for i in range(draws or SEARCH_DRAWS[kind]):
-        params = {"degree": SEARCH_DEGREE.get(kind, 1)} | {k: rng.choice(v) for k, v in space.items()}
-        train, test = train_test_split(df, key, seed=seed + i if new_split else seed)
-        cv = kfold_scores(train, key, columns, target, kind, folds=folds, **params).agg(F.avg("r2")).first()[0]
-        model = fit(train, columns, target, kind, **params)
-        test_r2 = regression_metrics(model.predict(test), target, "prediction").first()["r2"]
+    for i, (params, (cv, test_r2)) in enumerate(zip(drawn, found)):
         ok = cv > best_cv and (test_r2 > best_test or not accept_if_both_improve)
         if ok:
             best_cv, best_test = cv, test_r2
-        rows.append((i, ", ".join(f"{k}={v}" for k, v in params.items()), float(cv), float(test_r2), ok))
+        rows.append((i, ", ".join(f"{k}={v}" for k, v in params.items()), cv, test_r2, ok))
         if best_cv >= stop_cv and best_test >= stop_test:
             break
     return df.sparkSession.createDataFrame(rows, "draw int, parameters string, cv_r2 double, test_r2 double, accepted boolean")
 
 
 def randomized_search_cv(df: DataFrame, columns: list[str], target: str, key: Column, kind: str = "ridge", draws: int = 5,
-                         folds: int = 5, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """(draw, parameters, mean_r2): drawn grid points scored side by side on fixed folds."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator
-
-    rng = random.Random(seed)
-    rows = df.withColumn("fold", fold_of(key, folds))
-    union = ScaledUnion(columns, SEARCH_DEGREE.get(kind, 1)).fit(rows)
-    scale = moments(rows, [target])[target]
-    data = union.transform(rows).select("features", "fold", ((F.col(target) - scale[0]) / scale[1]).alias("label"))
-    est = regressor(kind)
-    drawn = [{k: rng.choice(v) for k, v in SEARCH_SPACE[kind].items() if k != "degree"} for _ in range(draws)]
-    name = {"alpha": "regParam", "l1_ratio": "elasticNetParam", "depth": "maxDepth", "leaf": "minInstancesPerNode",
-            "trees": "maxIter" if kind in ("gradient_boosting", "boosted_trees") else "numTrees", "gamma": "minInfoGain"}
-    n = data.count()
-    grid = [{est.getParam(name[k]): (v / n if kind == "ridge" else v) for k, v in d.items()} for d in drawn]
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="r2"),
-                        numFolds=folds, foldCol="fold", parallelism=parallelism).fit(data)
-    out = [(i, ", ".join(f"{k}={v}" for k, v in d.items()), float(s)) for i, (d, s) in enumerate(zip(drawn, cv.avgMetrics))]
+                         folds: int = 5, seed: int = 42) -> DataFrame:
+    """(draw, parameters, mean_r2): drawn parameters scored side by side on fixed folds; every fold is scaled by the others' moments."""
+    drawn = draw(kind, draws, seed)
+    found = score_draws(df, key, fold_of(key, folds), columns, target, kind, drawn, folds)
+    out = [(i, ", ".join(f"{k}={v}" for k, v in d.items() if k != "degree"), cv) for i, (d, (cv, _)) in enumerate(zip(drawn, found))]
     return df.sparkSession.createDataFrame(out, "draw int, parameters string, mean_r2 double")
 
 

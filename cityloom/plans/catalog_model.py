@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import econometrics as E
 from ..operators import explain as X
+from ..operators import forest, penalised
 from ..operators import modelling as M
 from .registry import query
 from .tables import with_roles
@@ -15,7 +16,7 @@ FEATURES = ["gdp", "trip_spend", "daily_spend", "crimes", "thefts", "month"]
 
 
 def model_rows(t):
-    p = t.panel
+    p = t.facts
     return p.withColumn("row_id", F.col("city_id") * 100000 + F.col("period")).withColumns(
         {c: F.col(c).cast("double") for c in FEATURES})
 
@@ -137,14 +138,11 @@ _ONE = _ROWS + f""", tr AS (SELECT * FROM r WHERE {_SPLIT}>=20), mo AS (SELECT a
 
 
 def _one(t, kind: str, **params):
-    from pyspark.ml.feature import VectorAssembler
-
     train, test = split(t)
-    stats = M.moments(train, ["gdp"])
-    z = lambda df: VectorAssembler(inputCols=["_z_gdp"], outputCol="features").transform(M.standardize(df, stats, "_z_"))
     mean, dev = train.agg(F.avg("visitors"), F.stddev_samp("visitors")).first()
-    model = M.regressor(kind, n_rows=train.count(), **params).fit(z(train).withColumn("label", (F.col("visitors") - mean) / dev))
-    return model.transform(z(test)).select("row_id", F.round(F.col("prediction") * dev + mean, 2).alias("prediction"))
+    scaled = train.withColumn("label", (F.col("visitors") - mean) / dev)
+    model = penalised.fit(scaled, ["gdp"], "label", kind, raw=False, scale_target=False, **params)
+    return model.predict(test).select("row_id", F.round(F.col("prediction") * dev + mean, 2).alias("prediction"))
 
 
 @query("L13_ridge_one", _ONE + f" SELECT row_id, round(vm+sxy/(sxx+500.0::DOUBLE)*(gdp-gm)/gs,2) AS prediction FROM r, mo, g WHERE {_SPLIT}<20")
@@ -167,23 +165,56 @@ _STUMP = _ROWS + f""", tr AS (SELECT * FROM r WHERE {_SPLIT}>=20), cuts AS (SELE
  b AS (SELECT m, lo, hi FROM s QUALIFY row_number() OVER (ORDER BY round(gain,6) DESC, m)=1) SELECT row_id, round(CASE WHEN month<=m THEN lo ELSE hi END,6) AS prediction FROM r, b WHERE {_SPLIT}<20"""
 
 
-def _stump(t, estimator):
-    from pyspark.ml.feature import VectorAssembler
-
+def _tree(t, columns, how):
     train, test = split(t)
-    va = VectorAssembler(inputCols=["month"], outputCol="features")
-    model = estimator.fit(va.transform(train).withColumn("label", F.col("visitors")))
-    return model.transform(va.transform(test)).select("row_id", F.round("prediction", 6).alias("prediction"))
+    return forest.fit(train, columns, "visitors", how).predict(test).select("row_id", F.round("prediction", 6).alias("prediction"))
 
 
 @query("L16_decision_stump", _STUMP)
 def decision_stump(t):
-    return _stump(t, M.regressor("decision_tree", depth=1))
+    return _tree(t, ["month"], forest.growth("decision_tree", depth=1))
 
 
 @query("L17_forest_of_one_stump", _STUMP)
 def forest_of_one_stump(t):
-    return _stump(t, M.regressor("random_forest", depth=1, trees=1).setBootstrap(False).setFeatureSubsetStrategy("all"))
+    return _tree(t, ["month"], forest.growth("random_forest", depth=1, trees=1, bootstrap=False))
+
+
+def _depth_two(penalty: float, rate: float) -> str:
+    """SQL of one tree of depth 2 on month and year: the best cut of all rows, then of each side; a leaf is its sum over its rows and the penalty."""
+    gain = f"power(sum(g) FILTER (x<=c),2)/(count(*) FILTER (x<=c)+{penalty})+power(sum(g) FILTER (x>c),2)/(count(*) FILTER (x>c)+{penalty})-power(sum(g),2)/(count(*)+{penalty})"
+    return _ROWS + f""", mo AS (SELECT avg(visitors) AS vm, stddev_pop(visitors) AS vs FROM r WHERE {_SPLIT}>=20),
+ tr AS (SELECT row_id, month, year, (visitors-vm)/vs AS g FROM r, mo WHERE {_SPLIT}>=20),
+ xs AS (SELECT row_id, g, 0 AS f, month AS x FROM tr UNION ALL SELECT row_id, g, 1, year FROM tr), cs AS (SELECT DISTINCT f, x AS c FROM xs),
+ top AS (SELECT f, c FROM xs JOIN cs USING (f) GROUP BY f, c HAVING count(*) FILTER (x>c)>0 ORDER BY round({gain},9) DESC, f, c LIMIT 1),
+ side AS (SELECT r.row_id, CASE WHEN top.f=0 THEN month ELSE year END>top.c AS s FROM r, top),
+ low AS (SELECT s, f, c, row_number() OVER (PARTITION BY s ORDER BY round({gain},9) DESC, f, c) AS k
+  FROM (SELECT * FROM xs JOIN side USING (row_id)) JOIN cs USING (f) GROUP BY s, f, c HAVING count(*) FILTER (x>c)>0 AND count(*) FILTER (x<=c)>0 QUALIFY k=1),
+ leaf AS (SELECT r.row_id, r.visitors, s, CASE WHEN f=0 THEN month ELSE year END>c AS e FROM r JOIN side USING (row_id) JOIN low USING (s)),
+ val AS (SELECT s, e, vm+vs*{rate}::DOUBLE*sum(g)/(count(*)+{penalty}) AS p FROM leaf JOIN tr USING (row_id), mo GROUP BY s, e, vm, vs)
+ SELECT row_id, round(p,6) AS prediction FROM leaf JOIN val USING (s, e) WHERE {_SPLIT}<20"""
+
+
+@query("L16_decision_tree_depth_two", _depth_two(0.0, 1.0))
+def decision_tree_depth_two(t):
+    return _tree(t, ["month", "year"], forest.growth("decision_tree", depth=2))
+
+
+@query("L19_one_round_depth_two", _depth_two(1.0, 0.3))
+def one_round_depth_two(t):
+    """One round of second-order boosting: leaf values with the penalty of 1, a step of 0.3."""
+    return _tree(t, ["month", "year"], forest.growth("boosted_trees", trees=1, depth=2))
+
+
+@query("L18_two_rounds", _STUMP.split("SELECT row_id, round(CASE")[0] + f""", mu AS (SELECT avg(visitors) AS m0 FROM tr),
+ t1 AS (SELECT r.*, visitors-m0-0.1::DOUBLE*(CASE WHEN month<=b.m THEN lo ELSE hi END-m0) AS res, m0+0.1::DOUBLE*(CASE WHEN month<=b.m THEN lo ELSE hi END-m0) AS p1 FROM r, b, mu),
+ s2 AS (SELECT cuts.m, avg(res) FILTER (month<=cuts.m) AS lo, avg(res) FILTER (month>cuts.m) AS hi,
+  count(*) FILTER (month<=cuts.m)*power(avg(res) FILTER (month<=cuts.m),2)+count(*) FILTER (month>cuts.m)*power(avg(res) FILTER (month>cuts.m),2) AS gain FROM t1, cuts WHERE {_SPLIT}>=20 GROUP BY 1),
+ b2 AS (SELECT m, lo, hi FROM s2 QUALIFY row_number() OVER (ORDER BY round(gain,6) DESC, m)=1)
+ SELECT row_id, round(p1+0.1::DOUBLE*CASE WHEN month<=b2.m THEN b2.lo ELSE b2.hi END,6) AS prediction FROM t1, b2 WHERE {_SPLIT}<20""")
+def two_rounds(t):
+    """Gradient boosting, two rounds of stumps."""
+    return _tree(t, ["month"], forest.growth("gradient_boosting", trees=2, depth=1))
 
 
 def holdout(t, name: str, columns=FEATURES, scale_target=True):
@@ -227,19 +258,16 @@ def linear_svr(t):
     return M.regression_metrics(M.svr_predict(model, test), "visitors", "prediction", unit=model["y"][1])
 
 
-@query("L21_random_search")
-def random_search(t):
-    return M.random_search(model_rows(t), F.col("row_id"), FEATURES, "visitors", "ridge")
-
-
-def _register_search(kind: str):
-    @query(f"L21_random_search_{kind}")
+def _register_search(op: str, kind: str, columns=FEATURES):
+    @query(op)
     def run(t):
-        return M.random_search(model_rows(t), F.col("row_id"), FEATURES, "visitors", kind)
+        return M.random_search(model_rows(t), F.col("row_id"), columns, "visitors", kind)
 
 
-for _kind in ("lasso", "elastic_net", "decision_tree", "random_forest", "gradient_boosting", "boosted_trees"):
-    _register_search(_kind)
+_register_search("L21_random_search", "ridge")
+for _kind in ("lasso", "elastic_net", "knn", "decision_tree", "random_forest", "gradient_boosting", "boosted_trees"):
+    _register_search(f"L21_random_search_{_kind}", _kind)
+_register_search("L21_random_search_boosted_trees_compact", "boosted_trees_compact", ["gdp", "trip_spend", "crimes"])
 
 
 @query("L22_randomized_search_cv")
@@ -247,6 +275,11 @@ def randomized_search_cv(t):
     return M.randomized_search_cv(split(t)[0], FEATURES, "visitors", F.col("row_id"), "ridge", draws=5)
 
 
+@query("L22_randomized_search_cv_boosted_trees")
+def randomized_search_cv_boosted(t):
+    return M.randomized_search_cv(split(t)[0], FEATURES, "visitors", F.col("row_id"), "boosted_trees", draws=5)
+
+
 # -- econometrics -----------------------------------------------------------------------------
 
 SIX = ["crimes", "trip_spend", "thefts", "daily_spend", "month", "gdp"]

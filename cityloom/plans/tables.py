@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import project_utm
+from ..operators.scale import materialise
 
 
 class Tables:
@@ -93,6 +94,11 @@ class Tables:
         return (facts.join(bad, ["city_id", "year", "month"], "left").na.fill(0.0, ["crimes", "thefts"])
                 .withColumn("period", F.col("year") * 12 + F.col("month") - 1))
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """The panel, joined once and written: models read it many times."""
+        return materialise(self.panel, "panel")
+
 
 # ANSI SQL for the same roles, as common table expressions for the checking engine.
 SQL = {
