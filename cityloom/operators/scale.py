@@ -27,11 +27,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders written by ``materialise`` and not discarded.
+WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    WRITTEN.append(path)
+    out = df.sparkSession.read.parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of ``materialise`` that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str],
