@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..operators.scale import materialise
+from ..operators.scale import discard, materialise
 
 CHUNK_BYTES = 1 << 20
 MASK = (1 << 64) - 1
@@ -198,8 +198,13 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for links (a, b): component is the smallest reachable node.
 
     Large-star and small-star rounds over aggregated minima; the links of each round are written to the shared
-    folder. No neighbour list is gathered; rounds grow with the logarithm of the longest chain."""
+    folder, those of the round before deleted; rounds end when count and 128 bits of checksum stay. No neighbour list is gathered; rounds grow with the logarithm of the longest chain."""
+    def state(rows: DataFrame) -> tuple:
+        return rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+
+    spark = links.sparkSession
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -209,8 +214,9 @@ def components(links: DataFrame) -> DataFrame:
         small = (large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
                  .select("e.*").where("a <> b").distinct())
         after = materialise(small, "edges")
-        changed = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
+        discard(spark, [edges.written_to])
+        edges, now = after, state(after)
+        if now == before:
             nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        before = now

@@ -27,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import materialise
-from .common import NOT_SPACE, Words, bloom, components, passes, pieces, split_by
+from .common import NOT_SPACE, Words, bloom, components, mix, passes, pieces, split_by
 
 WORDS = 5
 PERCENT = 80
-#: A shingle is frequent if more classes have it; raised so that at most HOT_KEPT shingles are.
+#: A shingle is frequent if more classes have it. Others count as frequent too where the bounded filter of these says so.
 HOT_OVER = 32
-HOT_KEPT = 1 << 20
 #: Shingles a bucket of the counting shuffle holds, and sets a block of the join holds.
 BUCKET_SHINGLES = 1 << 21
 BLOCK_SETS = 256
@@ -77,12 +76,7 @@ def unpack(blob: bytes) -> np.ndarray:
 
 def ordered(values: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
     """The set in global order: frequent shingles last, by hash otherwise."""
-    if len(hot) and len(values):
-        short = short_hash(values, bits)
-        at = np.searchsorted(hot, short)
-        at[at == len(hot)] = 0
-        values = np.sort(np.where(hot[at] == short, values | HOT_BIT, values))
-    return values
+    return np.sort(np.where(passes(hot, mix(short_hash(values, bits))), values | HOT_BIT, values))
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -203,12 +197,12 @@ def known(seen: set, values: np.ndarray, most: int = 200_000) -> bool:
     return False
 
 
-def frequent(over: int):
-    """Short hashes of one bucket that more than ``over`` sent sets have."""
+def frequent(over: int, shown=lambda hashes: hashes):
+    """Short hashes, as ``shown``, of one bucket that more than ``over`` sent sets have."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         values, counts = np.unique(np.concatenate([unpack(b) for b in pdf["hashes"]]), return_counts=True)
-        return pd.DataFrame({"hash": (values[counts > over] | (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32))).view(np.int64)})
+        return pd.DataFrame({"hash": shown(values[counts > over] | (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32))).view(np.int64)})
 
     return run
 
@@ -217,7 +211,7 @@ def posting_rows(k: int, bits: int, percent: int, hot_bytes):
     """The first shingles of each set, by bucket, with the set's key, size and number of rare shingles."""
 
     def run(batches):
-        hot = np.frombuffer(hot_bytes.value, np.uint64)
+        hot = np.frombuffer(hot_bytes.value, np.uint32)
         ship, seen = Shipment(True), set()
         for batch in pieces(batches):
             words = Words(batch.column("text"), NOT_SPACE, True)
@@ -236,11 +230,11 @@ def posting_rows(k: int, bits: int, percent: int, hot_bytes):
 MEETINGS = "shingle long, a long, na int, ha int, b long, nb int, hb int, shared int"
 
 
-def meetings(percent: int, most: int):
+def meetings(percent: int):
     """Of one bucket: pairs of classes that share rare first shingles, counted, and postings of frequent ones.
 
-    h is how many frequent shingles are among the first ones of a set. Pairs are listed for rare shingles of at most
-    ``most`` classes; postings of frequent shingles, and longer ones of rare shingles (``shared`` is 1), leave as they are."""
+    h is how many frequent shingles are among the first ones of a set. A rare shingle has HOT_OVER classes at most, whose
+    pairs are listed; postings of frequent shingles leave as they are."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = [unpack(b) for b in pdf["hashes"]]
@@ -262,10 +256,8 @@ def meetings(percent: int, most: int):
         first = n - (-(-percent * n // 100)) + 1
         frame = pd.DataFrame({"shingle": (h | (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32))).view(np.int64), "a": key, "na": n, "ha": np.maximum(0, first - rare)})
         is_hot = hot[order] == 1
-        length = np.unique(h, return_inverse=True, return_counts=True)
-        is_long = ~is_hot & (length[2][length[1]] > most) if len(h) else is_hot
-        long = frame[is_hot | is_long].assign(b=None, nb=None, hb=None, shared=is_long[is_hot | is_long].astype(np.int64))
-        rare_rows = frame[~is_hot & ~is_long].to_numpy()
+        long = frame[is_hot].assign(b=None, nb=None, hb=None, shared=0)
+        rare_rows = frame[~is_hot].to_numpy()
         x, y, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
         while d < len(rare_rows):
             i = np.flatnonzero(rare_rows[d:, 0] == rare_rows[:-d, 0])
@@ -289,7 +281,7 @@ def set_rows(k: int, bits: int, hot_bytes, wanted_bytes):
     that pass it find no partner in the joins)."""
 
     def run(batches):
-        hot, wanted = np.frombuffer(hot_bytes.value, np.uint64), np.frombuffer(wanted_bytes.value, np.uint32)
+        hot, wanted = np.frombuffer(hot_bytes.value, np.uint32), np.frombuffer(wanted_bytes.value, np.uint32)
         for batch in pieces(batches):
             doc = np.asarray(batch.column("doc_id").fill_null(0)).astype(np.int64)
             batch = batch.filter(pa.array(passes(wanted, doc.view(np.uint64))))
@@ -437,14 +429,12 @@ def linked_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> t
     bits = int(total // BUCKET_SHINGLES).bit_length()
     buckets = 1 << bits
 
-    over = max(HOT_OVER, -(-total // HOT_KEPT))
     hot = (texts.mapInArrow(count_rows(k, bits), "bucket long, hashes binary").repartition(buckets, "bucket")
-           .groupBy("bucket").applyInPandas(frequent(over), "hash long"))
-    hot = np.sort(np.array([r[0] for r in hot.collect()], np.int64)).view(np.uint64)  # at most HOT_KEPT
-    hot_bytes = spark.sparkContext.broadcast(hot.tobytes())
+           .groupBy("bucket").applyInPandas(frequent(HOT_OVER, mix), "hash long"))
+    hot_bytes = spark.sparkContext.broadcast(bloom(materialise(hot, "frequent"), "hash").tobytes())
 
     met = (texts.mapInArrow(posting_rows(k, bits, percent, hot_bytes), "bucket long, hashes binary, owner binary, frequent binary, table binary")
-           .repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meetings(percent, HOT_OVER), MEETINGS))
+           .repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meetings(percent), MEETINGS))
     met = materialise(met, "meetings")
 
     # What two sets share beyond their first shingles is at most the rest of one of them, so the first ones must
@@ -457,13 +447,6 @@ def linked_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> t
 
     pairs = met.where("shingle IS NULL").groupBy("a", "na", "ha", "b", "nb", "hb").agg(F.sum("shared").alias("shared"))
     lists = met.where("shingle IS NOT NULL").select("shingle", F.col("a").alias("key"), F.col("na").alias("n"), F.col("ha").alias("h"))
-    if over > HOT_OVER:  # else no rare shingle has a long posting; h counts those of a class too, since their pairs are not listed
-        extra = met.where("shingle IS NOT NULL AND shared = 1").groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).cast("int").alias("extra"))
-        extra = materialise(extra, "extra")
-        lists = lists.join(extra, "key", "left").select("shingle", "key", "n", (F.col("h") + F.coalesce("extra", F.lit(0))).alias("h"))
-        for x in "ab":
-            own = extra.select(F.col("key").alias(x), F.col("extra").alias("_extra"))
-            pairs = pairs.join(own, x, "left").withColumn(f"h{x}", F.col(f"h{x}") + F.coalesce("_extra", F.lit(0))).drop("_extra")
     pairs = (pairs.where(f"shared + least(ha, hb) >= {missing('na', 'nb')}").select(F.col("b").alias("hub"), F.col("a").alias("key")))
 
     # originals first: of each frequent shingle's classes, the one with the most frequent shingles for its size meets the others

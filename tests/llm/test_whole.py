@@ -3,10 +3,11 @@
 import random
 
 import brute
+import pytest
 from corpus import prose, table
 from pyspark.sql import functions as F
 
-from cityloom.llm import jaccard_join, line_rules, secret_scan, winnowing
+from cityloom.llm import common, jaccard_join, line_rules, secret_scan, winnowing
 
 
 def test_frequent_lines_of_a_hot_host(spark):
@@ -62,8 +63,10 @@ def test_joined_and_one_case_strings(spark):
     assert sum(bool(found[i]) for i in range(1200, 1500)) <= 0.05 * 1200
 
 
-def test_long_postings_of_rare_shingles_meet_through_hubs(spark, monkeypatch):
-    """With room for a few frequent shingles only, as in a large corpus, a group of copies does not meet pair by pair."""
+@pytest.mark.parametrize("bits", [(16, 27), (6, 6)])
+def test_long_postings_meet_through_hubs(spark, monkeypatch, bits):
+    """A group of copies does not meet pair by pair; a full filter takes all shingles for frequent ones and loses no link."""
+    monkeypatch.setattr(common, "BLOOM_BITS", bits)
     rng = random.Random(15)
     base = [f"b{i}" for i in range(200)]
     rows = []
@@ -75,7 +78,6 @@ def test_long_postings_of_rare_shingles_meet_through_hubs(spark, monkeypatch):
     rows += [(1000 + i, " ".join(base[:60] + [f"y{i}_{j}" for j in range(rng.choice([8, 20, 300]))]), "s") for i in range(40)]
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
     monkeypatch.setattr(jaccard_join, "HOT_OVER", 3)
-    monkeypatch.setattr(jaccard_join, "HOT_KEPT", 32)
     monkeypatch.setattr(jaccard_join, "BUCKET_SHINGLES", 1 << 12)
     listed, write = [], jaccard_join.materialise
 
