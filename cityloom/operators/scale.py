@@ -61,15 +61,40 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
+#: Distinct values of a group that one aggregation buffer may hold (about 5 MB).
+BUFFERED = 1 << 16
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
                     names: list[str], accuracy: int = 10_000, parts: int = 64) -> DataFrame:
     """Exact linearly interpolated quantiles per group; no group is gathered in one task.
 
-    Rows become (value, count) first, so equal values vanish before any join. A mergeable sketch
-    brackets every wanted rank; values below a bracket are only counted, those inside it (about
-    0.1 % of a large group) are cut into ``parts`` by a second sketch, whose exact counts name the
-    one or two parts that hold the rank. Only the distinct values of these are put in order."""
+    Rows become (value, count) first, written once. Groups of at most ``BUFFERED`` distinct values, checked on their
+    counts, are one mergeable aggregate each; the ranks of larger ones are bracketed (``_bracketed``)."""
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    values = materialise(base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k")), "values")
+    large = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > BUFFERED).drop("_d")
+
+    def buffered(rows: DataFrame) -> DataFrame:
+        grid = ", ".join(f"{p!r}D" for p in map(float, probs))
+        found = rows.groupBy(*keys).agg(F.expr(f"percentile(_v, array({grid}), _k)").alias("_q"))
+        return found.select(*keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+    if not large.limit(1).count():
+        return buffered(values)
+    if not keys:
+        return _bracketed(values, keys, probs, names, accuracy, parts)
+    large = materialise(large, "large")
+    return buffered(values.join(large, keys, "left_anti")).unionByName(
+        _bracketed(salted_join(values, large, keys, ["_v"], "left_semi"), keys, probs, names, accuracy, parts))
+
+
+def _bracketed(values: DataFrame, keys: list[str], probs: list[float], names: list[str], accuracy: int, parts: int) -> DataFrame:
+    """Quantiles of (value, count) rows. A mergeable sketch of the values, each as often as it counts, brackets every wanted
+    rank; values below a bracket are only counted, those inside it (about 0.1 % of a large group) are cut into ``parts`` by
+    a second sketch, whose exact counts name the one or two parts that hold the rank. Only the distinct values of these
+    are put in order."""
+    base = values.select(*keys, F.explode(F.array_repeat("_v", F.col("_k").cast("int"))).alias("_v"))
     pad = 5.0 / accuracy
     stats = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
@@ -86,7 +111,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         ),
     )
     stats = stats.select(*keys, F.struct(F.col("_n").alias("n"), brackets.alias("b")).alias("_st"))
-    values = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"))
     rows = salted_join(values, stats, keys, ["_v"]) if keys else values.withColumn("_st", stats.scalar())
     v = F.col("_v")
     hits = F.transform(

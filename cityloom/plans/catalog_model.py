@@ -288,7 +288,7 @@ SIX = ["crimes", "trip_spend", "thefts", "daily_spend", "month", "gdp"]
 def lagged(t):
     from ..operators.panel import lag_features
 
-    return lag_features(t.panel, ["city_id"], "period", {"visitors_l1": ("visitors", 1), "visitors_l2": ("visitors", 2), "gdp_l1": ("gdp", 1)})
+    return lag_features(t.facts, ["city_id"], "period", {"visitors_l1": ("visitors", 1), "visitors_l2": ("visitors", 2), "gdp_l1": ("gdp", 1)})
 
 
 _LAG = with_roles("panel") + """, lg AS (SELECT * FROM (SELECT *, lag(visitors,1) OVER w AS visitors_l1, lag(visitors,2) OVER w AS visitors_l2, lag(gdp,1) OVER w AS gdp_l1
@@ -330,7 +330,7 @@ def ols_lagged_cramer(t):
 @query("M3_ols_normal_equations", " UNION ALL ".join(f"SELECT '{x}' AS term, 0.0::DOUBLE AS moment" for x in ["const", *SIX]) + " ORDER BY 1")
 def ols_normal_equations(t):
     """Residuals of the full model are orthogonal to every regressor (correlations, rounded; the constant by the mean)."""
-    rows = E.OLS(t.panel, "visitors", SIX).residuals()
+    rows = E.OLS(t.facts, "visitors", SIX).residuals()
     found = rows.agg(F.array(F.struct(F.lit("const").alias("term"), F.avg("residual").alias("m")),
                              *[F.struct(F.lit(x).alias("term"), F.corr("residual", x).alias("m")) for x in SIX]).alias("a"))
     return found.select(F.inline("a")).select("term", F.abs(F.round("m", 5)).alias("moment"))
@@ -343,7 +343,7 @@ def ols_lagged(t):
 
 @query("M2_ols_simple", with_roles("panel") + " SELECT 'const' AS term, round(regr_intercept(visitors,gdp),6) AS coef, round(regr_r2(visitors,gdp),6) AS r2 FROM panel UNION ALL SELECT 'gdp_thousand', round(1000*regr_slope(visitors,gdp),6), round(regr_r2(visitors,gdp),6) FROM panel")
 def ols_simple(t):
-    m = E.OLS(t.panel.withColumn("gdp_thousand", F.col("gdp") / 1000), "visitors", ["gdp_thousand"])
+    m = E.OLS(t.facts.withColumn("gdp_thousand", F.col("gdp") / 1000), "visitors", ["gdp_thousand"])
     return m.coefficients().select("term", F.round("coef", 6).alias("coef"), F.lit(round(m.r2, 6)).alias("r2"))
 
 
@@ -354,7 +354,7 @@ def ols_multi_gram(t):
 
 @query("M3_ols_multi_coefficients")
 def ols_multi(t):
-    return E.OLS(t.panel, "visitors", SIX).coefficients()
+    return E.OLS(t.facts, "visitors", SIX).coefficients()
 
 
 @query("M4_ols_diagnostics", with_roles("panel") + """, f AS (SELECT regr_slope(visitors,gdp) AS b, regr_intercept(visitors,gdp) AS a FROM panel),
@@ -363,18 +363,18 @@ def ols_multi(t):
  s AS (SELECT n, m3/power(m2,1.5) AS sk, m4/(m2*m2) AS ku, dw FROM m)
  SELECT n, round(sk,5) AS skew, round(ku,5) AS kurtosis, round(n/6.0*(sk*sk+(ku-3)*(ku-3)/4),4) AS jarque_bera, round(dw,5) AS durbin_watson FROM s""")
 def ols_diagnostics(t):
-    s = E.OLS(t.panel, "visitors", ["gdp"]).summary([F.col("city_id"), F.col("period")])
+    s = E.OLS(t.facts, "visitors", ["gdp"]).summary([F.col("city_id"), F.col("period")])
     return s.select("n", F.round("skew", 5).alias("skew"), F.round("kurtosis", 5).alias("kurtosis"),
                     F.round("jarque_bera", 4).alias("jarque_bera"), F.round("durbin_watson", 5).alias("durbin_watson"))
 
 
 @query("M4_ols_summary")
 def ols_summary(t):
-    return E.OLS(t.panel, "visitors", SIX).summary([F.col("city_id"), F.col("period")])
+    return E.OLS(t.facts, "visitors", SIX).summary([F.col("city_id"), F.col("period")])
 
 
 def random_effects_frame(t):
-    r = E.random_effects(t.panel, "city_id", "visitors", SIX)
+    r = E.random_effects(t.facts, "city_id", "visitors", SIX)
     rows = [(n, float(c), float(s), float(c / s)) for n, c, s in zip(r["terms"], r["coef"], r["se"])]
     return t.spark.createDataFrame(rows, "term string, coef double, se double, t double").select(
         "*", *[F.lit(r[k]).alias(k) for k in ("sigma2_e", "sigma2_u", "r2_overall", "r2_between", "r2_within")])
@@ -387,7 +387,7 @@ def random_effects(t):
 
 @query("M6_model_vs_econometrics")
 def model_vs_econometrics(t):
-    p = t.panel
+    p = t.facts
     rows = [("ols, lags", float(E.OLS(lagged(t), "visitors", ["visitors_l1", "visitors_l2", "gdp_l1"], False).r2)),
             ("ols, gdp", float(E.OLS(p, "visitors", ["gdp"]).r2)), ("ols, six regressors", float(E.OLS(p, "visitors", SIX).r2)),
             ("random effects, overall", float(E.random_effects(p, "city_id", "visitors", SIX)["r2_overall"]))]
