@@ -108,6 +108,8 @@ def _between(xa, ya, xb, yb):
 
 #: Points of a block of the covariance matrix: 32 MB for a pair of blocks, and few steps for groups of a few thousand.
 BLOCK_POINTS = 2048
+#: Targets of a block: 8 MB for a pair with a block of points.
+BLOCK_TARGETS = 512
 _VECTOR = "array<double>"
 _STATE = ["a0", "a1", "r0", "r1", "s0", "s1", "p0", "p1"]
 
@@ -134,19 +136,45 @@ def _added(c: str):
     return F.aggregate(F.slice(c, 2, F.size(c)), F.get(c, F.lit(0)), lambda s, a: F.zip_with(s, a, lambda x, y: x + y))
 
 
+def _tiles(rows: DataFrame, group: list[str], fields: list[str], size: int) -> DataFrame:
+    """(group..., block, items): rows packed by tile of a square grid over the group's box, whose mesh follows the group's
+    size; a tile with more than ``size`` rows is split by hash, so blocks are bounded wherever the rows lie."""
+    box = rows.groupBy(*group).agg(F.min("x").alias("_lx"), F.min("y").alias("_ly"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_w"),
+                                   F.expr(f"CAST(power(2, ceil(greatest(0, log(4, count(1) / {size}.0)))) AS BIGINT)").alias("_m"))
+    cell = lambda c: F.least(F.col("_m") - 1, F.floor(F.coalesce(F.try_divide(F.col(c) - F.col(f"_l{c}"), "_w"), F.lit(0.0)) * F.col("_m")))
+    put = salted_join(rows, box, group, fields).withColumn("_t", cell("x") * F.col("_m") + cell("y")).drop("_lx", "_ly", "_w", "_m")
+    counts = put.groupBy(*group, "_t").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias("_s"))
+    put = salted_join(put, counts, [*group, "_t"], fields)
+    block = F.shiftleft(F.col("_t"), 24) + F.pmod(F.xxhash64(*fields), F.col("_s"))
+    return put.groupBy(*group, block.alias("block")).agg(F.collect_list(F.struct(*fields)).alias("items"))
+
+
+def _near(asked: DataFrame, held: DataFrame, group: list[str], reach: DataFrame) -> DataFrame:
+    """(group..., block, _j): blocks of ``asked`` (x, y arrays) and blocks of ``held`` whose boxes lie within the group's range.
+    Beyond it the covariance is zero, so the other pairs are left out without loss; only boxes meet here."""
+    def box(df, p):
+        return df.select(*group, "block", *[f(c).alias(f"{p}{n}{c}") for c in "xy" for n, f in (("l", F.array_min), ("h", F.array_max))])
+
+    a, b = box(asked, "a"), box(held, "b").withColumnRenamed("block", "_j")
+    apart = lambda c: F.greatest(F.lit(0.0), F.col(f"al{c}") - F.col(f"bh{c}"), F.col(f"bl{c}") - F.col(f"ah{c}"))
+    met = a.join(reach, group).join(b, group)
+    return met.where(apart("x") ** 2 + apart("y") ** 2 <= (F.col("range") * (1 + 1e-9)) ** 2).select(*group, "block", "_j")
+
+
 def dual_weights(points: DataFrame, model: DataFrame, group: list[str], tolerance: float = 1e-10, most: int = 200) -> DataFrame:
     """(group..., block, x, y, w, mu, psill, range, nugget): the weights of ordinary kriging in dual form, from all
     points ``(group..., x, y, v)`` of a group, no two at one place.
 
     With C the covariances of the points, C a = v and C b = 1 give mu = sum(a) / sum(b) and w = a - mu b. Both
-    systems are solved by conjugate gradients over blocks of points: a product with C is a join of block pairs and a
-    sum, and every block's own covariance preconditions it, so a group of one block takes one step. A group stops when both
+    systems are solved by conjugate gradients over blocks of neighbouring points: a product with C is a join of the block
+    pairs within the range, listed once, and a sum, and every block's own covariance preconditions it, so a group of one block takes one step. A group stops when both
     residuals are below ``tolerance`` of their start; ``most`` steps without that are an error. Groups without a
     model or with a model of zero have w = 0 and mu = the mean of v."""
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("psill", "range", "nugget")}
-    packed = blocks(points, group, ["x", "y"], ["x", "y", "v"], size_of_block=BLOCK_POINTS).join(model.select(*group, *zero), group, "left")
-    packed = materialise(packed.select(*group, "block", "n_blocks", *[F.col(f"items.{c}").alias(c) for c in ("x", "y", "v")], *zero.values()), "points")
+    packed = _tiles(points, group, ["x", "y", "v"], BLOCK_POINTS).join(model.select(*group, *zero), group, "left")
+    packed = materialise(packed.select(*group, "block", *[F.col(f"items.{c}").alias(c) for c in ("x", "y", "v")], *zero.values()), "points")
     fixed = packed.drop("v")
+    pairs = materialise(_near(fixed, fixed, group, fixed.select(*group, "range").distinct()), "pairs")
     keys = [*group, "block"]
     kinds = _apart(keys, packed)
 
@@ -207,7 +235,7 @@ def dual_weights(points: DataFrame, model: DataFrame, group: list[str], toleranc
             turn = turn.withColumn(f"_b{i}", beta).withColumn(f"p{i}", _moved(i))
         turn = turn.drop("_b0", "_b1")
         right = turn.select(*group, F.col("block").alias("_j"), "p0", "p1").join(fixed.select(*group, F.col("block").alias("_j"), F.col("x").alias("xb"), F.col("y").alias("yb")), [*group, "_j"])
-        left = fixed.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        left = fixed.join(pairs, keys)
         met = left.join(right, [*group, "_j"]).select(*keys, "x", "y", "xb", "yb", "p0", "p1", "psill", "range", "nugget")
         parts = met.mapInPandas(product, f"{kinds}, q0 {_VECTOR}, q1 {_VECTOR}")
         summed = parts.groupBy(*keys).agg(*[F.collect_list(f"q{i}").alias(f"q{i}") for i in "01"])
@@ -223,7 +251,7 @@ def dual_weights(points: DataFrame, model: DataFrame, group: list[str], toleranc
     mean = packed.groupBy(*group).agg((F.sum(total("v")) / F.sum(F.size("v"))).alias("mean"))
     mu = sums.join(mean, group).select(*group, F.coalesce(F.try_divide("sa", "sb"), "mean").alias("mu"))
     out = state.select(*keys, "a0", "a1").join(mu, group).join(fixed, keys)
-    return out.select(*keys, "n_blocks", "x", "y", F.zip_with("a0", "a1", lambda a, b: a - F.col("mu") * b).alias("w"), "mu", "psill", "range", "nugget")
+    return out.select(*keys, "x", "y", F.zip_with("a0", "a1", lambda a, b: a - F.col("mu") * b).alias("w"), "mu", "psill", "range", "nugget")
 
 
 def krige(observed: DataFrame, targets: DataFrame, model: DataFrame, group: list[str], target_key: str, value: str) -> DataFrame:
@@ -231,20 +259,27 @@ def krige(observed: DataFrame, targets: DataFrame, model: DataFrame, group: list
     A target whose group has no observation gets no row."""
     points = observed.where(F.col(value).isNotNull()).groupBy(*group, "x", "y").agg(F.avg(F.col(value).cast("double")).alias("v"))
     weights = materialise(dual_weights(points, model, group), "weights")
-    asked = targets.select(*group, target_key, F.col("x").alias("px"), F.col("y").alias("py"))
-    parts = weights.groupBy(*group).agg(F.max("n_blocks").alias("n_blocks"))
-    asked = salted_join(asked, parts, group, [target_key]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
-
-    @pandas_udf("double")
-    def effect(px: pd.Series, py: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, psill: pd.Series, rng: pd.Series, nugget: pd.Series) -> pd.Series:
+    asked = targets.select(*group, F.col(target_key).alias("_key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    asked = _tiles(asked.join(weights.select(*group).distinct(), group, "left_semi"), group, ["_key", "x", "y"], BLOCK_TARGETS)
+    asked = materialise(asked.select(*group, "block", *[F.col(f"items.{c}").alias(c) for c in ("_key", "x", "y")]), "targets")
+    reach = weights.groupBy(*group).agg(F.first("range").alias("range"), F.first("mu").alias("mu"))
+    pairs = _near(asked, weights, group, reach.drop("mu"))
+
+    @pandas_udf(_VECTOR)
+    def effect(tx: pd.Series, ty: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, psill: pd.Series, rng: pd.Series, nugget: pd.Series) -> pd.Series:
         out = []
-        for a, b, xs, ys, ws, p, r, n in zip(px, py, x, y, w, psill, rng, nugget):
-            out.append(float(_covariance(_between(np.array([a]), np.array([b]), np.asarray(xs, float), np.asarray(ys, float)), p, r, n)[0] @ np.asarray(ws, float)))
-        return pd.Series(out, dtype="float64")
+        for a, b, xs, ys, ws, p, r, n in zip(tx, ty, x, y, w, psill, rng, nugget):
+            a, b, xs, ys, ws = (np.asarray(v, float) for v in (a, b, xs, ys, ws))
+            out.append(_covariance(_between(a, b, xs, ys), p, r, n) @ ws)
+        return pd.Series(out)
 
-    met = salted_join(asked, weights.drop("n_blocks"), [*group, "block"], [target_key])
-    part = met.select(*group, target_key, "mu", effect("px", "py", "x", "y", "w", "psill", "range", "nugget").alias("e"))
-    return part.groupBy(*group, target_key).agg((F.max("mu") + F.sum("e")).alias("estimate"))
+    held = weights.select(*group, F.col("block").alias("_j"), F.col("x").alias("xs"), F.col("y").alias("ys"), "w", "psill", "range", "nugget")
+    met = asked.join(pairs, [*group, "block"]).join(held, [*group, "_j"])
+    parts = met.select(*group, "block", effect("x", "y", "xs", "ys", "w", "psill", "range", "nugget").alias("e"))
+    parts = parts.groupBy(*group, "block").agg(F.collect_list("e").alias("e")).select(*group, "block", _added("e").alias("e"))
+    out = asked.select(*group, "block", "_key").join(parts, [*group, "block"], "left").join(reach.drop("range"), group)
+    each = F.arrays_zip(F.col("_key").alias("k"), F.coalesce("e", F.transform("_key", lambda k: F.lit(0.0))).alias("e"))
+    return out.select(*group, "mu", F.explode(each).alias("_z")).select(*group, F.col("_z.k").alias(target_key), (F.col("mu") + F.col("_z.e")).alias("estimate"))
 
 
 def fill_by_kriging(df: DataFrame, group: list[str], key: str, value: str) -> DataFrame:

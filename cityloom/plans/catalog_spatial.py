@@ -231,13 +231,49 @@ def kriging_surface(t):
 
 
 @query("J3_kriging_at_stations", with_roles("readings") + """, s AS (SELECT station_id, day, x, y, avg(value) AS v FROM readings WHERE value IS NOT NULL GROUP BY ALL)
- SELECT station_id, day, round(avg(v) OVER (PARTITION BY day, x, y),4) AS estimate FROM s""")
+ SELECT station_id, day, round(v,6) AS observed, 0.0::DOUBLE AS error FROM (SELECT station_id, day, avg(v) OVER (PARTITION BY day, x, y) AS v FROM s)""")
 def kriging_at_stations(t):
-    """At a place with observations kriging gives their mean."""
+    """At a place with observations kriging gives their mean: the difference is none to six decimals."""
     seen = daily_stations(t).where("value IS NOT NULL")
     model = K.spherical_fit(K.empirical_variogram(seen, ["day"], "station_id", "value"), ["day"])
     out = K.krige(seen, seen, model, ["day"], "station_id", "value")
-    return out.select("station_id", "day", F.round("estimate", 4).alias("estimate"))
+    places = seen.groupBy("day", "x", "y").agg(F.avg("value").alias("observed"))
+    out = seen.select("station_id", "day", "x", "y").join(places, ["day", "x", "y"]).join(out, ["station_id", "day"])
+    return out.select("station_id", "day", F.round("observed", 6).alias("observed"), F.abs(F.round(F.col("estimate") - F.col("observed"), 6)).alias("error"))
+
+
+_FIELD = (9.0, 6.0, 0.5)  # sill, range in degrees, nugget
+
+
+def _eliminated(n: int) -> str:
+    """SQL of n steps of Gauss-Jordan elimination on m0(g, i, j, v), each on the next row."""
+    return ",\n ".join(f"""m{k} AS (SELECT a.g, a.i, a.j, CASE WHEN a.i={k} THEN a.v/p.v ELSE a.v-c.v*r.v/p.v END AS v FROM m{k - 1} a JOIN m{k - 1} p ON p.g=a.g AND p.i={k} AND p.j={k}
+  JOIN m{k - 1} c ON c.g=a.g AND c.i=a.i AND c.j={k} JOIN m{k - 1} r ON r.g=a.g AND r.i={k} AND r.j=a.j)""" for k in range(1, n + 1))
+
+
+def _cov(d: str) -> str:
+    sill, reach, nugget = _FIELD
+    return f"CASE WHEN {d}=0 THEN {sill + nugget}::DOUBLE WHEN {d}<={reach} THEN {sill}::DOUBLE*(1-1.5*{d}/{reach}+0.5*power({d}/{reach},3)) ELSE 0.0 END"
+
+
+@query("J4_kriging_places", with_roles("cities", "arrivals", "places") + f""", o AS (SELECT department AS g, lng AS x, lat AS y, count(*)::DOUBLE AS z FROM arrivals JOIN cities USING (city_id) GROUP BY ALL),
+ st AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x, y) AS i, (SELECT avg(z) FROM o) AS u FROM o),
+ ab AS (SELECT a.g, a.i, b.i AS j, {_cov("sqrt(power(a.x-b.x,2)+power(a.y-b.y,2))")} AS v FROM st a JOIN st b USING (g)),
+ m0 AS (SELECT g, i, j, v FROM ab UNION ALL SELECT g, i, 6, z/u FROM st UNION ALL SELECT g, i, 7, 1.0 FROM st),
+ {_eliminated(5)}, sol AS (SELECT g, i, max(v) FILTER (j=6) AS a, max(v) FILTER (j=7) AS b FROM m5 WHERE j>5 GROUP BY g, i),
+ mu AS (SELECT g, sum(a)/sum(b) AS mu FROM sol GROUP BY g),
+ pl AS (SELECT place_id, lower(r_name) AS g, p.lng AS x, p.lat AS y FROM places p JOIN nation ON n_nationkey=city_id JOIN region ON n_regionkey=r_regionkey)
+ SELECT place_id, round(any_value(mu.mu)+sum((a-mu.mu*b)*{_cov("sqrt(power(pl.x-st.x,2)+power(pl.y-st.y,2))")}),5) AS estimate
+ FROM pl JOIN st USING (g) JOIN sol ON sol.g=st.g AND sol.i=st.i JOIN mu ON mu.g=st.g GROUP BY place_id""")
+def kriging_places(t):
+    """Arrivals of a department's cities, in units of the mean over all cities, at all places of the department, by a given model."""
+    counts = t.arrivals.groupBy("city_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    seen = t.cities.join(counts, "city_id").select(F.col("department").alias("g"), F.col("lng").alias("x"), F.col("lat").alias("y"), "n")
+    seen = seen.withColumn("z", F.col("n") / seen.agg(F.avg("n")).scalar())
+    sill, reach, nugget = _FIELD
+    model = seen.select("g").distinct().select("g", F.lit(sill).alias("psill"), F.lit(reach).alias("range"), F.lit(nugget).alias("nugget"))
+    asked = t.places.join(t.cities.select("city_id", "department"), "city_id").select(F.col("department").alias("g"), "place_id", F.col("lng").alias("x"), F.col("lat").alias("y"))
+    return K.krige(seen, asked, model, ["g"], "place_id", "z").select("place_id", F.round("estimate", 5).alias("estimate"))
 
 
 @query("J4_kriging_constant_field", "SELECT event_type, unnest(range(0,400))::INT AS cell, 5.0::DOUBLE AS estimate FROM (SELECT DISTINCT event_type FROM events)")

@@ -165,6 +165,38 @@ def test_kriging_against_dense_solve(spark, monkeypatch, n, rows):
     assert got == {0: pytest.approx(np.linalg.solve(a, b)[:n] @ v, abs=1e-7), 1: 7.5}
 
 
+def test_kriging_leaves_out_block_pairs_beyond_the_range(spark, monkeypatch):
+    """3 000 stations in tiles of 64, some of them clustered: weights of a dense solve from a small share of the block pairs."""
+    monkeypatch.setattr(kriging, "BLOCK_POINTS", 64)
+    monkeypatch.setattr(kriging, "BLOCK_TARGETS", 32)
+    listed, near = [], kriging._near
+
+    def counted(asked, held, group, reach):
+        out = near(asked, held, group, reach)
+        listed.append((out.count(), asked.count() * held.count()))
+        return out
+
+    monkeypatch.setattr(kriging, "_near", counted)
+    rng = np.random.RandomState(3)
+    p = np.vstack([rng.uniform(0, 1000, (2800, 2)), rng.uniform(500, 510, (200, 2))])
+    v = rng.normal(size=len(p))
+    obs = spark.createDataFrame([("g", float(a), float(b), float(c)) for (a, b), c in zip(p, v)], "g string, x double, y double, v double")
+    m = spark.createDataFrame([("g", 2.0, 90.0, 0.5)], "g string, psill double, range double, nugget double")
+    q = np.vstack([rng.uniform(0, 1000, (50, 2)), [[5000.0, 5000.0]]])
+    t = spark.createDataFrame([("g", i, float(a), float(b)) for i, (a, b) in enumerate(q)], "g string, t int, x double, y double")
+    got = {r["t"]: r["estimate"] for r in kriging.krige(obs, t, m, ["g"], "t", "v").collect()}
+
+    def cov(d):
+        return np.where(d <= 90, 2 * (1 - 1.5 * d / 90 + 0.5 * (d / 90) ** 3), 0) + np.where(d == 0, 0.5, 0)
+
+    c = cov(np.linalg.norm(p[:, None] - p[None], axis=2))
+    a, b = np.linalg.solve(c, np.column_stack([v, np.ones(len(v))])).T
+    mu = a.sum() / b.sum()
+    want = mu + cov(np.linalg.norm(q[:, None] - p[None], axis=2)) @ (a - mu * b)
+    assert [got[i] for i in range(len(q))] == pytest.approx(want, abs=1e-6)
+    assert listed[0][0] < 0.3 * listed[0][1] and listed[1][0] < 0.5 * listed[1][1]
+
+
 def test_otsu_hand_case(spark):
     h = spark.createDataFrame([(1, 2018, i, n, float(i)) for i, n in enumerate([4, 1, 1, 4])], "city_id int, year int, bin int, n bigint, bin_mean double")
     assert raster.otsu_threshold(h).first()["threshold"] == 1.0
