@@ -2,14 +2,13 @@
 
 One pass over the texts measures every document and hashes its normalised lines (A-Z lower case, white space
 between words as one space). For each host (``source``; null counts as the empty name) the different texts that
-hold a line are counted, exact copies once. A line above both limits (more than ``max_docs`` texts and more than
-``max_share`` of the host's texts) is removed from all of them but the first text (smallest doc_id). Documents
+hold a line are counted, exact copies once. A line above the limits (more than ``max_docs`` texts, and more than
+``max_share`` of the host's texts or more than ``always`` texts) is removed from all of them but the first text (smallest doc_id). Documents
 that this leaves with fewer than ``min_words`` words, or less than ``min_share`` of them, are rejected, as are
 those that fail the base rules.
 
-The share grows with the host, so in a host of millions it spares lines of a hundred thousand texts. ``always`` is a
-number of texts above which a line counts in a host of any size; ``kept_documents`` has ``ALWAYS_DOCS``,
-``quality_rules`` has none, since the SQL of its query knows the two limits only.
+The share grows with the host, so alone it would spare lines of a hundred thousand texts in a host of millions; above
+``always`` texts a line counts in a host of any size. The limits are the same in the query, its SQL and the pipeline.
 
 Counting is by pre-aggregated (host, line, text) rows, so a line in a third of all documents, or a text that is
 repeated as often, stays spread. Null and empty texts have no words and no lines and fail the base rules. Repeated
@@ -112,15 +111,13 @@ def measured(docs: DataFrame) -> DataFrame:
     return materialise(text_of(docs).mapInArrow(measure_rows, schema), "measures")
 
 
-def removed_lines(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, always: int | None = None) -> DataFrame:
-    """host, text_key, line, words: the lines to remove from each text, those above both limits or above ``always``."""
+def removed_lines(rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, always: int = ALWAYS_DOCS) -> DataFrame:
+    """host, text_key, line, words: the lines to remove from each text, those above the limits."""
     held = (rows.select("host", "text_key", "doc_id", F.explode("lines").alias("l"))
             .groupBy("host", F.col("l.line").alias("line"), "text_key").agg(F.max("l.words").alias("words"), F.min("doc_id").alias("doc_id")))
     held = materialise(held, "lines")
     texts = rows.select("host", "text_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    frequent = F.col("n") > max_share * F.col("texts")
-    if always is not None:
-        frequent |= F.col("n") > always
+    frequent = (F.col("n") > max_share * F.col("texts")) | (F.col("n") > always)
     often = (held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("f"))
              .where(F.col("n") > max_docs).join(texts, "host").where(frequent)
              .select("host", "line", F.col("f.text_key").alias("first_key")))
@@ -174,11 +171,11 @@ def strip_rows(batches):
         yield batch
 
 
-def kept_documents(docs: DataFrame, always: int | None = ALWAYS_DOCS) -> DataFrame:
-    """The documents that pass, without the lines above the limits or ``always``; ``text`` and ``n_chars`` follow,
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The documents that pass, without the lines above the limits; ``text`` and ``n_chars`` follow,
     other columns stay as given. The verdicts meet the texts by (host, text), so repeated ids are no matter."""
     rows = measured(docs)
-    removed = removed_lines(rows, always=always)
+    removed = removed_lines(rows)
     lists = removed.groupBy("host", "text_key").agg(F.collect_set("line").alias("_lines"))
     rejected = verdicts(rows, removed).where("NOT kept").select("host", "text_key").distinct()
     marks = (rejected.withColumn("_bad", F.lit(True)).join(lists, ["host", "text_key"], "full")

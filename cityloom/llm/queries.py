@@ -50,7 +50,7 @@ dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_matche
 line AS (SELECT r, host, doc_id, text, array_to_string(ws, ' ') AS l, len(ws) AS n
   FROM (SELECT r, host, doc_id, text, regexp_extract_all(unnest(string_split(low, chr(10))), '{WORDS}') AS ws FROM d) WHERE len(ws) > 0),
 often AS (SELECT host, l, arg_min(text, (doc_id, md5(text))) AS first FROM line GROUP BY host, l
-  HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.05 * (SELECT count(DISTINCT text) FROM d WHERE d.host = line.host)),
+  HAVING count(DISTINCT text) > 10 AND (count(DISTINCT text) > 100 OR count(DISTINCT text) > 0.05 * (SELECT count(DISTINCT text) FROM d WHERE d.host = line.host))),
 lost AS (SELECT r, sum(n)::BIGINT AS n FROM line JOIN often USING (host, l) WHERE text <> first GROUP BY r),
 m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,

@@ -81,7 +81,7 @@ def line_key(line):
     return " ".join(SPACE_WORD.findall(line.translate(FOLD)))
 
 
-def line_verdicts(rows, max_docs=10, max_share=0.05):
+def line_verdicts(rows, max_docs=10, max_share=0.05, always=100):
     """[(doc_id, measures, removed words, kept, text without the lines)] for (doc_id, text, source)."""
     held, texts, firsts = defaultdict(set), defaultdict(set), {}
     for d, t, s in rows:
@@ -90,7 +90,7 @@ def line_verdicts(rows, max_docs=10, max_share=0.05):
             held[s or "", key].add(t or "")
             mark = (d is None, d or 0, hashlib.md5((t or "").encode()).hexdigest(), t or "")
             firsts[s or "", key] = min(firsts.get((s or "", key), mark), mark)
-    often = {k for k, v in held.items() if len(v) > max_docs and len(v) > max_share * len(texts[k[0]])}
+    often = {k for k, v in held.items() if len(v) > max_docs and (len(v) > always or len(v) > max_share * len(texts[k[0]]))}
     out = []
     for d, t, s in rows:
         m, gone, left = measures(t), 0, []

@@ -18,6 +18,10 @@ def test_frequent_lines_of_a_hot_host(spark):
     rows += [(i, f"{prose(rng, 25)} n{i}" + (f"\n{line}" if i % 10 == 0 else ""), "small") for i in range(6000, 6200)]
     left = line_rules.kept_documents(table(spark, rows)).where(F.col("text").contains(line)).collect()
     assert sorted(r.doc_id for r in left) == [0, 6000]
+    held = {d: line in t for d, t, _ in rows}
+    n = len(line.split())
+    got = {r.doc_id: r.removed_words for r in line_rules.quality_rules(table(spark, rows)).collect()}
+    assert got == {d: n * (held[d] and d not in (0, 6000)) for d in held}
 
 
 def test_rows_without_an_id_and_texts_that_share_one(spark):
