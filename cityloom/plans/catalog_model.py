@@ -124,10 +124,11 @@ def rank_models(t):
  SELECT row_id, round(a+b*gdp,4) AS prediction FROM r, f WHERE {_SPLIT}<20""")
 def linear_one(t):
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
 
     train, test = split(t)
     va = VectorAssembler(inputCols=["gdp"], outputCol="features")
-    model = M.regressor("linear").fit(va.transform(train).withColumn("label", F.col("visitors")))
+    model = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0).fit(va.transform(train).withColumn("label", F.col("visitors")))
     return model.transform(va.transform(test)).select("row_id", F.round("prediction", 4).alias("prediction"))
 
 
