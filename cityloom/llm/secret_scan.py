@@ -13,8 +13,10 @@ the three p-values, times three, is the string's p. Random strings have even p-v
 
 False discoveries are controlled for each encoding and length band apart, since a short string shows little: the
 strings above p = 0.5 tell how many random ones a band has, and the lowest cutoff is taken at which at most
-``FALSE_SHARE`` of the strings above it are not of that kind. All strings of the corpus are counted; the table
-of counts is bounded by encodings, bands and steps.
+``FALSE_SHARE`` of the strings above it are not of that kind. Bands of the ``RICH`` encodings, whose letters of both
+cases and digits words seldom mix evenly, also take a cutoff of ``LONE`` or more above which at most ``FEW`` strings are
+unexplained, so that a lone key in a corpus without others is found; a band then holds at most so many false ones. All
+strings of the corpus are counted; the table of counts is bounded by encodings, bands and steps.
 
 Null and empty texts have no spans; repeated rows give repeated rows; only ``doc_id`` and ``text`` are read."""
 
@@ -56,6 +58,7 @@ PLAIN = ["dec"]
 BANDS = [24, 32, 48, 64]
 STEPS = 20
 FALSE_SHARE = 0.05
+RICH, LONE, FEW = ["b62", "b64", "url", "mix"], 0.1, 3
 
 
 def wrapped(text: Column, pattern: str) -> Column:
@@ -188,7 +191,7 @@ def band(length: Column) -> Column:
 
 def cutoffs(tests: DataFrame) -> DataFrame:
     """One row with a map from "enc:band" to the lowest p from which its strings count as random; bands without
-    enough random strings have no entry.
+    enough random strings have no entry, but for rich encodings.
 
     A step s holds p in [s, s + 1) / STEPS. Above p = 0.5 lies half of all random strings of a band."""
     strings = tests.select(F.explode("_tests").alias("s")).select("s.t.enc", "s.band", "s.t.p").where(~F.col("enc").isin(*PLAIN, "none"))
@@ -197,7 +200,8 @@ def cutoffs(tests: DataFrame) -> DataFrame:
     above = counts.withColumn("low", F.explode(F.sequence(F.lit(0), F.lit(STEPS // 2 - 1)))).where("step >= low")
     above = above.groupBy("enc", "band", "low").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("step") >= STEPS // 2, F.col("n")).otherwise(0)).alias("high"))
     random = 2.0 * F.col("high") * (1 - F.col("low") / STEPS)
-    good = above.where(F.col("high") > 0).where(F.col("all") - random <= FALSE_SHARE * F.col("all"))
+    unexplained = F.col("all") - random
+    good = above.where((F.col("high") > 0) & (unexplained <= FALSE_SHARE * F.col("all")) | F.col("enc").isin(*RICH) & (F.col("low") >= LONE * STEPS) & (unexplained <= FEW))
     cuts = good.groupBy("enc", "band").agg((F.min("low") / STEPS).alias("cut"))
     return cuts.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "enc", F.col("band").cast("string")), "cut"))).alias("cuts"))
 
