@@ -7,8 +7,9 @@ an insertion moves no boundary beyond its own chunk. Chunks are compared by a 12
 (doc_id, place) order stays. Repeated chunks that follow each other form one span, and spans of ``SPAN`` bytes or more count.
 
 Short hashes of all chunks, each once per task, are counted by bucket; those that occur twice fill a Bloom filter
-of bounded size, and only chunks that pass it are sent as rows. Their first places are pre-aggregated minima, so a
-passage in a third of all documents stays spread.
+of bounded size, and only chunks that pass it are sent as rows. Their first places are pre-aggregated minima. Chunks
+that tasks sent more than ``HOT`` times fill a second such filter; their rows meet the first place under ``SALTS``
+sub-keys, so a passage in a third of all documents stays spread.
 
 Null and empty texts have no chunks. Repeated rows are repeats of the row with the smallest id; rows with equal
 id are told apart by their text, and equal ones count as one document. Only ``doc_id`` and ``text`` are read."""
@@ -18,18 +19,21 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import materialise
 from .common import Texts, bloom, mix, passes, pieces
-from .jaccard_join import BUCKET_SHINGLES, Shipment, frequent, short_hash
+from .jaccard_join import BUCKET_SHINGLES, Shipment, short_hash, unpack
 
 KNOWN = 16
 MASK = np.uint32(0b11111 << (KNOWN - 5))
 LEAST, MOST = 8, 512
 SPAN = 64
+#: Times that tasks send a chunk's hash (at most twice each time they send) beyond which its rows are spread, and over how many sub-keys.
+HOT, SALTS = 64, 16
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -88,25 +92,36 @@ def count_rows(bits: int):
     return run
 
 
-def repeated_rows(bits: int, filter_bytes):
-    """Chunks that may repeat: id and digest of the text, ordinal, byte span, digest."""
+def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Hashes of one bucket that were sent more than once, and whether very often."""
+    values, counts = np.unique(np.concatenate([unpack(b) for b in pdf["hashes"]]), return_counts=True)
+    more = counts > 1
+    hashes = values[more] | (np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32))
+    return pd.DataFrame({"hash": hashes.view(np.int64), "hot": counts[more] > HOT})
+
+
+def repeated_rows(bits: int, filter_bytes, hot_bytes):
+    """Chunks that may repeat: id and digest of the text, ordinal, byte span, digest, sub-key (-1 where there is none)."""
 
     def run(batches):
-        wanted = np.frombuffer(filter_bytes.value, np.uint32)
+        wanted, hot = np.frombuffer(filter_bytes.value, np.uint32), np.frombuffer(hot_bytes.value, np.uint32)
         for batch in pieces(batches):
             texts, start, end, owner = chunks(batch.column("text"))
-            keep = np.flatnonzero(passes(wanted, short_hash(short_hashes(texts, start, end), bits)))
+            hashes = short_hash(short_hashes(texts, start, end), bits)
+            keep = np.flatnonzero(passes(wanted, hashes))
             if not len(keep):
                 continue
             raw, first = texts.data.tobytes(), np.searchsorted(owner, np.arange(texts.n))
             ids = batch.column("doc_id").take(pa.array(owner[keep]))
             keys = [hashlib.md5(raw[texts.offs[i]:texts.offs[i + 1]]).digest() for i in range(texts.n)]
+            of_row = np.array([(k[0] + (d or 0)) % SALTS for k, d in zip(keys, batch.column("doc_id").to_pylist())], np.int32)
+            salt = np.where(passes(hot, hashes[keep]), of_row[owner[keep]], -1)
             at = texts.offs[owner[keep]]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([keys[i] for i in owner[keep]], pa.binary()), pa.array(keep - first[owner[keep]], pa.int32()),
                  pa.array(start[keep] - at, pa.int64()), pa.array(end[keep] - at, pa.int64()),
-                 pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start[keep].tolist(), end[keep].tolist())], pa.binary())],
-                ["doc_id", "text_key", "ordinal", "lo", "hi", "digest"])
+                 pa.array([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start[keep].tolist(), end[keep].tolist())], pa.binary()), pa.array(salt, pa.int32())],
+                ["doc_id", "text_key", "ordinal", "lo", "hi", "digest", "salt"])
 
     return run
 
@@ -119,12 +134,15 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(size // 32 // BUCKET_SHINGLES).bit_length()
     twice = (texts.mapInArrow(count_rows(bits), "bucket long, hashes binary").repartition(1 << bits, "bucket")
-             .groupBy("bucket").applyInPandas(frequent(1), "hash long"))
-    filter_bytes = spark.sparkContext.broadcast(bloom(materialise(twice, "twice"), "hash").tobytes())
-    rows = materialise(texts.mapInArrow(repeated_rows(bits, filter_bytes), "doc_id long, text_key binary, ordinal int, lo long, hi long, digest binary").distinct(), "chunks")
+             .groupBy("bucket").applyInPandas(counted, "hash long, hot boolean"))
+    twice = materialise(twice, "twice")
+    filter_bytes, hot_bytes = (spark.sparkContext.broadcast(bloom(t, "hash").tobytes()) for t in (twice, twice.where("hot")))
+    rows = texts.mapInArrow(repeated_rows(bits, filter_bytes, hot_bytes), "doc_id long, text_key binary, ordinal int, lo long, hi long, digest binary, salt int")
+    rows = materialise(rows.distinct(), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_key", "ordinal")
-    firsts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f")).where("n > 1")
-    marked = rows.join(firsts, "digest").select("doc_id", "text_key", "ordinal", "lo", "hi", (place != F.col("f")).alias("later"), F.col("f.doc_id").alias("first_doc"))
+    firsts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("f"), F.max("salt").alias("s")).where("n > 1")
+    salts = F.when(F.col("s") >= 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    marked = rows.join(firsts.select("digest", "f", F.explode(salts).alias("salt")), ["digest", "salt"]).select("doc_id", "text_key", "ordinal", "lo", "hi", (place != F.col("f")).alias("later"), F.col("f.doc_id").alias("first_doc"))
     part = F.struct("ordinal", "lo", "hi", "later", "first_doc")
     whole = marked.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(part)).alias("parts"))  # a document's own chunks
     none = F.array().cast("array<struct<next:int,lo:bigint,hi:bigint,later:boolean,docs:array<bigint>>>")

@@ -4,7 +4,7 @@ One pass measures every whole text (shares are taken as log(share + 0.001), size
 covariances come from sums of products over all labelled documents outside the held-out fold, added up in the
 tasks and by Spark; two small matrices reach the driver. Each class covariance is shrunk towards the pooled one and
 towards a sphere, its Cholesky factor is computed once, and the score is the logistic of the log-density
-difference, two Mahalanobis terms from triangular solves against the cached factors.
+difference, two Mahalanobis terms by the cached inverses of the factors.
 
 Labels of 1 and 0 count, others and nulls do not; a document labelled twice with both has none. Null and empty texts have all
 shares zero and a score like any other. With a class missing, the score is the share of the other one (0.5 without

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -134,3 +135,78 @@ def mix(rows, weights=(3, 1, 2), share=1.5, most=2):
         at[s] += n
         out.append((d, n, totals[s], target[s], taken))
     return out
+
+
+def gear_chunks(raw, gear, known=16, zeros=0xF800, least=8, most=512):
+    """Byte spans of one text's chunks, one byte at a time."""
+    out, at = [], 0
+    for e in range(1, len(raw) + 1):
+        h = sum(int(gear[raw[e - 1 - k]]) << k for k in range(min(known, e)))
+        if (h & zeros) == 0 or e == len(raw):
+            while e - at > most:
+                out.append((at, at + most))
+                at += most
+            if e - at >= least or e == len(raw):
+                out.append((at, e))
+                at = e
+    return [(a, b) for a, b in out if b > a]
+
+
+def shared_spans(rows, gear, span=64):
+    """{(doc_id, text): (shared bytes, removed bytes, later spans)} for (doc_id, text); equal rows count once."""
+    texts = sorted({(d is None, d, hashlib.md5((t or "").encode()).digest(), t or "") for d, t in rows}, key=lambda r: (not r[0], r[1] or 0, r[2]))
+    texts.sort(key=lambda r: (r[0], r[1] or 0, r[2]))
+    cut = [(r, gear_chunks(r[3].encode(), gear)) for r in texts]
+    times, first = Counter(), {}
+    for i, (r, spans) in enumerate(cut):
+        for k, (a, b) in enumerate(spans):
+            chunk = r[3].encode()[a:b]
+            times[chunk] += 1
+            first.setdefault(chunk, (i, k))
+    out = {}
+    for i, (r, spans) in enumerate(cut):
+        runs = []
+        for k, (a, b) in enumerate(spans):
+            chunk = r[3].encode()[a:b]
+            if times[chunk] > 1:
+                later = first[chunk] != (i, k)
+                if runs and runs[-1][2] == later and runs[-1][3] == k:
+                    runs[-1] = (runs[-1][0], b, later, k + 1)
+                else:
+                    runs.append((a, b, later, k + 1))
+        runs = [x for x in runs if x[1] - x[0] >= span]
+        out[r[1], r[3]] = (sum(b - a for a, b, *_ in runs), sum(b - a for a, b, late, _ in runs if late), ",".join(f"{a}:{b}" for a, b, late, _ in runs if late))
+    return out
+
+
+def randomness(text, encodings):
+    """(encoding, p) of a string by three tests under even draws."""
+    body = re.sub("=+$", "", text)
+    fit = next(((n, a) for n, p, a in encodings if re.fullmatch(p, body)), None)
+    if fit is None or len(body) < 2:
+        return (fit[0] if fit else "none"), 0.0
+    codes, n, m = [fit[1].index(c) for c in body], len(body), len(fit[1])
+
+    def tail(z):
+        z = min(max(z, -8.0), 8.0)
+        return 1 / (1 + math.exp(1.5976 * z + 0.07056 * z**3))
+
+    mean = (m - 1) / 2
+    expected = n / m
+    chi = sum((codes.count(c) - expected) ** 2 / expected for c in range(m))
+    chi = (chi - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n)
+    up = [c > mean for c in codes]
+    runs = (1 + sum(a != b for a, b in zip(up, up[1:])) - (n + 1) / 2) / math.sqrt((n - 1) / 4)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / ((m * m - 1) / 12 * math.sqrt(n - 1))
+    return fit[0], min(1.0, 3 * min(tail(chi), 2 * tail(abs(runs)), 2 * tail(abs(serial))))
+
+
+def lowest_cut(ps, rich, steps=20, share=0.05, lone=0.1, few=3):
+    """The lowest step from which the strings of a band count as random, or None."""
+    for low in range(steps // 2):
+        above = sum(math.floor(p * steps) >= low for p in ps)
+        high = sum(math.floor(p * steps) >= steps // 2 for p in ps)
+        false = above - 2 * high * (1 - low / steps)
+        if above and (high and false <= share * above or rich and low >= lone * steps and false <= few):
+            return low / steps
+    return None

@@ -3,11 +3,12 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from corpus import prose, table
 from pyspark.sql import functions as F
 
-from cityloom.llm import common, jaccard_join, line_rules, secret_scan, winnowing
+from cityloom.llm import chunk_dedup, common, jaccard_join, line_rules, quality_classifier, secret_scan, winnowing
 
 
 def test_frequent_lines_of_a_hot_host(spark):
@@ -95,3 +96,66 @@ def test_long_postings_meet_through_hubs(spark, monkeypatch, bits):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(table(spark, rows)).collect()}
     assert got == brute.jaccard_components([(d, t) for d, t, _ in rows])
     assert listed[0][0] < len(rows) * 10  # 160 copies give 12 720 pairs for each shingle
+
+
+def test_lone_keys_are_found(spark):
+    """One, two or three keys among plain documents, all with a p of LONE or more; no string of the plain ones is taken."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    plain = ["see internationalization of getUserNameFromTable2 and http/paths/of/some/kind here", "a compartmentalization_of_things in some_long_name_of_a_thing", "x" * 40]
+    for n in (1, 2, 3):
+        rng = random.Random(n)
+        keys = {i: "".join(rng.choice(letters) for _ in range(40)) for i in range(n)}
+        rows = [(i, f"so {k} it is", "s") for i, k in keys.items()] + [(i, plain[i % 3], "s") for i in range(n, 300)]
+        found = {r.doc_id for r in secret_scan.secrets(table(spark, rows)).where("spans LIKE '%random%'").collect()}
+        assert found == {i for i, k in keys.items() if brute.randomness(k, secret_scan.ENCODINGS)[1] >= secret_scan.LONE} and found
+
+
+def test_battery_and_cutoffs_equal_plain_ones(spark):
+    rng = random.Random(8)
+    rows, strings = [], {}
+    for i in range(400):
+        letters = rng.choice([e[2] for e in secret_scan.ENCODINGS])
+        letters = letters if rng.random() < 0.6 else letters[: max(2, len(letters) // 3)]
+        strings[i] = "g" + "".join(rng.choice(letters) for _ in range(rng.randrange(20, 80))) + "Z"  # no base span
+        rows.append((i, f"a {strings[i]} b", "s"))
+    bands: dict = {}
+    value = {i: brute.randomness(s, secret_scan.ENCODINGS) for i, s in strings.items() if not brute.base_spans(s)}
+    for i, (enc, p) in value.items():
+        if enc not in secret_scan.PLAIN and enc != "none":
+            bands.setdefault((enc, sum(len(strings[i]) >= b for b in secret_scan.BANDS)), []).append(p)
+    cuts = {k: brute.lowest_cut(ps, k[0] in secret_scan.RICH) for k, ps in bands.items()}
+    want = {i for i, (enc, p) in value.items() if (c := cuts.get((enc, sum(len(strings[i]) >= b for b in secret_scan.BANDS)))) is not None and p >= c}
+    docs = table(spark, [r for r in rows if r[0] in value])
+    got = {r.doc_id: (r.t.enc, r.t.p) for r in secret_scan.matched(docs).selectExpr("doc_id", "_tests[0].t AS t").collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in value.items()}
+    assert all(abs(got[k][1] - value[k][1]) < 1e-9 for k in value)
+    assert {r.doc_id for r in secret_scan.secrets(docs).where("spans LIKE '%random%'").collect()} == want and len(want) > 50
+
+
+def test_chunks_equal_plain_ones(spark, rows, monkeypatch):
+    docs = table(spark, rows)
+    want = brute.shared_spans([(d, t) for d, t, _ in rows if len(t or "") < 20_000], chunk_dedup.GEAR)
+    short = docs.where("text IS NULL OR length(text) < 20000")
+    for hot in (chunk_dedup.HOT, 1):  # spread rows give the same
+        monkeypatch.setattr(chunk_dedup, "HOT", hot)
+        key = {(r.doc_id, r.n_bytes, r.shared_bytes, r.removed_bytes, r.spans) for r in chunk_dedup.report(short).collect()}
+        assert key == {(d, len(t.encode()), *v) for (d, t), v in want.items()}
+
+
+def test_scores_equal_a_plain_discriminant():
+    rng = np.random.default_rng(3)
+    d = len(quality_classifier.FEATURES)
+    x = {k: rng.normal(k, 1 + k, (60 + 40 * k, d)) @ rng.normal(0, 1, (d, d)) for k in (0, 1)}
+    sums = {k: np.column_stack([np.ones(len(v)), v]).T @ np.column_stack([np.ones(len(v)), v]) for k, v in x.items()}
+    got = quality_classifier.Discriminant(sums).score(np.vstack([x[0], x[1]]))
+    n = {k: len(v) for k, v in x.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in x.items()}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    scale = np.diag(1 / np.sqrt(np.diag(pooled)))
+    logs = []
+    for k in (0, 1):
+        own = scale @ (0.9 * cov[k] + 0.1 * pooled) @ scale
+        own = 0.98 * own + 0.02 * np.trace(own) / d * np.eye(d)
+        gap = (np.vstack([x[0], x[1]]) - x[k].mean(0)) @ scale
+        logs.append(np.log(n[k]) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * np.einsum("ij,ji->i", gap, np.linalg.solve(own, gap.T)))
+    assert np.allclose(got, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700))), atol=1e-9)
