@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scale import dense_index
+from .scale import dense_index, materialise
 
 
 def gram(df: DataFrame, y: str, xs: list[str], constant: bool = True) -> DataFrame:
@@ -135,49 +135,54 @@ def residual_diagnostics(df: DataFrame, residual: str, order: list[Column]) -> D
     return out.withColumn("durbin_watson", durbin_watson(df, residual, order).scalar()).drop("n")
 
 
-def _demean(df: DataFrame, entity: str, cols: list[str], theta: DataFrame | None) -> DataFrame:
-    """Subtract ``theta`` times the entity means (theta 1 when none is given), constant included."""
-    means = df.groupBy(entity).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    if theta is not None:
-        means = means.join(theta, entity)
-    j = df.join(means, entity)
-    th = F.col("_theta") if theta is not None else F.lit(1.0)
-    return j.select(entity, (1 - th).alias("_const"), *[(F.col(c) - th * F.col(f"_m_{c}")).alias(c) for c in cols])
+def entity_moments(df: DataFrame, entity: str, cols: list[str]) -> DataFrame:
+    """(entity, t, m, w): rows, means and sums of centred products (upper triangle, row by row) of each entity, in one scan."""
+    rows = df.select(entity, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
+    t = F.count(F.lit(1)).cast("double")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    return rows.groupBy(entity).agg(t.alias("t"), F.array(*[F.avg(c) for c in cols]).alias("m"), F.array(*[F.covar_pop(a, b) * t for a, b in pairs]).alias("w"))
+
+
+def _summed(moments: DataFrame, weight: Column, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over entities of ``weight`` times products of (1, means), as a matrix, and of the centred products."""
+    one = F.concat(F.array(F.lit(1.0)), F.col("m"))
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    inner = [(i, j) for i in range(k) for j in range(i, k)]
+    row = moments.agg(F.array(*[F.sum(weight * F.get(one, F.lit(i)) * F.get(one, F.lit(j))) for i, j in pairs]).alias("a"),
+                      F.array(*[F.sum(F.get("w", F.lit(i))) for i in range(len(inner))]).alias("b")).first()
+    means, within = np.zeros((k + 1, k + 1)), np.zeros((k + 1, k + 1))
+    for (i, j), v in zip(pairs, row["a"]):
+        means[i, j] = means[j, i] = v
+    for (i, j), v in zip(inner, row["b"]):
+        within[i + 1, j + 1] = within[j + 1, i + 1] = v
+    return means, within
 
 
 def random_effects(df: DataFrame, entity: str, y: str, xs: list[str]) -> dict:
-    """Swamy-Arora random effects for (unbalanced) panels: coefficients, variance parts, R²."""
-    cols = [y, *xs]
-    rows = df.select(entity, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    n, n_ent = rows.agg(F.count(F.lit(1)), F.count_distinct(entity)).first()
+    """Swamy-Arora random effects for (unbalanced) panels: coefficients, variance parts, R².
+
+    All fits come from the entities' moments, written once: a row less ``theta`` times its entity's mean is its
+    distance from the mean plus (1 - theta) times the mean, and the products of the two parts add up to nothing."""
+    moments = materialise(entity_moments(df, entity, [y, *xs]), "moments")
     k = len(xs)
-    within = _demean(rows, entity, cols, None)
-    xx, xy, yy, _ = _arrays(gram(within, y, xs, constant=False), y)
-    beta_w, _ = _solve(xx, xy)
-    s2e = (yy - beta_w @ xy) / (n - n_ent - k)
-    means = rows.groupBy(entity).agg(F.count(F.lit(1)).cast("double").alias("_t"), *[F.avg(c).alias(c) for c in cols])
-    bx, by, byy, _ = _arrays(gram(means, y, xs, constant=True), y)
-    beta_b, _ = _solve(bx, by)
-    t_bar = n_ent / means.agg(F.sum(1 / F.col("_t"))).first()[0]
-    s2u = max(0.0, max(byy - beta_b @ by, 0.0) / (n_ent - k - 1) - s2e / t_bar)
-    theta = means.select(entity, (1 - F.sqrt(F.lit(s2e) / (F.col("_t") * s2u + s2e))).alias("_theta"))
-    quasi = _demean(rows, entity, cols, theta)
-    qx, qy, qyy, names = _arrays(gram(quasi, y, ["_const", *xs], constant=False), y)
-    beta, inv = _solve(qx, qy)
-    sse = max(qyy - beta @ qy, 0.0)
-    se = np.sqrt(np.diag(inv) * sse / (n - k - 1))
-    slopes = dict(zip(names, beta))
-
-    def fitted():
-        out = F.lit(float(slopes["_const"]))
-        for c in xs:
-            out = out + float(slopes[c]) * F.col(c)
-        return out
-
-    def r2(frame: DataFrame, centre: bool) -> float:
-        e, v = F.col(y) - (fitted() if centre else fitted() - float(slopes["_const"])), F.col(y)
-        row = frame.agg(F.sum(e * e), (F.var_pop(v) if centre else F.avg(v * v)) * F.count(v)).first()
-        return 1 - row[0] / row[1]
-
-    return {"terms": ["const" if t == "_const" else t for t in names], "coef": beta, "se": se, "sigma2_e": float(s2e),
-            "sigma2_u": float(s2u), "r2_overall": r2(rows, True), "r2_between": r2(means, True), "r2_within": r2(within, False)}
+    between, within = _summed(moments, F.lit(1.0), k + 1)
+    total = _summed(moments, F.col("t"), k + 1)[0] + within
+    n_ent, n = between[0, 0], total[0, 0]
+    x, c = slice(2, None), [0, *range(2, k + 2)]
+    beta_w, _ = _solve(within[x, x], within[x, 1])
+    s2e = (within[1, 1] - beta_w @ within[x, 1]) / (n - n_ent - k)
+    beta_b, _ = _solve(between[np.ix_(c, c)], between[c, 1])
+    t_bar = n_ent / moments.agg(F.sum(1 / F.col("t"))).first()[0]
+    s2u = max(0.0, max(between[1, 1] - beta_b @ between[c, 1], 0.0) / (n_ent - k - 1) - s2e / t_bar)
+    # t (1 - theta)^2 with theta = 1 - sqrt(s2e / (t s2u + s2e))
+    quasi = _summed(moments, F.col("t") * F.lit(float(s2e)) / (F.col("t") * F.lit(float(s2u)) + F.lit(float(s2e))), k + 1)[0] + within
+    beta, inv = _solve(quasi[np.ix_(c, c)], quasi[c, 1])
+    sse = max(quasi[1, 1] - beta @ quasi[c, 1], 0.0)
+    left = np.array([-beta[0], 1.0, *-beta[1:]])
+
+    def r2(products: np.ndarray, centre: bool) -> float:
+        spread = products[1, 1] - (products[0, 1] ** 2 / products[0, 0] if centre else 0.0)
+        return float(1 - left @ products @ left / spread)
+
+    return {"terms": ["const", *xs], "coef": beta, "se": np.sqrt(np.diag(inv) * sse / (n - k - 1)), "sigma2_e": float(s2e),
+            "sigma2_u": float(s2u), "r2_overall": r2(total, True), "r2_between": r2(between, True), "r2_within": r2(within, False)}

@@ -386,6 +386,22 @@ def random_effects(t):
     return random_effects_frame(t)
 
 
+@query("M5_random_effects_one", with_roles("panel") + """, p AS (SELECT city_id, visitors::DOUBLE AS y, gdp/1000 AS x FROM panel WHERE visitors IS NOT NULL AND gdp IS NOT NULL),
+ e AS (SELECT city_id, count(*)::DOUBLE AS t, avg(y) AS my, avg(x) AS mx, count(*)*covar_pop(x,y) AS wxy, count(*)*var_pop(x) AS wxx, count(*)*var_pop(y) AS wyy FROM p GROUP BY 1),
+ v AS (SELECT sum(t) AS n, count(*) AS m, (sum(wyy)-sum(wxy)*sum(wxy)/sum(wxx))/(sum(t)-count(*)-1) AS s2e, count(*)*(var_pop(my)-covar_pop(mx,my)*covar_pop(mx,my)/var_pop(mx))/(count(*)-2) AS s2b, count(*)/sum(1/t) AS tbar FROM e),
+ u AS (SELECT n, s2e, greatest(0.0, s2b-s2e/tbar) AS s2u FROM v), a AS (SELECT e.*, t*s2e/(t*s2u+s2e) AS a FROM e, u),
+ g AS (SELECT sum(a) AS s0, sum(a*mx) AS sx, sum(a*my) AS sy, sum(wxx)+sum(a*mx*mx) AS sxx, sum(wxy)+sum(a*mx*my) AS sxy, sum(wyy)+sum(a*my*my) AS syy FROM a),
+ b AS (SELECT *, (sxy-sx*sy/s0)/(sxx-sx*sx/s0) AS b FROM g), c AS (SELECT *, (sy-b*sx)/s0 AS c FROM b),
+ r AS (SELECT c.*, u.*, sqrt((syy-c*sy-b*sxy)/(n-2)) AS s FROM c, u)
+ SELECT 'const' AS term, round(c,4) AS coef, round(s*sqrt(sxx/(s0*sxx-sx*sx)),4) AS se, round(s2e,4) AS sigma2_e, round(s2u,4) AS sigma2_u FROM r
+ UNION ALL SELECT 'gdp_thousand', round(b,4), round(s*sqrt(s0/(s0*sxx-sx*sx)),4), round(s2e,4), round(s2u,4) FROM r""")
+def random_effects_one(t):
+    r = E.random_effects(t.facts.withColumn("gdp_thousand", F.col("gdp") / 1000), "city_id", "visitors", ["gdp_thousand"])
+    rows = [(n, float(c), float(s), r["sigma2_e"], r["sigma2_u"]) for n, c, s in zip(r["terms"], r["coef"], r["se"])]
+    frame = t.spark.createDataFrame(rows, "term string, coef double, se double, sigma2_e double, sigma2_u double")
+    return frame.select("term", *[F.round(c, 4).alias(c) for c in frame.columns[1:]])
+
+
 @query("M6_model_vs_econometrics")
 def model_vs_econometrics(t):
     p = t.facts

@@ -310,6 +310,38 @@ def test_random_effects_recovers_slopes(spark):
     assert 2 < r["sigma2_u"] < 8 and r["r2_within"] > 0.9
 
 
+def test_random_effects_equal_a_plain_fit(spark):
+    """Unequal entities, one of a single row, a null and a regressor that is constant in some; rows are transformed one by one here."""
+    rng = np.random.RandomState(9)
+    data = [(c, float(a), float(b), float(3 + 2 * a - b + u + rng.normal(scale=0.5))) for c, u in enumerate(rng.normal(scale=1.5, size=12))
+            for a, b in rng.normal(5, 2, (1 + c % 5 * 3, 2))]
+    got = econometrics.random_effects(spark.createDataFrame([*data, (0, None, 1.0, 9.0)], "c int, a double, b double, y double"), "c", "y", ["a", "b"])
+    c = np.array([r[0] for r in data])
+    v = np.array([r[1:] for r in data])
+    t = np.array([np.sum(c == i) for i in range(12)])
+    m = np.array([v[c == i].mean(0) for i in range(12)])
+    w = v - m[c]
+    n, k = len(v), 2
+    slope = np.linalg.lstsq(w[:, :2], w[:, 2], rcond=None)[0]
+    s2e = np.sum((w[:, 2] - w[:, :2] @ slope) ** 2) / (n - 12 - k)
+    mx = np.column_stack([np.ones(12), m[:, :2]])
+    sse_b = np.sum((m[:, 2] - mx @ np.linalg.lstsq(mx, m[:, 2], rcond=None)[0]) ** 2)
+    s2u = max(0.0, sse_b / (12 - k - 1) - s2e * np.mean(1 / t))
+    theta = 1 - np.sqrt(s2e / (t * s2u + s2e))
+    q = np.column_stack([1 - theta[c], v - theta[c][:, None] * m[c]])
+    beta = np.linalg.lstsq(q[:, :3], q[:, 3], rcond=None)[0]
+    res = q[:, 3] - q[:, :3] @ beta
+    se = np.sqrt(np.diag(np.linalg.inv(q[:, :3].T @ q[:, :3])) * (res @ res) / (n - k - 1))
+    assert got["terms"] == ["const", "a", "b"] and got["coef"] == pytest.approx(beta) and got["se"] == pytest.approx(se)
+    assert (got["sigma2_e"], got["sigma2_u"]) == (pytest.approx(s2e), pytest.approx(s2u))
+    e = v[:, 2] - beta[0] - v[:, :2] @ beta[1:]
+    eb = m[:, 2] - mx @ beta
+    ew = w[:, 2] - w[:, :2] @ beta[1:]
+    assert got["r2_overall"] == pytest.approx(1 - e @ e / np.sum((v[:, 2] - v[:, 2].mean()) ** 2))
+    assert got["r2_between"] == pytest.approx(1 - eb @ eb / np.sum((m[:, 2] - m[:, 2].mean()) ** 2))
+    assert got["r2_within"] == pytest.approx(1 - ew @ ew / np.sum(w[:, 2] ** 2))
+
+
 def test_partial_dependence_is_the_analytic_line(linear):
     pred = lambda df: df.withColumn("prediction", 1 + 3 * F.col("a") - F.col("b"))
     out = rows(explain.partial_dependence(linear, ["a", "b"], {"a": (0.0, 2.0, 3)}, pred), "value")
