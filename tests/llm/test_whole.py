@@ -99,7 +99,7 @@ def test_long_postings_meet_through_hubs(spark, monkeypatch, bits):
 
 
 def test_lone_keys_are_found(spark):
-    """One, two or three keys among plain documents, all with a p of LONE or more; no string of the plain ones is taken."""
+    """One, two or three keys among plain documents: those with a p of LONE or more are found; no string of the plain ones is taken."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     plain = ["see internationalization of getUserNameFromTable2 and http/paths/of/some/kind here", "a compartmentalization_of_things in some_long_name_of_a_thing", "x" * 40]
     for n in (1, 2, 3):
@@ -107,7 +107,8 @@ def test_lone_keys_are_found(spark):
         keys = {i: "".join(rng.choice(letters) for _ in range(40)) for i in range(n)}
         rows = [(i, f"so {k} it is", "s") for i, k in keys.items()] + [(i, plain[i % 3], "s") for i in range(n, 300)]
         found = {r.doc_id for r in secret_scan.secrets(table(spark, rows)).where("spans LIKE '%random%'").collect()}
-        assert found == {i for i, k in keys.items() if brute.randomness(k, secret_scan.ENCODINGS)[1] >= secret_scan.LONE} and found
+        sure = {i for i, k in keys.items() if brute.randomness(k, secret_scan.ENCODINGS)[1] >= secret_scan.LONE}
+        assert sure and sure <= found <= set(keys)  # others may pass the band's own cutoff
 
 
 def test_battery_and_cutoffs_equal_plain_ones(spark):
