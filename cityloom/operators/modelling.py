@@ -13,7 +13,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import forest, knn, penalised
+from . import forest, knn, penalised, support
 from .scale import hash_bucket, materialise
 
 
@@ -171,11 +171,14 @@ SEARCH_SPACE = {
     "gradient_boosting": {"depth": list(range(2, 25)), "trees": list(range(2, 100))},
     "boosted_trees": {"depth": list(range(2, 25)), "trees": list(range(2, 300)), "gamma": np.linspace(0, 0.5, 20).tolist()},
     "boosted_trees_compact": {"depth": list(range(2, 25)), "trees": list(range(2, 500)), "gamma": [0, 0.1, 0.2, 0.3, 0.4]},
+    "svr": {"kernel": ["linear"], "epsilon": np.linspace(0.001, 1, 20).tolist()},
+    "svr_kernel": {"c": lambda rng: rng.uniform(0.1, 1000.1), "epsilon": lambda rng: rng.uniform(0.01, 1.01), "kernel": ["linear", "rbf", "poly"],
+                   "gamma": lambda rng: rng.choice(["scale", "auto", *[rng.uniform(0.001, 1.001) for _ in range(10)]])},
 }
 SEARCH_DEGREE = {"lasso": 2, "elastic_net": 2}
 SEARCH_DRAWS = {"lasso": 50, "ridge": 50, "elastic_net": 20, "knn": 70, "decision_tree": 100, "random_forest": 70, "gradient_boosting": 70, "boosted_trees": 70,
-                "boosted_trees_compact": 70}
-STOP_AT = {"boosted_trees": (0.98, 0.98), "boosted_trees_compact": (0.98, 0.98)}
+                "boosted_trees_compact": 70, "svr": 70, "svr_kernel": 5}
+STOP_AT = {"boosted_trees": (0.98, 0.98), "boosted_trees_compact": (0.98, 0.98), "svr": (0.98, 0.98), "svr_kernel": (0.98, 0.98)}
 
 
 def split_folds(key: Column, folds: int, seed: int) -> Column:
@@ -199,6 +202,9 @@ def score_draws(df: DataFrame, key: Column, fold: Column, columns: list[str], ta
     elif kind == "knn":
         board = knn.neighbour_scores(df, key, fold, columns, target, max(p["k"] for p in drawn), folds)
         found = [[board["euclidean" if p["metric"] == "minkowski" else p["metric"], p["weights"], p["k"], f] for f in (forest.TEST, *range(folds))] for p in drawn]
+    elif kind in ("svr", "svr_kernel"):
+        found = support.fit_many(df, key, fold, columns, target, support.search_specs(drawn, folds))[1]
+        found = [found[i:i + folds + 1] for i in range(0, len(found), folds + 1)]
     else:
         raise ValueError(f"no search over {kind}")
     return [(float(np.mean(r[1:])), float(r[0])) for r in found]
@@ -206,7 +212,7 @@ def score_draws(df: DataFrame, key: Column, fold: Column, columns: list[str], ta
 
 def draw(kind: str, draws: int | None, seed: int, space: dict | None = None) -> list[dict]:
     rng, space = random.Random(seed), space or SEARCH_SPACE[kind]
-    return [{"degree": SEARCH_DEGREE.get(kind, 1)} | {k: rng.choice(v) for k, v in space.items()} for _ in range(draws or SEARCH_DRAWS[kind])]
+    return [{"degree": SEARCH_DEGREE.get(kind, 1)} | {k: v(rng) if callable(v) else rng.choice(v) for k, v in space.items()} for _ in range(draws or SEARCH_DRAWS[kind])]
 
 
 def random_search(df: DataFrame, key: Column, columns: list[str], target: str, kind: str, draws: int | None = None, seed: int = 42,

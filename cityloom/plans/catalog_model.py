@@ -9,6 +9,7 @@ from ..operators import econometrics as E
 from ..operators import explain as X
 from ..operators import forest, penalised
 from ..operators import modelling as M
+from ..operators import support
 from .registry import query
 from .tables import with_roles
 
@@ -259,6 +260,13 @@ def linear_svr(t):
     return M.regression_metrics(M.svr_predict(model, test), "visitors", "prediction", unit=model["y"][1])
 
 
+@query("L20_kernel_svr")
+def kernel_svr(t):
+    train, test = split(t)
+    model = support.fit(train, F.col("row_id"), FEATURES, "visitors", kernel="rbf", c=10.0, epsilon=0.05)
+    return M.regression_metrics(model.predict(test), "visitors", "prediction", unit=model.target[1])
+
+
 def _register_search(op: str, kind: str, columns=FEATURES):
     @query(op)
     def run(t):
@@ -266,7 +274,7 @@ def _register_search(op: str, kind: str, columns=FEATURES):
 
 
 _register_search("L21_random_search", "ridge")
-for _kind in ("lasso", "elastic_net", "knn", "decision_tree", "random_forest", "gradient_boosting", "boosted_trees"):
+for _kind in ("lasso", "elastic_net", "knn", "decision_tree", "random_forest", "gradient_boosting", "boosted_trees", "svr"):
     _register_search(f"L21_random_search_{_kind}", _kind)
 _register_search("L21_random_search_boosted_trees_compact", "boosted_trees_compact", ["gdp", "trip_spend", "crimes"])
 
@@ -281,6 +289,11 @@ def randomized_search_cv_boosted(t):
     return M.randomized_search_cv(split(t)[0], FEATURES, "visitors", F.col("row_id"), "boosted_trees", draws=5)
 
 
+@query("L22_randomized_search_cv_svr")
+def randomized_search_cv_svr(t):
+    return M.randomized_search_cv(split(t)[0], FEATURES, "visitors", F.col("row_id"), "svr_kernel", draws=5)
+
+
 # -- econometrics -----------------------------------------------------------------------------
 
 SIX = ["crimes", "trip_spend", "thefts", "daily_spend", "month", "gdp"]
