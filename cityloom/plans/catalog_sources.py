@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import ATTRACTIONS
 from ..functions.text import clean_name, parse_decimal_comma
 from ..operators.scale import scratch_path
-from ..sources import readers, schemas
+from ..sources import readers, schemas, workbooks
 from .registry import query
 from .tables import with_roles
 
@@ -35,6 +35,16 @@ def spreadsheet_feed(t):
                       parse_decimal_comma(F.col("VALOR (unidades)")).alias("value"))
 
 
+@query("A2_workbook", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority, o_totalprice FROM orders""")
+def workbook(t):
+    """Orders as workbooks of up to 4 096 keys each, read back from their bytes."""
+    names = ["o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice"]
+    books = workbooks.encode(t.orders.withColumn("block", F.expr("o_orderkey div 4096")), ["block"], ["o_orderkey"], names)
+    rows = workbooks.table(workbooks.decode(books.select(F.concat(F.lit("orders-"), "block").alias("path"), "content"), "data"), names)
+    return rows.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.substring("o_orderdate", 1, 10).alias("day"), "o_orderpriority",
+                       F.col("o_totalprice").cast("double").alias("o_totalprice"))
+
+
 @query("A3_promote_header", """SELECT strftime(o_orderdate, '%Y-%m-%d') AS "FECHA HECHO", o_orderpriority AS "MUNICIPIO",
   CAST(o_custkey AS VARCHAR) AS "CANTIDAD" FROM orders""")
 def promote_header(t):
