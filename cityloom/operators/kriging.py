@@ -12,55 +12,82 @@ from pyspark.sql.functions import pandas_udf
 from .scale import blocks, materialise, salted_join
 
 
+#: Rows of a block of places that are compared at a time: arrays of 1 MB.
+PAIR_ROWS = 256
+_PLACE = ("x", "y", "n", "m", "q")
+
+
+def _places(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group..., x, y, n, m, q): the rows at one place by their number, mean and sum of squares about the mean."""
+    v = F.col("v")
+    rows = df.select(*group, "x", "y", F.col(value).cast("double").alias("v")).where("v is not null")
+    flat = F.min(v) == F.max(v)
+    return rows.groupBy(*group, "x", "y").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.when(flat, F.min(v)).otherwise(F.avg(v)).alias("m"),
+        F.when(flat, F.min(v) - F.max(v)).otherwise(F.var_pop(v) * F.count(F.lit(1))).alias("q"))
+
+
 def _pair_blocks(packed: DataFrame, group: list[str]) -> DataFrame:
-    """Each unordered pair of point blocks of a group once, as arrays; points stay packed."""
-    arrays = lambda s: [F.col(f"items.{f}").alias(f"{f}{s}") for f in ("x", "y", "v")]
+    """Each unordered pair of blocks of a group once, as arrays; places stay packed."""
+    arrays = lambda s: [F.col(f"items.{f}").alias(f"{f}{s}") for f in _PLACE]
     a = packed.select(*group, F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("n_blocks") - 1)).alias("j"), *arrays("a"))
     return a.join(packed.select(*group, F.col("block").alias("j"), *arrays("b")), [*group, "j"])
 
 
-def _pairs(i, j, xa, ya, xb, yb):
-    d = np.sqrt((xa[:, None] - xb[None, :]) ** 2 + (ya[:, None] - yb[None, :]) ** 2)
-    keep = np.triu(np.ones(d.shape, dtype=bool), 1) if i == j else np.ones(d.shape, dtype=bool)
-    return d, keep
+def _pairs(i, j, a, b):
+    """(distances, pairs of rows, sums of half squared differences) of two blocks of places ``(x, y, n, m, q)``, flat and some rows
+    at a time. In a block against itself each pair counts once; rows that share a place are a pair at distance 0."""
+    a, b = [np.asarray(c, float) for c in a], [np.asarray(c, float) for c in b]
+    for at in range(0, len(a[0]), PAIR_ROWS):
+        x, y, n, m, q = (c[at:at + PAIR_ROWS, None] for c in a)
+        d = np.sqrt((x - b[0]) ** 2 + (y - b[1]) ** 2)
+        pairs = n * b[2]
+        g = 0.5 * (pairs * (m - b[3]) ** 2 + n * b[4] + q * b[2])
+        if i == j:
+            rows = np.arange(len(d))
+            pairs[rows, at + rows] = (n * (n - 1) / 2)[:, 0]
+            g[rows, at + rows] = (n * q / 2)[:, 0]
+            pairs[np.arange(len(b[0])) < at + rows[:, None]] = 0.0
+        keep = pairs > 0
+        yield d[keep], pairs[keep], g[keep]
 
 
 @pandas_udf(T.StructType().add("lo", "double").add("hi", "double"))
-def _pair_range(i: pd.Series, j: pd.Series, xa: pd.Series, ya: pd.Series, xb: pd.Series, yb: pd.Series) -> pd.DataFrame:
+def _pair_range(i: pd.Series, j: pd.Series, xa: pd.Series, ya: pd.Series, na: pd.Series, ma: pd.Series, qa: pd.Series,
+                xb: pd.Series, yb: pd.Series, nb: pd.Series, mb: pd.Series, qb: pd.Series) -> pd.DataFrame:
     out = []
-    for args in zip(i, j, xa, ya, xb, yb):
-        d, keep = _pairs(*args)
-        out.append((d[keep].min(), d[keep].max()) if keep.any() else (None, None))
+    for ii, jj, *c in zip(i, j, xa, ya, na, ma, qa, xb, yb, nb, mb, qb):
+        ends = [(d.min(), d.max()) for d, _, _ in _pairs(ii, jj, c[:5], c[5:]) if len(d)]
+        out.append((np.min([e[0] for e in ends]), np.max([e[1] for e in ends])) if ends else (None, None))
     return pd.DataFrame(out, columns=["lo", "hi"]).astype("float64")
 
 
 def _bin_udf(n_lags: int):
     @pandas_udf(T.ArrayType(T.DoubleType()))
-    def binned(i: pd.Series, j: pd.Series, xa: pd.Series, ya: pd.Series, va: pd.Series, xb: pd.Series,
-               yb: pd.Series, vb: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+    def binned(i: pd.Series, j: pd.Series, xa: pd.Series, ya: pd.Series, na: pd.Series, ma: pd.Series, qa: pd.Series, xb: pd.Series,
+               yb: pd.Series, nb: pd.Series, mb: pd.Series, qb: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
         out = []
-        for ii, jj, x1, y1, v1, x2, y2, v2, l, h in zip(i, j, xa, ya, va, xb, yb, vb, lo, hi):
-            d, keep = _pairs(ii, jj, x1, y1, x2, y2)
-            g = 0.5 * (v1[:, None] - v2[None, :]) ** 2
-            d, g = d[keep], g[keep]
-            step = (h - l) / n_lags
-            lag = np.minimum(np.floor((d - l) / step) if step > 0 else np.zeros_like(d), n_lags - 1).astype(int)
-            out.append(np.concatenate([np.bincount(lag, minlength=n_lags), np.bincount(lag, d, n_lags),
-                                       np.bincount(lag, g, n_lags)]).astype(float))
+        for ii, jj, *c, l, h in zip(i, j, xa, ya, na, ma, qa, xb, yb, nb, mb, qb, lo, hi):
+            sums, step = np.zeros(3 * n_lags), (h - l) / n_lags
+            for d, n, g in _pairs(ii, jj, c[:5], c[5:]):
+                lag = np.minimum(np.floor((d - l) / step) if step > 0 else np.zeros_like(d), n_lags - 1).astype(int)
+                sums += np.concatenate([np.bincount(lag, n, n_lags), np.bincount(lag, n * d, n_lags), np.bincount(lag, g, n_lags)])
+            out.append(sums)
         return pd.Series(out)
 
     return binned
 
 
 def empirical_variogram(df: DataFrame, group: list[str], key: str, value: str, n_lags: int = 6) -> DataFrame:
-    """(group..., lag, n_pairs, distance, semivariance) over equal-width distance bins."""
-    pts = df.select(*group, F.col(key).alias("_id"), "x", "y", F.col(value).cast("double").alias("v")).where("v is not null")
-    pairs = _pair_blocks(materialise(blocks(pts, group, ["_id"], ["x", "y", "v"]), "points"), group)
-    cols = lambda *n: [F.col(c) for c in n]
-    rng = pairs.select(*group, _pair_range(*cols("i", "j", "xa", "ya", "xb", "yb")).alias("r")).groupBy(*group).agg(
-        F.min("r.lo").alias("lo"), F.max("r.hi").alias("hi"))
-    sums = pairs.join(rng.where("lo is not null"), group).select(
-        *group, _bin_udf(n_lags)(*cols("i", "j", "xa", "ya", "va", "xb", "yb", "vb", "lo", "hi")).alias("s"))
+    """(group..., lag, n_pairs, distance, semivariance) over equal-width distance bins, from all pairs of rows.
+
+    Rows at one place are at the same distance from any other, so places meet, with the number, mean and spread of their rows: the
+    work grows with the square of a group's places, not of its rows."""
+    packed = blocks(_places(df, group, value), group, ["x", "y"], list(_PLACE))
+    pairs = _pair_blocks(materialise(packed, "points"), group)
+    cols = [F.col(c) for c in ("i", "j", *[f"{f}{s}" for s in "ab" for f in _PLACE])]
+    rng = pairs.select(*group, _pair_range(*cols).alias("r")).groupBy(*group).agg(F.min("r.lo").alias("lo"), F.max("r.hi").alias("hi"))
+    sums = pairs.join(rng.where("lo is not null"), group).select(*group, _bin_udf(n_lags)(*cols, F.col("lo"), F.col("hi")).alias("s"))
     total = sums.groupBy(*group).agg(F.array(*[F.sum(F.get("s", F.lit(k))) for k in range(3 * n_lags)]).alias("s"))
     lags = F.explode(F.sequence(F.lit(0), F.lit(n_lags - 1)))
     out = total.withColumn("lag", lags).withColumn("n_pairs", F.get("s", F.col("lag")).cast("long")).where("n_pairs > 0")

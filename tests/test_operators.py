@@ -147,6 +147,31 @@ def test_kriging_invariants(spark):
     assert {round(r["v"], 6) for r in full.collect()} == {3.5} and full.count() == 40
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_variogram_meets_places_not_rows(spark, monkeypatch, block):
+    """Sums over all pairs of rows; 60 rows at 7 places are packed as 7."""
+    monkeypatch.setattr(scale, "BLOCK_ROWS", block)
+    packed, pair_blocks = [], kriging._pair_blocks
+
+    def counted(blocks, group):
+        packed.append(blocks.agg(F.sum(F.size("items"))).first()[0])
+        return pair_blocks(blocks, group)
+
+    monkeypatch.setattr(kriging, "_pair_blocks", counted)
+    rng = np.random.RandomState(5)
+    at = rng.uniform(0, 100, (7, 2))
+    data = [("g", i, *map(float, at[i % 7]), float(rng.normal(50, 3))) for i in range(60)]
+    obs = spark.createDataFrame([*data, ("g", 60, 1.0, 1.0, None), ("one", 0, 1.0, 1.0, 4.0)], "g string, id int, x double, y double, v double")
+    got = {r["lag"]: (r["n_pairs"], r["distance"], r["semivariance"]) for r in kriging.empirical_variogram(obs, ["g"], "id", "v").collect()}
+    p = [(math.sqrt((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2), (a[4] - b[4]) ** 2 / 2) for i, a in enumerate(data) for b in data[:i]]
+    step, want = max(d for d, _ in p) / 6, {}
+    for d, g in p:
+        want.setdefault(min(5, int(d / step)), []).append((d, g))
+    assert packed == [8] and got.keys() == want.keys()
+    for lag, found in want.items():
+        assert got[lag] == (len(found), pytest.approx(np.mean([d for d, _ in found])), pytest.approx(np.mean([g for _, g in found])))
+
+
 @pytest.mark.parametrize("n, rows", [(12, 512), (10, 6)])
 def test_kriging_against_dense_solve(spark, monkeypatch, n, rows):
     """All stations count, in one block or in many; two stations at one place count by their mean."""
