@@ -71,3 +71,14 @@ def test_long_sheet_leaves_in_batches(spark):
     df = spark.createDataFrame([("long", B.bytes_of(["i", "t"], rows))], "path string, content binary")
     got = B.table(B.decode(df), ["i", "t"]).agg(F.count("*"), F.sum(F.col("i").cast("long")), F.max(F.length("t"))).first()
     assert tuple(got) == (len(rows), sum(range(len(rows))), 1)
+
+
+def test_rows_of_a_key_pass_as_a_stream(spark):
+    """No list of a key's rows is gathered; keys may be null or lie in several batches."""
+    df = spark.range(0, 30_000).select(F.when(F.col("id") < 25_000, F.col("id") % 2).alias("k"), "id", F.lit("x").alias("t"))
+    books = B.encode(df, ["k"], ["id"], ["id", "t"])
+    assert "collect_list" not in books._jdf.queryExecution().toString()
+    got = {r["k"]: r["content"] for r in books.collect()}
+    assert got.keys() == {None, 0, 1}
+    for k, want in {None: range(25_000, 30_000), 0: range(0, 25_000, 2), 1: range(1, 25_000, 2)}.items():
+        assert [c[0] for _, c in B.Workbook(bytes(got[k])).rows("xl/worksheets/sheet1.xml")] == ["id", *map(str, want)]
