@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .scale import blocks, materialise, salted_join
+from .scale import blocks, discard, materialise, salted_join
 
 
 #: Rows of a block of places that are compared at a time: arrays of 1 MB.
@@ -125,16 +125,34 @@ def spherical_fit(variogram: DataFrame, group: list[str], steps: int = 20) -> Da
 
 def _covariance(d, psill, rng, nugget):
     """Sill minus semivariance; the nugget counts at distance 0 only."""
-    u = np.where(d <= rng, d / (rng if rng > 0 else 1.0), 1.0)
-    return psill * (1 - (1.5 * u - 0.5 * u**3)) + np.where(d == 0, nugget, 0.0)
+    u = np.fmin(d / rng, 1.0) if rng > 0 else np.where(d <= rng, d, 1.0)
+    c = u * u
+    c -= 3.0
+    c *= u
+    c *= 0.5 * psill
+    c += psill
+    if nugget:
+        c[d == 0] += nugget
+    return c
 
 
 def _between(xa, ya, xb, yb):
     return np.sqrt((xa[:, None] - xb[None, :]) ** 2 + (ya[:, None] - yb[None, :]) ** 2)
 
 
-#: Points of a block of the covariance matrix: 32 MB for a pair of blocks, and few steps for groups of a few thousand.
-BLOCK_POINTS = 2048
+def _products(xa, ya, xb, yb, psill, rng, nugget, right, left=None):
+    """(C right, transposed C left) for the covariances C of two blocks, ``PAIR_ROWS`` rows of C at a time."""
+    out, back = [], 0.0
+    for at in range(0, len(xa), PAIR_ROWS):
+        c = _covariance(_between(xa[at:at + PAIR_ROWS], ya[at:at + PAIR_ROWS], xb, yb), psill, rng, nugget)
+        out.append(c @ right)
+        if left is not None:
+            back = back + c.T @ left[at:at + PAIR_ROWS]
+    return np.concatenate(out), back
+
+
+#: Points of a block of the covariance matrix. Each step solves with every block's own covariance (8 MB), which costs the cube of this number.
+BLOCK_POINTS = 1024
 #: Targets of a block: 8 MB for a pair with a block of points.
 BLOCK_TARGETS = 512
 _VECTOR = "array<double>"
@@ -188,20 +206,21 @@ def _near(asked: DataFrame, held: DataFrame, group: list[str], reach: DataFrame)
     return met.where(apart("x") ** 2 + apart("y") ** 2 <= (F.col("range") * (1 + 1e-9)) ** 2).select(*group, "block", "_j")
 
 
-def dual_weights(points: DataFrame, model: DataFrame, group: list[str], tolerance: float = 1e-10, most: int = 200) -> DataFrame:
+def dual_weights(points: DataFrame, model: DataFrame, group: list[str], tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
     """(group..., block, x, y, w, mu, psill, range, nugget): the weights of ordinary kriging in dual form, from all
     points ``(group..., x, y, v)`` of a group, no two at one place.
 
     With C the covariances of the points, C a = v and C b = 1 give mu = sum(a) / sum(b) and w = a - mu b. Both
     systems are solved by conjugate gradients over blocks of neighbouring points: a product with C is a join of the block
-    pairs within the range, listed once, and a sum, and every block's own covariance preconditions it, so a group of one block takes one step. A group stops when both
+    pairs within the range, listed once and each used for both of its blocks, and a sum, and every block's own covariance preconditions it, so a group of one block takes one step. A group stops when both
     residuals are below ``tolerance`` of their start; ``most`` steps without that are an error. Groups without a
     model or with a model of zero have w = 0 and mu = the mean of v."""
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("psill", "range", "nugget")}
     packed = _tiles(points, group, ["x", "y", "v"], BLOCK_POINTS).join(model.select(*group, *zero), group, "left")
     packed = materialise(packed.select(*group, "block", *[F.col(f"items.{c}").alias(c) for c in ("x", "y", "v")], *zero.values()), "points")
     fixed = packed.drop("v")
-    pairs = materialise(_near(fixed, fixed, group, fixed.select(*group, "range").distinct()), "pairs")
+    near = _near(fixed, fixed, group, fixed.select(*group, "range").distinct())
+    pairs = materialise(near.where("block <= _j"), "pairs")
     keys = [*group, "block"]
     kinds = _apart(keys, packed)
 
@@ -222,9 +241,12 @@ def dual_weights(points: DataFrame, model: DataFrame, group: list[str], toleranc
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                arrays = {c: np.asarray(row[c], float) for c in ("x", "y", "xb", "yb", "p0", "p1")}
-                c = _covariance(_between(arrays["x"], arrays["y"], arrays["xb"], arrays["yb"]), row["psill"], row["range"], row["nugget"])
-                out.append([row[k] for k in keys] + [c @ arrays["p0"], c @ arrays["p1"]])
+                p, pb = (np.column_stack([np.asarray(row[f"p{i}{side}"], float) for i in "01"]) for side in ("", "b"))
+                own = row["block"] == row["_j"]
+                at = [np.asarray(row[c], float) for c in ("x", "y", "xb", "yb")]
+                q, back = _products(*at, row["psill"], row["range"], row["nugget"], pb, None if own else p)
+                for block, v in [(row["block"], q)] + ([] if own else [(row["_j"], back)]):
+                    out.append([row[k] for k in group] + [block, v[:, 0].copy(), v[:, 1].copy()])
             yield pd.DataFrame(out, columns=[*keys, "q0", "q1"])
 
     def advance(batches):
@@ -260,17 +282,19 @@ def dual_weights(points: DataFrame, model: DataFrame, group: list[str], toleranc
         for i in "01":
             beta = F.when(F.col(f"old{i}") > 0, F.col(f"rho{i}") / F.col(f"old{i}")).otherwise(F.lit(0.0))
             turn = turn.withColumn(f"_b{i}", beta).withColumn(f"p{i}", _moved(i))
-        turn = turn.drop("_b0", "_b1")
-        right = turn.select(*group, F.col("block").alias("_j"), "p0", "p1").join(fixed.select(*group, F.col("block").alias("_j"), F.col("x").alias("xb"), F.col("y").alias("yb")), [*group, "_j"])
-        left = fixed.join(pairs, keys)
-        met = left.join(right, [*group, "_j"]).select(*keys, "x", "y", "xb", "yb", "p0", "p1", "psill", "range", "nugget")
+        turn = materialise(turn.select(*keys, *_STATE, "rho0", "rho1"), "turn")
+        side = fixed.join(turn.select(*keys, "p0", "p1"), keys)
+        right = side.select(*group, F.col("block").alias("_j"), *[F.col(c).alias(f"{c}b") for c in ("x", "y", "p0", "p1")])
+        met = side.join(pairs, keys).join(right, [*group, "_j"])
         parts = met.mapInPandas(product, f"{kinds}, q0 {_VECTOR}, q1 {_VECTOR}")
         summed = parts.groupBy(*keys).agg(*[F.collect_list(f"q{i}").alias(f"q{i}") for i in "01"])
-        summed = summed.select(*keys, *[_added(f"q{i}").alias(f"q{i}") for i in "01"])
+        summed = materialise(summed.select(*keys, *[_added(f"q{i}").alias(f"q{i}") for i in "01"]), "products")
+        spent = [state.written_to, turn.written_to, summed.written_to]
         turn = turn.join(summed, keys)
         pq = turn.groupBy(*group).agg(*[F.sum(dot(f"p{i}", f"q{i}")).alias(f"pq{i}") for i in "01"])
         whole = turn.join(pq, group).join(fixed.select(*keys, "x", "y", "psill", "range", "nugget"), keys)
         state = materialise(whole.mapInPandas(advance, shape), "state")
+        discard(points.sparkSession, spent)
         past = before.select(*group, *[F.col(f"rho{i}").alias(f"old{i}") for i in "01"])
         before = materialise(scalars(state), "scalars")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
@@ -283,30 +307,31 @@ def dual_weights(points: DataFrame, model: DataFrame, group: list[str], toleranc
 
 def krige(observed: DataFrame, targets: DataFrame, model: DataFrame, group: list[str], target_key: str, value: str) -> DataFrame:
     """(group..., target, estimate) from all observations of the group; those at one place count by their mean.
-    A target whose group has no observation gets no row."""
+    A target whose group has no observation gets no row; targets at one place are worked out once."""
     points = observed.where(F.col(value).isNotNull()).groupBy(*group, "x", "y").agg(F.avg(F.col(value).cast("double")).alias("v"))
     weights = materialise(dual_weights(points, model, group), "weights")
     asked = targets.select(*group, F.col(target_key).alias("_key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    asked = _tiles(asked.join(weights.select(*group).distinct(), group, "left_semi"), group, ["_key", "x", "y"], BLOCK_TARGETS)
-    asked = materialise(asked.select(*group, "block", *[F.col(f"items.{c}").alias(c) for c in ("_key", "x", "y")]), "targets")
+    asked = materialise(asked.join(weights.select(*group).distinct(), group, "left_semi"), "asked")
+    places = _tiles(asked.where("x IS NOT NULL AND y IS NOT NULL").select(*group, "x", "y").distinct(), group, ["x", "y"], BLOCK_TARGETS)
+    places = materialise(places.select(*group, "block", *[F.col(f"items.{c}").alias(c) for c in ("x", "y")]), "targets")
     reach = weights.groupBy(*group).agg(F.first("range").alias("range"), F.first("mu").alias("mu"))
-    pairs = _near(asked, weights, group, reach.drop("mu"))
+    pairs = _near(places, weights, group, reach.drop("mu"))
 
     @pandas_udf(_VECTOR)
     def effect(tx: pd.Series, ty: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, psill: pd.Series, rng: pd.Series, nugget: pd.Series) -> pd.Series:
         out = []
         for a, b, xs, ys, ws, p, r, n in zip(tx, ty, x, y, w, psill, rng, nugget):
             a, b, xs, ys, ws = (np.asarray(v, float) for v in (a, b, xs, ys, ws))
-            out.append(_covariance(_between(a, b, xs, ys), p, r, n) @ ws)
+            out.append(_products(a, b, xs, ys, p, r, n, ws)[0])
         return pd.Series(out)
 
     held = weights.select(*group, F.col("block").alias("_j"), F.col("x").alias("xs"), F.col("y").alias("ys"), "w", "psill", "range", "nugget")
-    met = asked.join(pairs, [*group, "block"]).join(held, [*group, "_j"])
+    met = places.join(pairs, [*group, "block"]).join(held, [*group, "_j"])
     parts = met.select(*group, "block", effect("x", "y", "xs", "ys", "w", "psill", "range", "nugget").alias("e"))
     parts = parts.groupBy(*group, "block").agg(F.collect_list("e").alias("e")).select(*group, "block", _added("e").alias("e"))
-    out = asked.select(*group, "block", "_key").join(parts, [*group, "block"], "left").join(reach.drop("range"), group)
-    each = F.arrays_zip(F.col("_key").alias("k"), F.coalesce("e", F.transform("_key", lambda k: F.lit(0.0))).alias("e"))
-    return out.select(*group, "mu", F.explode(each).alias("_z")).select(*group, F.col("_z.k").alias(target_key), (F.col("mu") + F.col("_z.e")).alias("estimate"))
+    each = places.join(parts, [*group, "block"]).select(*group, F.explode(F.arrays_zip("x", "y", "e")).alias("_z")).select(*group, "_z.*")
+    out = asked.join(each, [*group, "x", "y"], "left").join(reach.drop("range"), group)
+    return out.select(*group, F.col("_key").alias(target_key), (F.col("mu") + F.coalesce("e", F.lit(0.0))).alias("estimate"))
 
 
 def fill_by_kriging(df: DataFrame, group: list[str], key: str, value: str) -> DataFrame:

@@ -172,6 +172,16 @@ def test_variogram_meets_places_not_rows(spark, monkeypatch, block):
         assert got[lag] == (len(found), pytest.approx(np.mean([d for d, _ in found])), pytest.approx(np.mean([g for _, g in found])))
 
 
+def test_kriging_targets_at_one_place_are_worked_out_once(spark, monkeypatch):
+    asked, products = [], kriging._near
+    monkeypatch.setattr(kriging, "_near", lambda a, b, *c: asked.append(a.agg(F.sum(F.size("x"))).first()[0]) or products(a, b, *c))
+    obs = spark.createDataFrame([("g", float(i), float(i * i), float(i % 3)) for i in range(9)], "g string, x double, y double, v double")
+    t = spark.createDataFrame([("g", i, float(i % 2), 0.5) for i in range(50)], "g string, t int, x double, y double")
+    m = spark.createDataFrame([("g", 2.0, 30.0, 0.5)], "g string, psill double, range double, nugget double")
+    got = {r["t"]: r["estimate"] for r in kriging.krige(obs, t, m, ["g"], "t", "v").collect()}
+    assert asked == [9, 2] and len(got) == 50 and len(set(got.values())) == 2
+
+
 @pytest.mark.parametrize("n, rows", [(12, 512), (10, 6)])
 def test_kriging_against_dense_solve(spark, monkeypatch, n, rows):
     """All stations count, in one block or in many; two stations at one place count by their mean."""
