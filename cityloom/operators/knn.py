@@ -42,42 +42,79 @@ def _cells_udf(pivots: np.ndarray, metric: str):
     return nearest
 
 
-def _candidates_udf(pivots, cells, counts, radii, metric, k):
-    """Cells that may hold one of the k nearest donors, by the triangle inequality."""
-
-    @pandas_udf(T.ArrayType(T.IntegerType()))
-    def candidates(f: pd.Series) -> pd.Series:
-        d = _distances(_matrix(f), pivots[cells], metric)
-        reach = d + radii
-        order = np.argsort(reach, axis=1, kind="stable")
-        enough = np.cumsum(counts[order], axis=1) >= min(k, counts.sum())
-        bound = np.take_along_axis(reach, order, axis=1)[np.arange(len(d)), enough.argmax(axis=1)]
-        keep = d - radii <= bound[:, None] * (1 + 1e-9) + 1e-12
-        return pd.Series([cells[row].astype("int32").tolist() for row in keep])
-
-    return candidates
-
-
-def _top_k_udf(metric: str, k: int):
-    @pandas_udf(T.ArrayType(T.StructType().add("q", "long").add("d", "long").add("dist", "double").add("y", "double")))
-    def top(qk: pd.Series, qf: pd.Series, dk: pd.Series, df: pd.Series, dy: pd.Series) -> pd.Series:
-        out = []
-        for keys, f, dkeys, g, y in zip(qk, qf, dk, df, dy):
-            dist = _distances(_matrix(f), _matrix(g), metric)
-            dkeys, y = np.asarray(dkeys), np.asarray(y, dtype=float)
-            near = np.lexsort((np.broadcast_to(dkeys, dist.shape), dist), axis=1)[:, :k]
-            out.append([{"q": int(q), "d": int(dkeys[j]), "dist": float(dist[i, j]), "y": float(y[j])}
-                        for i, q in enumerate(keys) for j in near[i]])
-        return pd.Series(out)
-
-    return top
+def _near_enough(limit: np.ndarray) -> np.ndarray:
+    """A limit with room for rounding."""
+    return limit * (1 + 1e-9) + 1e-12
+
+
+def _bounds(d: np.ndarray, counts: np.ndarray, radii: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the distances to the cells' pivots: a bound of each row's k-th distance, and the cells that may hold one of its k
+    nearest donors by the triangle inequality."""
+    reach = d + radii
+    order = np.argsort(reach, axis=1, kind="stable")
+    enough = np.cumsum(counts[order], axis=1) >= min(k, counts.sum())
+    bound = np.take_along_axis(reach, order, axis=1)[np.arange(len(d)), enough.argmax(axis=1)]
+    return bound, d - radii <= _near_enough(bound)[:, None]
+
+
+#: Stands for a null key inside a block of vectors, where keys are 64-bit integers.
+_NO_KEY = (1 << 63) - 1
+#: Blocks that a partition holds while blocks meet: about 32 MB of 64 columns.
+BLOCKS_HELD = 128
+
+
+def _vector_blocks(rows: DataFrame, key: str, apart: bool, columns: str, make) -> DataFrame:
+    """Rows ``(cell, key, f, ...)`` in order of their cell, at most ``BLOCK_ROWS`` to a block and, if ``apart``, of one cell;
+    ``make`` turns a block's rows into the values of ``columns``."""
+    rows = rows.withColumn(key, F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)))
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def pack(batches):
+        left = None
+        for pdf in batches:
+            left = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+            at, cell = np.arange(len(left)), left["cell"].to_numpy()
+            new = np.concatenate([[True], (cell[1:] != cell[:-1]) & apart])
+            begins = np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % BLOCK_ROWS == 0)
+            if len(begins) > 1:
+                yield pd.DataFrame([make(left.iloc[a:b]) for a, b in zip(begins[:-1], begins[1:])], columns=names)
+            left = left.iloc[begins[-1]:].reset_index(drop=True)
+        if left is not None:
+            yield pd.DataFrame([make(left)], columns=names)
+
+    return rows.repartitionByRange("cell", key).sortWithinPartitions("cell", key).mapInPandas(pack, columns)
+
+
+def _top_k(batches, pivots: np.ndarray, radii: dict, metric: str, k: int):
+    """The k nearest donors of each query row among the pairs of blocks of a task; what was found in one pair bounds the next."""
+    found = {}
+    for pdf in batches:
+        for block, q, qf, bound, cell, d, df, y in zip(*[pdf[c] for c in ("block", "q", "qf", "bound", "cell", "d", "df", "y")]):
+            f, g = (np.frombuffer(v).reshape(-1, pivots.shape[1]) for v in (qf, df))
+            if block not in found:
+                found[block] = [np.frombuffer(q, np.int64), np.frombuffer(bound).copy(), [np.zeros(0, t) for t in (np.int64, float, np.int64, float)]]
+            _, limit, near = found[block]
+            rows = np.flatnonzero(_distances(f, pivots[cell:cell + 1], metric)[:, 0] - radii[cell] <= _near_enough(limit))
+            dist = _distances(f[rows], g, metric)
+            i, j = np.nonzero(~(dist > _near_enough(limit)[rows, None]))
+            both = zip(near, (rows[i], dist[i, j], np.frombuffer(d, np.int64)[j], np.frombuffer(y)[j]))
+            row, dist, d, y = (np.concatenate(v) for v in both)
+            order = np.lexsort((d, dist, row))
+            rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+            near = found[block][2] = [v[order[rank < k]] for v in (row, dist, d, y)]
+            last = order[rank == k - 1]
+            limit[row[last]] = np.fmin(limit[row[last]], dist[last])
+    for q, _, (row, dist, d, y) in found.values():
+        yield pd.DataFrame({"q": q[row], "d": d, "dist": dist, "y": y})
 
 
 def nearest_rows(queries: DataFrame, donors: DataFrame, k: int, metric: str = "manhattan") -> DataFrame:
     """``(q, d, dist, y, rank)``: the k nearest donors ``(d, f, y)`` of each query ``(q, f)``; without donors no rows.
 
     Donors fall into cells around pivots, as many as the square root of the donors; a query visits the cells the triangle
-    inequality cannot rule out. Of identical donors only the k lowest keys can ever be used."""
+    inequality cannot rule out. Of identical donors only the k lowest keys can ever be used. Rows are written a fixed number of
+    times: blocks of queries meet blocks of donors partition by partition, as they are read, and only the k best of a query leave a task."""
+    spark = donors.sparkSession
     same = W.partitionBy("f").orderBy("d")
     donors = donors.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).drop("_r")
     donors = materialise(donors, "donors")
@@ -85,18 +122,34 @@ def nearest_rows(queries: DataFrame, donors: DataFrame, k: int, metric: str = "m
     picked = donors.select("f").orderBy(F.md5(F.col("d").cast("string"))).limit(n_pivots).collect()
     if not picked:
         kinds = dict(queries.dtypes)["q"], dict(donors.dtypes)["d"]
-        return donors.sparkSession.createDataFrame([], f"q {kinds[0]}, d {kinds[1]}, dist double, y double, rank int")
+        return spark.createDataFrame([], f"q {kinds[0]}, d {kinds[1]}, dist double, y double, rank int")
     pivots = _matrix([r[0] for r in picked])
-    placed = materialise(donors.withColumn("_c", _cells_udf(pivots, metric)(F.col("f"))).select("d", "f", "y", "_c.*"), "cells")
+    place = _cells_udf(pivots, metric)(F.col("f"))
+    placed = materialise(donors.withColumn("_c", place).select("d", "f", "y", "_c.*"), "cells")
     stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).collect()
     cells = np.array([s["cell"] for s in stats])
     counts, radii = np.array([s["n"] for s in stats]), np.array([s["r"] for s in stats])
-    packed = blocks(placed, ["cell"], ["d"], ["d", "f", "y"], "ds").drop("n_blocks")
-    visits = queries.withColumn("cell", F.explode(_candidates_udf(pivots, cells, counts, radii, metric, k)(F.col("f"))))
-    visits = materialise(visits.select("q", "f", "cell"), "visits")
-    asked = blocks(visits, ["cell"], ["q"], ["q", "f"], "qs").drop("n_blocks")
-    met = salted_join(packed.withColumnRenamed("block", "_db"), asked, ["cell"], ["_db"])
-    best = met.select(F.inline(_top_k_udf(metric, k)(F.col("qs.q"), F.col("qs.f"), F.col("ds.d"), F.col("ds.f"), F.col("ds.y"))))
+    reach = {s["cell"]: s["r"] for s in stats}
+
+    def donor_block(rows: pd.DataFrame):
+        return int(rows["cell"].iloc[0]), *[np.ascontiguousarray(v).tobytes() for v in (rows["d"].to_numpy(np.int64), _matrix(rows["f"]), rows["y"].to_numpy(float))]
+
+    def query_block(rows: pd.DataFrame):
+        f = _matrix(rows["f"])
+        bound, keep = _bounds(_distances(f, pivots[cells], metric), counts, radii, k)
+        return *[np.ascontiguousarray(v).tobytes() for v in (rows["q"].to_numpy(np.int64), f, bound)], cells[keep.any(axis=0)].tolist()
+
+    held = materialise(_vector_blocks(placed.drop("r"), "d", True, "cell int, d binary, df binary, y binary", donor_block), "held")
+    asked = materialise(queries.select("q", "f", place["cell"].alias("cell")), "asked")
+    asked = _vector_blocks(asked, "q", False, "q binary, qf binary, bound binary, visits array<int>", query_block)
+    asked = materialise(asked.withColumn("block", F.monotonically_increasing_id()), "queries")
+    n_held, n_asked, tasks = held.count(), asked.count(), 4 * spark.sparkContext.defaultParallelism
+    left = max(1, min(n_asked, max(tasks, -(-n_asked // BLOCKS_HELD))))
+    right = min(n_held, max(-(-tasks // left), -(-n_held // BLOCKS_HELD)))
+    met = asked.repartition(left).join(held.repartition(right).hint("shuffle_replicate_nl"), F.array_contains("visits", F.col("cell")))
+    best = met.drop("visits").mapInPandas(lambda batches: _top_k(batches, pivots, reach, metric, k), "q long, d long, dist double, y double")
+    key = lambda c: F.nullif(c, F.lit(_NO_KEY)).alias(c)
+    best = best.select(key("q"), key("d"), _nan(F.col("dist")).alias("dist"), "y")
     rank = F.row_number().over(W.partitionBy("q").orderBy("dist", "d"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 

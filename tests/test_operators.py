@@ -270,6 +270,20 @@ def test_nearest_rows_against_all_pairs(spark, metric):
         assert [x for _, x in sorted(got[i])] == list(np.lexsort((np.arange(300), dist))[:4])
 
 
+def test_nearest_rows_writes_no_row_per_cell(spark):
+    """In many dimensions no cell can be ruled out; what is written still follows the rows, not rows times cells."""
+    rng = np.random.RandomState(1)
+    d, q = rng.normal(size=(2500, 32)), rng.normal(size=(600, 32))
+    donors = spark.createDataFrame([(i, [float(x) for x in f], float(i)) for i, f in enumerate(d)], "d bigint, f array<double>, y double")
+    queries = spark.createDataFrame([(i, [float(x) for x in f]) for i, f in enumerate(q)], "q bigint, f array<double>")
+    before = len(scale.WRITTEN)
+    got = {(r["q"], r["rank"]): r["d"] for r in knn.nearest_rows(queries, donors, 3).collect()}
+    for i in range(0, 600, 7):
+        assert [got[i, r] for r in (1, 2, 3)] == list(np.argsort(np.abs(d - q[i]).sum(1), kind="stable")[:3])
+    written = sum(spark.read.parquet(p).count() for p in scale.WRITTEN[before:])
+    assert written < 4 * (len(d) + len(q))
+
+
 def test_exact_match_wins(spark):
     donors = spark.createDataFrame([(1, [0.0], 5.0), (2, [1.0], 9.0)], "d bigint, f array<double>, y double")
     q = spark.createDataFrame([(7, [0.0])], "q bigint, f array<double>")
