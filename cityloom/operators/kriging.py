@@ -336,6 +336,7 @@ def krige(observed: DataFrame, targets: DataFrame, model: DataFrame, group: list
 
 def fill_by_kriging(df: DataFrame, group: list[str], key: str, value: str) -> DataFrame:
     """Fill null values per group; observed rows, and groups without any observation, stay as they are."""
+    df = materialise(df, "gaps")  # read for the variogram, the weights, the targets and the result
     seen = df.where(F.col(value).isNotNull())
     model = spherical_fit(empirical_variogram(seen, group, key, value), group)
     est = krige(seen, df.where(F.col(value).isNull()), model, group, key, value)

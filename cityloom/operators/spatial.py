@@ -225,8 +225,8 @@ def nearest_polygon(points: DataFrame, segs: DataFrame, point_key: str, poly_key
 def roads_within(outlines: DataFrame, roads: DataFrame, city_key: str, road_key: str, metres: float, size: float) -> DataFrame:
     """Roads per city that come within ``metres`` of its outline or lie inside it; 0 when none."""
     seg = ["x1", "y1", "x2", "y2"]
-    c = segment_cells(outlines.select(city_key, *seg), size)
-    r = segment_cells(roads.select(road_key, *seg), size, grow=metres)
+    c = materialise(segment_cells(outlines.select(city_key, *seg), size), "outlines")
+    r = segment_cells(roads.select(road_key, *seg), size, grow=metres).join(c.select("cx", "cy"), ["cx", "cy"], "left_semi")
     c_packed = blocks(c, [city_key, "cx", "cy"], seg, seg, "cs")
     r_packed = blocks(r, ["cx", "cy"], [road_key, *seg], [road_key, *seg], "rs")
     met = salted_join(r_packed, c_packed.drop("block", "n_blocks"), ["cx", "cy"], ["block"])

@@ -10,7 +10,7 @@ from ..operators import panel as P
 from ..operators import raster as R
 from ..operators import smoothing
 from ..operators import spatial as S
-from ..operators.scale import scratch_path
+from ..operators.scale import materialise, scratch_path
 from ..sources.readers import write_panel_csv
 from ..sources.schemas import PANEL_EXPORT_NAMES
 from . import panel as whole
@@ -74,8 +74,10 @@ def raw_sources(t) -> dict:
          .withColumns({"year": published_year(ship), "month": F.month(ship), "day": _day(ship)}))
     month_es = F.element_at(literal_map(dict(enumerate(MONTHS_ES, 1))), F.col("month"))
 
+    crimes = materialise(l.groupBy("l_returnflag", "n_name", "day").agg(F.sum("l_quantity").cast("bigint").alias("n")), "crimes")
+
     def crime(flag):
-        return (l.where(F.col("l_returnflag") == flag).groupBy("n_name", "day").agg(F.sum("l_quantity").cast("bigint").alias("n"))
+        return (crimes.where(F.col("l_returnflag") == flag)
                 .select(F.col("day").alias("FECHA HECHO"), F.concat("n_name", F.lit(" (CT)")).alias("MUNICIPIO"), F.col("n").cast("string").alias("CANTIDAD")))
 
     price = F.col("o_totalprice")
@@ -100,7 +102,7 @@ def raw_sources(t) -> dict:
                 .select("year", "DEPARTAMENTO", F.concat(F.col("v").cast("string"), F.lit(",5")).alias("VALOR (unidades)"))),
         "municipal_weight": share,
         "border_entries": (t.lineitem.groupBy(F.col("l_suppkey").alias("point_id"), published_year(ship).alias("year"), F.month(ship).alias("month")).agg(F.sum("l_quantity").cast("bigint").alias("Total"))
-                           .join(t.entry_points.select("point_id", "lat", "lng"), "point_id")
+                           .join(t.supplier_points, "point_id")
                            .select(F.col("year").alias("Año"), month_es.alias("Mes"), F.format_string("(%.3f, %.3f)", "lat", "lng").alias("Latitud - Longitud"), "Total")),
         "lodging": o.where("year < 2023").select(F.col("year").alias("AÑO"), F.col("n_name").alias("NOMBRE-MUNI"), F.col("department").alias("NOMDEP"), F.col("c_mktsegment").alias("CATEGORIA"),
                                                  (F.col("c_custkey") % 50).alias("HABITACIONES"), (F.col("c_custkey") % 90).alias("CAMAS")),

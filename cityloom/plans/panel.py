@@ -10,7 +10,7 @@ from ..functions.geo import project_utm
 from ..functions.text import clean_name, literal_map, month_number, month_to_english, parse_decimal_comma, parse_point, period_key
 from ..operators import cleaning, kriging, panel, smoothing, spatial
 from ..operators.knn import knn_impute
-from ..operators.scale import dense_index, group_median
+from ..operators.scale import dense_index, group_median, materialise
 
 YEARS = (2018, 2019, 2021, 2022, 2023)
 KEYS = ["city", "year", "month"]
@@ -41,6 +41,7 @@ def visitor_scaffold(visitors: DataFrame, cities: DataFrame, years=YEARS) -> Dat
     v = visitors.where(F.col("Año").isin(*years)).select(
         clean_name(F.col("Ciudad")).alias("city"), F.col("Año").alias("year"), F.col("Mes").alias("month"),
         F.col("Extranjeros no Residentes").alias("visitors"))
+    v = materialise(v, "visitors")
     kept = cleaning.keep_known_cities(v, cleaning.known_cities(cities, v))
     return panel.complete_months(kept, ["city", "year"], "month", "visitors", "sum")
 
@@ -83,8 +84,8 @@ def entry_flows(entries: DataFrame, years=YEARS) -> DataFrame:
 
 def access_features(flows: DataFrame, points: DataFrame, departments: DataFrame, cell: float):
     """(zone entries by department and month, distance by city and year, score by department and year)."""
-    spots = flows.select("point_id", "lng", "lat").distinct().select(F.col("point_id").alias("city"), "lng", "lat")
-    dep = city_departments(spots, departments, cell).withColumnRenamed("city", "point_id")
+    spots = materialise(flows.select("point_id", "lng", "lat").distinct().select(F.col("point_id").alias("city"), "lng", "lat"), "spots")
+    dep = materialise(city_departments(spots, departments, cell).withColumnRenamed("city", "point_id"), "zones")
     zone = flows.join(dep, "point_id").groupBy("department", "year", "month").agg(F.sum("people").alias("zone_entries"))
     per_year = flows.groupBy("year", "point_id", "x", "y").agg(F.sum("people").alias("people"))
     km = spatial.weighted_mean_distance(points, per_year, "city", "point_id", "people", ["year"]).withColumnRenamed("distance_km", "access_distance")
@@ -108,7 +109,7 @@ def lodging_months(annual: DataFrame, monthly: DataFrame, years=YEARS, monthly_y
 def spend_months(spend: DataFrame, cells: DataFrame, points: DataFrame, prefix: str, deflate_year: int | None = 2018) -> DataFrame:
     """Five spend items per city and year, kriged where the survey has none, the same all year.
     Prices of ``deflate_year`` come from the survey one year later."""
-    s = spend.select(clean_name(F.col("city")).alias("city"), "year", *SPEND_ITEMS)
+    s = materialise(spend.select(clean_name(F.col("city")).alias("city"), "year", *SPEND_ITEMS), "spend")
     now = F.col("year") == deflate_year if deflate_year else F.lit(False)
     deflated = cleaning.deflate(s, {i: i for i in SPEND_ITEMS})
     s = deflated.where(now).unionByName(s.where(~now))
@@ -138,10 +139,11 @@ def facts(s: dict[str, DataFrame], points: DataFrame, cells: DataFrame, cell: fl
 
 
 def assemble(s: dict[str, DataFrame], years=YEARS, cell: float = 1.0, road_metres: float = 10_000.0) -> DataFrame:
-    """The panel before imputation. ``s`` holds the raw tables under the names of the sources."""
-    points = city_points(s["cities"])
-    cells = visitor_scaffold(s["visitors"], points, years)
-    zone, km, score = access_features(entry_flows(s["border_entries"], years), points, s["departments"], cell)
+    """The panel before imputation. ``s`` holds the raw tables under the names of the sources; what is read more than once is
+    worked out from them once and written."""
+    points = materialise(city_points(s["cities"]), "points")
+    cells = materialise(visitor_scaffold(s["visitors"], points, years), "cells")
+    zone, km, score = access_features(materialise(entry_flows(s["border_entries"], years), "flows"), points, s["departments"], cell)
     roads = spatial.roads_within(s["outlines"], s["roads"], "city", "road_id", road_metres, 2 * road_metres)
     land = s["land_areas"].select(clean_name(F.col("ciudad")).alias("city"), F.col("año").alias("year"), F.col("urban").alias("urban_area"),
                                   F.col("green").alias("rural_area"), F.col("water").alias("water_area"))
@@ -160,7 +162,7 @@ def assemble(s: dict[str, DataFrame], years=YEARS, cell: float = 1.0, road_metre
 
 def impute(panel_rows: DataFrame) -> DataFrame:
     """Fill the lodging and land columns from the five nearest panel rows."""
-    rows = dense_index(panel_rows, [F.col(k) for k in KEYS], "_row")
+    rows = materialise(dense_index(materialise(panel_rows, "panel"), [F.col(k) for k in KEYS], "_row"), "numbered")
     fixed = {*KEYS, "department", "period", "_row"}
     numeric = [c for c in panel_rows.columns if c not in fixed]
     return knn_impute(rows, "_row", "city", ["city", "department", "period"], numeric, IMPUTED, 5).drop("_row")

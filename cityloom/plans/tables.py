@@ -57,12 +57,17 @@ class Tables:
     @cached_property
     def entry_points(self) -> DataFrame:
         """Suppliers as entry points; the weight is what arrived through them."""
-        k = F.col("s_suppkey")
         w = self.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("weight"))
-        return self.supplier.join(w, F.col("l_suppkey") == k).select(
+        return self.supplier_points.join(w, F.col("l_suppkey") == F.col("point_id")).select("point_id", "lat", "lng", "weight")
+
+    @cached_property
+    def supplier_points(self) -> DataFrame:
+        """Where the entry points are, without what arrived through them."""
+        k = F.col("s_suppkey")
+        return self.supplier.select(
             k.alias("point_id"),
             (((k * 41) % 1700) / 100.0 - 3.995).alias("lat"),
-            (((k * 29) % 1300) / 100.0 - 79.995).alias("lng"), "weight")
+            (((k * 29) % 1300) / 100.0 - 79.995).alias("lng"))
 
     @cached_property
     def places(self) -> DataFrame:

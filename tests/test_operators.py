@@ -147,6 +147,14 @@ def test_kriging_invariants(spark):
     assert {round(r["v"], 6) for r in full.collect()} == {3.5} and full.count() == 40
 
 
+def test_filled_rows_do_not_recompute_their_input(spark):
+    """What is filled is read many times: it is worked out once and written."""
+    rows = spark.createDataFrame([(1, i, float(i % 4), float(i // 4), None if i == 5 else float(i)) for i in range(12)], "g int, id int, x double, y double, v double")
+    out = kriging.fill_by_kriging(rows, ["g"], "id", "v")
+    assert "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.where("v is null").count() == 0
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_variogram_meets_places_not_rows(spark, monkeypatch, block):
     """Sums over all pairs of rows; 60 rows at 7 places are packed as 7."""
