@@ -155,6 +155,9 @@ def _products(xa, ya, xb, yb, psill, rng, nugget, right, left=None):
 BLOCK_POINTS = 1024
 #: Targets of a block: 8 MB for a pair with a block of points.
 BLOCK_TARGETS = 512
+#: Points of a group whose weights are found in one task, and the bytes of covariances that it keeps between its steps.
+LOCAL_POINTS = 1 << 14
+KEPT_BYTES = 192 << 20
 _VECTOR = "array<double>"
 _STATE = ["a0", "a1", "r0", "r1", "s0", "s1", "p0", "p1"]
 
@@ -206,6 +209,81 @@ def _near(asked: DataFrame, held: DataFrame, group: list[str], reach: DataFrame)
     return met.where(apart("x") ** 2 + apart("y") ** 2 <= (F.col("range") * (1 + 1e-9)) ** 2).select(*group, "block", "_j")
 
 
+def _solver(row: dict):
+    """``_precondition`` of a block as a function that can be called again and again; its factor is worked out once."""
+    x, y = np.asarray(row["x"], float), np.asarray(row["y"], float)
+    try:
+        half = np.linalg.inv(np.linalg.cholesky(_covariance(_between(x, y, x, y), row["psill"], row["range"], row["nugget"])))
+    except np.linalg.LinAlgError:
+        return lambda r: _precondition(row, *r.T)
+    return lambda r: half.T @ (half @ r)
+
+
+def _settled(rows: list[dict], pairs: list[tuple[int, int]], tolerance: float, most: int) -> np.ndarray:
+    """C a = v and C b = 1 for the blocks ``rows`` of one group, flat one after the other, by the steps of ``dual_weights``."""
+    model = [rows[0][c] for c in ("psill", "range", "nugget")]
+    at = np.cumsum([0, *[len(r["x"]) for r in rows]])
+    own = [slice(a, b) for a, b in zip(at, at[1:])]
+    x, y, v = (np.concatenate([np.asarray(r[c], float) for r in rows]) for c in ("x", "y", "v"))
+    a = np.zeros((len(v), 2))
+    if model[0] + model[2] <= 0:
+        return a
+    solvers, kept, room = [_solver(r) for r in rows], {}, KEPT_BYTES
+
+    def tiles():
+        nonlocal room
+        for i, j in pairs:
+            if (i, j) in kept:
+                yield i, j, own[i], kept[i, j]
+                continue
+            whole = _covariance(_between(x[own[i]], y[own[i]], x[own[j]], y[own[j]]), *model)
+            if room >= whole.nbytes:
+                kept[i, j], room = whole, room - whole.nbytes
+            yield i, j, own[i], whole
+
+    def precondition(r):
+        return np.concatenate([solve(r[o]) for solve, o in zip(solvers, own)])
+
+    r = np.column_stack([v, np.ones(len(v))])
+    start, past, p = (r * r).sum(0), np.zeros(2), np.zeros_like(r)
+    for step in range(most + 1):
+        if not ((r * r).sum(0) > tolerance * tolerance * start).any():
+            return a
+        if step == most:
+            break
+        s = precondition(r)
+        rho = (r * s).sum(0)
+        p = s + np.divide(rho, past, out=np.zeros(2), where=past > 0) * p
+        q = np.zeros_like(p)
+        for i, j, rows_of_tile, c in tiles():
+            q[rows_of_tile] += c @ p[own[j]]
+            if i != j:
+                q[own[j]] += c.T @ p[rows_of_tile]
+        pq = (p * q).sum(0)
+        move = np.divide(rho, pq, out=np.zeros(2), where=pq > 0)
+        a, r, past = a + move * p, r - move * q, rho
+    raise RuntimeError(f"kriging weights did not settle in {most} steps")
+
+
+def _local_weights(packed: DataFrame, pairs: DataFrame, group: list[str], tolerance: float, most: int, tasks: int) -> DataFrame:
+    """The result of ``dual_weights`` for groups of at most ``LOCAL_POINTS`` points, each in one task."""
+    def solve(blocks, met):
+        rows = blocks.to_dict("records")
+        place = {r["block"]: i for i, r in enumerate(rows)}
+        a = _settled(rows, [(place[i], place[j]) for i, j in zip(met["block"], met["_j"])], tolerance, most)
+        v, out, at = np.concatenate([np.asarray(r["v"], float) for r in rows]), [], 0
+        mu = a[:, 0].sum() / a[:, 1].sum() if a[:, 1].sum() else v.mean()
+        for r in rows:
+            w = a[at:at + len(r["x"]), 0] - mu * a[at:at + len(r["x"]), 1]
+            at += len(w)
+            out.append([*[r[k] for k in group], r["block"], r["x"], r["y"], w, mu, r["psill"], r["range"], r["nugget"]])
+        return pd.DataFrame(out, columns=[*group, "block", "x", "y", "w", "mu", "psill", "range", "nugget"])
+
+    shape = f"{_apart([*group, 'block'], packed)}, x {_VECTOR}, y {_VECTOR}, w {_VECTOR}, mu double, psill double, range double, nugget double"
+    dealt = [df.repartition(tasks, *group).groupBy(*group) for df in (packed, pairs)]
+    return dealt[0].cogroup(dealt[1]).applyInPandas(solve, shape)
+
+
 def dual_weights(points: DataFrame, model: DataFrame, group: list[str], tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
     """(group..., block, x, y, w, mu, psill, range, nugget): the weights of ordinary kriging in dual form, from all
     points ``(group..., x, y, v)`` of a group, no two at one place.
@@ -214,13 +292,26 @@ def dual_weights(points: DataFrame, model: DataFrame, group: list[str], toleranc
     systems are solved by conjugate gradients over blocks of neighbouring points: a product with C is a join of the block
     pairs within the range, listed once and each used for both of its blocks, and a sum, and every block's own covariance preconditions it, so a group of one block takes one step. A group stops when both
     residuals are below ``tolerance`` of their start; ``most`` steps without that are an error. Groups without a
-    model or with a model of zero have w = 0 and mu = the mean of v."""
+    model or with a model of zero have w = 0 and mu = the mean of v.
+
+    A group of at most ``LOCAL_POINTS`` points, counted first, takes all its steps in one task; the steps of larger ones are jobs."""
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("psill", "range", "nugget")}
     packed = _tiles(points, group, ["x", "y", "v"], BLOCK_POINTS).join(model.select(*group, *zero), group, "left")
     packed = materialise(packed.select(*group, "block", *[F.col(f"items.{c}").alias(c) for c in ("x", "y", "v")], *zero.values()), "points")
     fixed = packed.drop("v")
     near = _near(fixed, fixed, group, fixed.select(*group, "range").distinct())
     pairs = materialise(near.where("block <= _j"), "pairs")
+    sizes = materialise(packed.groupBy(*group).agg(F.sum(F.size("x")).alias("_n")), "sizes")
+    small, large = sizes.where(F.col("_n") <= LOCAL_POINTS).count(), sizes.where(F.col("_n") > LOCAL_POINTS).select(*group)
+    tasks = min(max(3 * small, 1), 1024)
+    if not large.limit(1).count():
+        return _local_weights(packed, pairs, group, tolerance, most, tasks)
+    local = _local_weights(packed.join(large, group, "left_anti"), pairs.join(large, group, "left_anti"), group, tolerance, most, tasks)
+    return local.unionByName(_stepped_weights(*[df.join(large, group, "left_semi") for df in (packed, fixed, pairs)], group, tolerance, most))
+
+
+def _stepped_weights(packed: DataFrame, fixed: DataFrame, pairs: DataFrame, group: list[str], tolerance: float, most: int) -> DataFrame:
+    """The result of ``dual_weights`` for groups of any size, each step a few jobs."""
     keys = [*group, "block"]
     kinds = _apart(keys, packed)
 
@@ -294,7 +385,7 @@ def dual_weights(points: DataFrame, model: DataFrame, group: list[str], toleranc
         pq = turn.groupBy(*group).agg(*[F.sum(dot(f"p{i}", f"q{i}")).alias(f"pq{i}") for i in "01"])
         whole = turn.join(pq, group).join(fixed.select(*keys, "x", "y", "psill", "range", "nugget"), keys)
         state = materialise(whole.mapInPandas(advance, shape), "state")
-        discard(points.sparkSession, spent)
+        discard(packed.sparkSession, spent)
         past = before.select(*group, *[F.col(f"rho{i}").alias(f"old{i}") for i in "01"])
         before = materialise(scalars(state), "scalars")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)

@@ -430,3 +430,29 @@ def test_affine_maps_are_permutations():
     for n in (1, 2, 12, 97):
         for a, b in explain.affine_shuffles(n, 20, 1):
             assert sorted((a * i + b) % n for i in range(n)) == list(range(n))
+
+
+def test_kriging_in_one_task_is_kriging_by_jobs(spark, monkeypatch):
+    """A group of bounded size takes its steps in one task, whatever it keeps of its covariances; larger ones take theirs as jobs."""
+    monkeypatch.setattr(kriging, "BLOCK_POINTS", 8)
+    rng = np.random.RandomState(8)
+    p = rng.uniform(0, 100, (20, 2))
+    data = [(g, float(a), float(b), float(rng.normal(5))) for g, n in (("far", 20), ("near", 12), ("flat", 3)) for a, b in p[:n]]
+    points = spark.createDataFrame(data, "g string, x double, y double, v double")
+    model = spark.createDataFrame([("far", 2.0, 30.0, 0.4), ("near", 2.0, 80.0, 0.0), ("flat", 0.0, 0.0, 0.0)], "g string, psill double, range double, nugget double")
+
+    def weights():
+        rows = kriging.dual_weights(points, model, ["g"]).collect()
+        return {(r["g"], *at): (w, r["mu"]) for r in rows for *at, w in zip(r["x"], r["y"], r["w"])}
+
+    steps, stepped = [], kriging._stepped_weights
+    monkeypatch.setattr(kriging, "_stepped_weights", lambda packed, *a: steps.append({r["g"] for r in packed.select("g").distinct().collect()}) or stepped(packed, *a))
+    local = weights()
+    assert steps == [] and len(local) == 35
+    monkeypatch.setattr(kriging, "KEPT_BYTES", 1000)
+    monkeypatch.setattr(kriging, "LOCAL_POINTS", 15)
+    some = weights()
+    assert steps == [{"far"}] and some.keys() == local.keys()
+    for k, found in local.items():
+        assert some[k] == pytest.approx(found, abs=1e-7)
+    assert [v for k, v in local.items() if k[0] == "flat"] == [(0.0, pytest.approx(np.mean([d[3] for d in data if d[0] == "flat"])))] * 3
