@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 
 from ..operators.scale import materialise
 
-ASSIGN = r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = r"""(?i)(?=[psta])((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]{16,})()"
 HEX = r"([0-9a-f]{24,})()"
-STRING = r"([A-Za-z0-9+/_-]{18,}+==(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_-]{19,}+=(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_-]{20,}+)()"
+#: Tried at the first character of a run only: from a later one the same run is shorter, so it cannot match where it did not before.
+STRING = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{18})([A-Za-z0-9+/_-]{18,}+==(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_-]{19,}+=(?![A-Za-z0-9+/_=-])|[A-Za-z0-9+/_-]{20,}+)()"
 LEAST = 20
+#: Kinds that are part of a run that STRING finds: without one they are not looked for.
+IN_STRING = ["access", "hex"]
 #: Kinds as listed, with the least length of group 2 (assign) or of the match, already part of the other patterns.
 KINDS = [("assign", ASSIGN, 6), ("access", ACCESS, 0), ("hex", HEX, 0)]
 RANDOM = "random"
@@ -123,9 +126,12 @@ def matched(docs: DataFrame) -> DataFrame:
     """All columns, ``_base`` (spans of the fixed kinds in order) and ``_tests`` (candidates and parts of them outside)."""
     names = [*[k for k, _, _ in KINDS], "string"]
     patterns = [*KINDS, ("string", STRING, 0)]
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01\x02\x03", "\x04\x04\x04")
-    rows = docs.withColumn("_plain", text)
-    rows = rows.withColumns({f"_{k}": wrapped(F.col("_plain"), p) for k, p, _ in patterns}).drop("_plain")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = text.contains("\x01") | text.contains("\x02") | text.contains("\x03")
+    rows = docs.withColumn("_plain", F.when(marked, F.translate(text, "\x01\x02\x03", "\x04\x04\x04")).otherwise(text))
+    rows = rows.withColumns({f"_{k}": wrapped(F.col("_plain"), p) for k, p, _ in patterns if k not in IN_STRING})
+    runs = F.size("_string") > 1
+    rows = rows.withColumns({f"_{k}": F.when(runs, wrapped(F.col("_plain"), p)).otherwise(F.array(F.lit(""))) for k, p, _ in patterns if k in IN_STRING}).drop("_plain")
     rows = rows.withColumns({f"_{k}": located(F.col(f"_{k}"), n) for k, _, n in patterns})
     rows = rows.withColumn("_base", F.array_sort(F.concat(*[labelled(F.col(f"_{k}"), r, k) for r, (k, _, _) in enumerate(KINDS)])))
     free = F.flatten(F.transform("_string", lambda s: outside(s, F.col("_base"))))
@@ -226,9 +232,9 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by ``mark``, overlapping spans by one; ``n_chars`` follows. The corpus
-    is scanned twice, once for the cutoffs, so that no text is shuffled."""
-    tests = materialise(matched(docs.select("text")).select("_tests").where(F.size("_tests") > 0), "tests")
-    rows = matched(docs).withColumn("_cuts", cutoffs(tests).scalar()).withColumn("_spans", spans_of(F.col("_cuts")))
+    is scanned once and written with what was found, for the cutoffs and the result; no text is shuffled."""
+    found = materialise(matched(docs), "found")
+    rows = found.withColumn("_cuts", cutoffs(found).scalar()).withColumn("_spans", spans_of(F.col("_cuts")))
 
     def merge(a, s):
         last = F.element_at(a, -1)

@@ -160,3 +160,20 @@ def test_scores_equal_a_plain_discriminant():
         gap = (np.vstack([x[0], x[1]]) - x[k].mean(0)) @ scale
         logs.append(np.log(n[k]) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * np.einsum("ij,ji->i", gap, np.linalg.solve(own, gap.T)))
     assert np.allclose(got, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700))), atol=1e-9)
+
+
+def test_redaction_scans_a_corpus_once_by_whole_runs(spark, monkeypatch):
+    """The patterns are looked for once, and tried at the start of a run only they find what they find when tried everywhere."""
+    calls, matched = [], secret_scan.matched
+    monkeypatch.setattr(secret_scan, "matched", lambda docs: calls.append(1) or matched(docs))
+    rng = random.Random(6)
+    parts = ["a" * n for n in (1, 16, 17, 18, 19, 20, 21)] + ["=", "==", "===", " ", "-", "f0" * 12, "AKIA", "G" * 16, "token: ", "PassWord=", "é", "\x01"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))), "s") for i in range(600)]
+    assert len(secret_scan.redacted(table(spark, rows)).collect()) == 600 and calls == [1]
+    run = "[A-Za-z0-9+/_-]"
+    everywhere = rf"({run}{{18,}}+==(?![A-Za-z0-9+/_=-])|{run}{{19,}}+=(?![A-Za-z0-9+/_=-])|{run}{{20,}}+)()"
+    texts = table(spark, rows).select(*[F.regexp_extract_all("text", F.lit(p), 0).alias(n) for n, p in (("a", secret_scan.STRING), ("b", everywhere))])
+    assert texts.where("a <=> b").count() == 600 and texts.where("size(a) > 0").count() > 100
+    for r in secret_scan.secrets(table(spark, rows)).collect():
+        spans = brute.base_spans(rows[r.doc_id][1])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
