@@ -203,7 +203,7 @@ def score_draws(df: DataFrame, key: Column, fold: Column, columns: list[str], ta
         board = knn.neighbour_scores(df, key, fold, columns, target, max(p["k"] for p in drawn), folds)
         found = [[board["euclidean" if p["metric"] == "minkowski" else p["metric"], p["weights"], p["k"], f] for f in (forest.TEST, *range(folds))] for p in drawn]
     elif kind in ("svr", "svr_kernel"):
-        found = support.fit_many(df, key, fold, columns, target, support.search_specs(drawn, folds))[1]
+        found = support.fit_many(df, key, fold, columns, target, support.search_specs(drawn, folds), supports=False)[1]
         found = [found[i:i + folds + 1] for i in range(0, len(found), folds + 1)]
     else:
         raise ValueError(f"no search over {kind}")
