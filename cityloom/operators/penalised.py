@@ -177,4 +177,4 @@ def solve(sums: Sums, kind: str, alpha: float, l1_ratio: float | None = None, wi
 
 def fit(train: DataFrame, columns: list[str], target: str, kind: str, degree: int = 1, scale_target: bool = True, raw: bool = True, **params) -> Linear:
     sums = fold_sums(train, F.lit(0), columns, target, degree)
-    return solve(sums, kind, params["alpha"], params.get("l1_ratio"), None, raw, scale_target)
+    return solve(sums, kind, params.get("alpha", 1.0), params.get("l1_ratio"), None, raw, scale_target)
